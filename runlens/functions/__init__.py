@@ -7,7 +7,7 @@ from runlens.functions.text import (any_phrase, canonical_key, error_reason, fir
                                     page_title, phrase_class, rate_limited, remove_first,
                                     score_extract, split_clean, truncate_text)
 from runlens.functions.checks import (all_clean, check_detected, check_lookup,
-                                      check_verdict, parse_checks)
+                                      check_verdict, parse_checks, score_at_least)
 from runlens.functions.time import duration_ms, iso_date, iso_text
 
 __all__ = [
@@ -16,5 +16,6 @@ __all__ = [
     "any_phrase", "canonical_key", "error_reason", "first_line", "page_title", "phrase_class",
     "rate_limited", "remove_first", "score_extract", "split_clean", "truncate_text",
     "all_clean", "check_detected", "check_lookup", "check_verdict", "parse_checks",
+    "score_at_least",
     "duration_ms", "iso_date", "iso_text",
 ]

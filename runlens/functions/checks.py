@@ -57,3 +57,13 @@ def check_detected(rows: Column | str, fragments: list[str]) -> Column:
 def all_clean(*flags: Column | str) -> Column:
     """True only when every tri-state flag is false; NULL is not clean."""
     return F.coalesce(reduce(and_, [~col(f) for f in flags]), F.lit(False))
+
+
+# reCAPTCHA v3 thresholds (human-like per the docs; report tier).
+HUMAN_LIKE_SCORE = 0.7
+TIER_SCORE = 0.3
+
+
+def score_at_least(score: Column | str, threshold: float = TIER_SCORE) -> Column:
+    """Score threshold with a missing score read as 0 (never NULL)."""
+    return F.coalesce(col(score), F.lit(0.0)) >= F.lit(threshold)

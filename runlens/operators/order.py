@@ -12,22 +12,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions._col import col
+from runlens.session import shared_dir
 
 _PID, _MID, _N, _FIRST, _OFF = "_rl_pid", "_rl_mid", "_rl_n", "_rl_first", "_rl_off"
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def range_sorted(df: DataFrame, order: list[Column], num_partitions: int | None = None) -> DataFrame:
     """Globally sort ``df`` by ``order`` and tag each row with its partition id and
     a per-partition increasing id, then checkpoint so every later use sees the
     same partitioning (range bounds come from sampling)."""
-    n = _num_partitions(df, num_partitions)
-    tagged = (df.repartitionByRange(n, *order)
+    shared_dir(df.sparkSession)  # checkpoint() needs the shared folder registered
+    # without an explicit count AQE may coalesce the range partitions; they stay
+    # contiguous and ordered, which is all the offsets below rely on
+    ranged = (df.repartitionByRange(num_partitions, *order) if num_partitions
+              else df.repartitionByRange(*order))
+    tagged = (ranged
               .sortWithinPartitions(*order)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_MID, F.monotonically_increasing_id()))
@@ -67,3 +66,15 @@ def enum_rank(c: Column | str, values: list[str], default: int = 99) -> Column:
 def survivor_key(survived: Column | str) -> Column:
     """0 when survived is exactly true, else 1 (false and NULL sort after)."""
     return F.when(col(survived) == F.lit(True), F.lit(0)).otherwise(F.lit(1))
+
+
+def captcha_order(supported: Column | str, solve_s: Column | str, plan_rank: Column,
+                  key: Column | str) -> list[Column]:
+    """Report order of the captcha table: supported first; unsupported rows by
+    plan order; supported rows by solve time with a missing time read as 0 (a
+    timeout sorts first); ties fall back to (solve time NULLS LAST, key)."""
+    sup = F.coalesce(col(supported), F.lit(False))
+    second = F.when(sup, F.coalesce(col(solve_s).cast("double"), F.lit(0.0))) \
+              .otherwise(plan_rank.cast("double"))
+    return [col(supported).desc_nulls_last(), second, col(solve_s).asc_nulls_last(),
+            col(key).asc_nulls_last()]

@@ -91,6 +91,13 @@ def unpivot_stages(df: DataFrame, ids: list[str], stages: list[str],
     return wide.unpivot(ids, stages, metric, value)
 
 
+def _rate_side(keys: list[str], c: Column) -> Column:
+    """A rate column taken from the right side of ``LEFT JOIN ... USING (keys)``:
+    a NULL key finds no partner there, so the value is NULL."""
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return F.when(present, c)
+
+
 def _long_runs(runs: DataFrame, keys: list[str], stages: list[str], success: str) -> DataFrame:
     wide = with_stage_doubles(runs.select(*keys, success, *stages), stages)
     return wide.unpivot(keys + [success], stages + [TOTAL], "metric", "value")
@@ -112,7 +119,8 @@ def stats_with_rate(runs: DataFrame, keys: list[str] = ["provider"], stages: lis
         F.count_if(ok).alias("n_success"),
         F.avg(F.when(ok, F.col(TOTAL))).alias("avg_total_ms"))
     return (agg.where(F.col("n_success") > 0)
-            .select(*keys, "row_count", dround("success_rate", places).alias("success_pct"),
+            .select(*keys, _rate_side(keys, F.col("row_count")).alias("row_count"),
+                    _rate_side(keys, dround("success_rate", 1)).alias("success_pct"),
                     "n_success", dround("avg_total_ms", places).alias("avg_total_ms")))
 
 
@@ -137,5 +145,6 @@ def stage_summary(runs: DataFrame, keys: list[str] = ["provider"], stages: list[
     q = group_quantiles(long.where(ok), gk, "value", {"median_ms": 0.5, "p95_ms": 0.95},
                         method=quantile_method)
     out = _null_safe_join(agg.where(F.col("_n_ok") > 0), q, gk, "left")
-    return out.select(*keys, "row_count", dround("success_rate", 1).alias("success_pct"), "metric",
+    return out.select(*keys, _rate_side(keys, F.col("row_count")).alias("row_count"),
+                      _rate_side(keys, dround("success_rate", 1)).alias("success_pct"), "metric",
                       *[dround(c, places).alias(c) for c in ("avg_ms", "median_ms", "p95_ms", "stddev_ms")])

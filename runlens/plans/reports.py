@@ -23,7 +23,7 @@ from runlens.functions.text import error_reason
 from runlens.operators import dims
 from runlens.operators.batches import batch_summary as _batch_summary
 from runlens.operators.latest import any_failure, latest_per_key, latest_with_fallback
-from runlens.operators.order import enum_rank, survivor_key, with_position
+from runlens.operators.order import captcha_order, enum_rank, survivor_key, with_position
 from runlens.operators.quantiles import DEFAULT_METHOD
 from runlens.operators.stats import (METRIC_ORDER, STAGES, complete_rows, stage_summary,
                                      stage_totals)
@@ -90,14 +90,16 @@ def parallel_summary(batches: DataFrame, quantile_method: str = DEFAULT_METHOD)
 # ---- REP1: lifecycle ranking --------------------------------------------------
 
 def report_lifecycle(runs: DataFrame, pricing: dict = dims.LIFECYCLE_PRICING,
-                     quantile_method: str = DEFAULT_METHOD) -> Report:
-    """Rank providers by average total of complete successful runs."""
-    complete = complete_rows(runs, ["provider"] + STAGES[:3])
+                     quantile_method: str = DEFAULT_METHOD, stages: list[str] = STAGES) -> Report:
+    """Rank providers by average total of complete successful runs (provider and
+    the first three stages present; the release stage may be missing)."""
+    complete = complete_rows(runs, ["provider"] + stages[:3])
     if not _has_rows(complete.where(F.col("success") == F.lit(True))):
-        return _withheld(_lifecycle_cells(stage_totals(complete.limit(0), quantile_method="builtin")
+        return _withheld(_lifecycle_cells(stage_totals(complete.limit(0), stages=stages,
+                                                       quantile_method="builtin")
                                           .withColumn("rank", F.lit(0).cast("long")), pricing),
                          NO_INPUT)
-    tot = stage_totals(complete, ["provider"], STAGES, "success", 0, quantile_method)
+    tot = stage_totals(complete, ["provider"], stages, "success", 0, quantile_method)
     ranked = with_position(tot, [F.col("avg_total_ms").asc_nulls_last(),
                                  F.col("provider").asc_nulls_last()], "rank")
     return Report(_lifecycle_cells(ranked, pricing), OK)
@@ -220,12 +222,9 @@ def report_captcha(captcha: DataFrame, cost: dict = dims.CAPTCHA_COST,
     if _has_failure(latest):
         return _withheld(_captcha_cells(latest.withColumn("position", F.lit(0).cast("long")), cost),
                          HAS_ERRORS)
-    supported = F.coalesce(F.col("supported"), F.lit(False))
-    second = F.when(supported, F.coalesce(F.col("solve_s"), F.lit(0.0))) \
-              .otherwise(dims.lookup("provider", plan_order, dims.DEFAULT_RANK).cast("double"))
-    ranked = with_position(latest, [F.col("supported").desc_nulls_last(), second,
-                                    F.col("solve_s").asc_nulls_last(),
-                                    F.col("provider").asc_nulls_last()], "position")
+    plan_rank = dims.lookup("provider", plan_order, dims.DEFAULT_RANK)
+    ranked = with_position(latest, captcha_order("supported", "solve_s", plan_rank, "provider"),
+                           "position")
     return Report(_captcha_cells(ranked, cost), OK)
 
 

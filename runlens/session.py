@@ -32,6 +32,7 @@ def get_session(master: str | None = None, app: str = "runlens",
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master and master.startswith("local"):
         b = b.config("spark.driver.memory", os.environ.get("RUNLENS_DRIVER_MEMORY", "16g"))

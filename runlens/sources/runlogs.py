@@ -42,41 +42,68 @@ def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def scan_runs(spark: SparkSession, path: str, kind: str | None = "lifecycle",
-              strict: bool = True, bad_lines: str = "permissive",
-              with_file: bool = False) -> DataFrame:
-    """Read ``path/*.jsonl`` with the kind's schema (all kinds merged when
-    ``kind`` is None).
+def _missing(e: AnalysisException) -> bool:
+    m = str(e)
+    return "PATH_NOT_FOUND" in m or "Path does not exist" in m or "UNABLE_TO_INFER" in m
+
+
+def scan_json(spark: SparkSession, path: str, schema: T.StructType,
+              bad_lines: str = "permissive") -> DataFrame:
+    """Read newline-delimited JSON with an explicit schema (no inference).
 
-    strict: keep rows whose file routes to ``kind``; compat: keep all rows.
-    bad_lines: 'permissive' (malformed fields NULL), 'failfast' (raise on the
-    first bad line), 'quarantine' (adds ``_corrupt_record``; see
-    ``split_quarantine``).
+    A missing path gives an empty DataFrame of ``schema``. bad_lines:
+    'permissive' (malformed fields NULL), 'failfast' (raise on the first bad
+    line), 'quarantine' (adds ``_corrupt_record``; see ``split_quarantine``).
     """
-    schema = KIND_SCHEMAS[kind] if kind else merged_schema()
-    out_schema = T.StructType(list(schema.fields) + ([T.StructField("kind", T.StringType())]
-                                                     if with_file else []))
-    reader = spark.read.schema(schema)
-    if bad_lines == "failfast":
-        reader = reader.option("mode", "FAILFAST")
-    elif bad_lines == "quarantine":
+    if bad_lines == "quarantine":
         schema = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-        out_schema = T.StructType(list(out_schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-        reader = spark.read.schema(schema).option("mode", "PERMISSIVE") \
-            .option("columnNameOfCorruptRecord", CORRUPT)
+        reader = (spark.read.schema(schema).option("mode", "PERMISSIVE")
+                  .option("columnNameOfCorruptRecord", CORRUPT))
+    elif bad_lines == "failfast":
+        reader = spark.read.schema(schema).option("mode", "FAILFAST")
+    elif bad_lines == "permissive":
+        reader = spark.read.schema(schema)
+    else:
+        raise ValueError(f"unknown bad-line policy {bad_lines!r}")
     try:
-        df = reader.json(f"{path.rstrip('/')}/*.jsonl")
+        return reader.json(path)
     except AnalysisException as e:  # missing directory or no matching file
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e) or "UNABLE_TO_INFER" in str(e):
-            return _empty(spark, out_schema)
+        if _missing(e):
+            return _empty(spark, schema)
         raise
+
+
+def scan_runs(spark: SparkSession, path: str, kind: str | None = "lifecycle",
+              strict: bool = True, bad_lines: str = "permissive",
+              with_file: bool = False) -> DataFrame:
+    """Read ``path/*.jsonl`` with the kind's schema (all kinds merged by name
+    when ``kind`` is None).
+
+    strict: keep rows whose file routes to ``kind``; compat: keep every row of
+    the glob, as a bare ``*.jsonl`` scan does. ``with_file`` adds the routed
+    ``kind`` column.
+    """
+    schema = KIND_SCHEMAS[kind] if kind else merged_schema()
+    cols = [f.name for f in schema.fields] + ([CORRUPT] if bad_lines == "quarantine" else []) \
+        + (["kind"] if with_file else [])
+    df = scan_json(spark, f"{path.rstrip('/')}/*.jsonl", schema, bad_lines)
+    if not df.columns or "_metadata" not in _metadata_names(df):
+        # empty stand-in for a missing path: no files, so no file names to route
+        return df.withColumn("kind", F.lit(None).cast("string")).select(*cols)
     routed = df.withColumn("kind", kind_of(F.col("_metadata.file_name")))
     if kind and strict:
         routed = routed.where(F.col("kind") == kind)
-    cols = [f.name for f in schema.fields] + (["kind"] if with_file else [])
     return routed.select(*cols)
 
 
+def _metadata_names(df: DataFrame) -> list[str]:
+    try:
+        df.select("_metadata.file_name").schema
+        return ["_metadata"]
+    except AnalysisException:
+        return []
+
+
 def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows without the corrupt column, bad raw lines)."""
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
