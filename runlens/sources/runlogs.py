@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runlens.session import shared_dir
 from runlens.sources.schemas import KIND_SCHEMAS, merged_schema
 
 # File-name patterns of each kind (lifecycle files are the rest).
@@ -105,9 +106,16 @@ def _metadata_names(df: DataFrame) -> list[str]:
 
 
 def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows without the corrupt column, bad raw lines)."""
-    good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    """(good rows without the corrupt column, bad rows with every column).
+
+    The JSON reader refuses a query whose only needed column is the corrupt
+    record (a ``count`` of either side would be one), so the parsed rows are
+    checkpointed once to the shared folder and both sides read that snapshot.
+    """
+    shared_dir(df.sparkSession)
+    parsed = df.checkpoint(eager=True)
+    good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    bad = parsed.where(F.col(CORRUPT).isNotNull())
     return good, bad
 
 
