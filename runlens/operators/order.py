@@ -1,9 +1,12 @@
 """Ordering operators: positions in a sorted result and custom sort keys.
 
-``with_position`` numbers rows 1..n in a total order without a global
-single-partition window: rows are range-partitioned and sorted, each partition
-numbers its own rows, and a table with one row per partition (a size bound
-that does not grow with the data) supplies the offsets.
+``with_position`` numbers rows 1..n in a total order. The input is first
+checkpointed to the shared folder (computed once, fixed for every later pass)
+and counted. A result of at most ``LOCAL_POSITION_ROWS`` rows (the checked
+bound) is numbered by one window over a single partition. A larger one is
+range-partitioned and sorted, each partition numbers its own rows, and a table
+with one row per partition (bounded by the partition count) supplies the
+offsets, so no task ever holds more than one range.
 """
 
 from __future__ import annotations
@@ -16,12 +19,22 @@ from runlens.session import shared_dir
 
 _PID, _MID, _N, _FIRST, _OFF = "_rl_pid", "_rl_mid", "_rl_n", "_rl_first", "_rl_off"
 
+# Largest result numbered inside one task.
+LOCAL_POSITION_ROWS = 1_000_000
+
+
+def snapshot(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` to the shared folder: later passes read this copy, so a
+    recomputation (e.g. after a lost executor) cannot re-split or reorder rows."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
 def range_sorted(df: DataFrame, order: list[Column], num_partitions: int | None = None) -> DataFrame:
     """Globally sort ``df`` by ``order`` and tag each row with its partition id and
     a per-partition increasing id, then checkpoint so every later use sees the
-    same partitioning (range bounds come from sampling)."""
-    shared_dir(df.sparkSession)  # checkpoint() needs the shared folder registered
+    same partitioning (range bounds come from sampling, which may differ
+    between two executions)."""
     # without an explicit count AQE may coalesce the range partitions; they stay
     # contiguous and ordered, which is all the offsets below rely on
     ranged = (df.repartitionByRange(num_partitions, *order) if num_partitions
@@ -30,18 +43,23 @@ def range_sorted(df: DataFrame, order: list[Column], num_partitions: int | None
               .sortWithinPartitions(*order)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_MID, F.monotonically_increasing_id()))
-    return tagged.checkpoint(eager=True)
+    return snapshot(tagged)
 
 
 def with_position(df: DataFrame, order: list[Column | str], name: str = "position",
-                  num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1-based position of each row in ``order``.
+                  num_partitions: int | None = None,
+                  local_rows: int = LOCAL_POSITION_ROWS) -> DataFrame:
+    """Add ``name`` = 1-based position (bigint) of each row in ``order``.
 
     ``order`` must be a total order (end it with a unique tie-break column) for
-    the positions to be deterministic. Returns rows sorted by position.
+    the positions to be deterministic. ``num_partitions`` forces the
+    range-partitioned path.
     """
     order = [col(o) for o in order]
-    srt = range_sorted(df, order, num_partitions)
+    base = snapshot(df)
+    if num_partitions is None and base.count() <= local_rows:
+        return base.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    srt = range_sorted(base, order, num_partitions)
     counts = srt.groupBy(_PID).agg(F.count(F.lit(1)).alias(_N), F.min(_MID).alias(_FIRST))
     # one row per partition: bounded by the partition count, safe to broadcast
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,6 +1,9 @@
 """Per-group quantiles.
 
 Methods:
+  ``auto``    (default) one cheap pass counts rows per group; when the largest
+              group has at most ``EXACT_GROUP_ROWS`` rows, ``builtin`` is used,
+              otherwise ``sorted``. Both are exact, so the result is the same.
   ``sorted``  exact, interpolated (quantile_cont / median). The values are
               range-partitioned by (keys, value), so a hot key is spread over many
               tasks; per-(partition, key) counts give each row's rank, and only the
@@ -18,7 +21,9 @@ from pyspark.sql import functions as F
 
 from runlens.operators.order import _MID, _PID, range_sorted
 
-DEFAULT_METHOD = "sorted"
+DEFAULT_METHOD = "auto"
+# largest group whose value->count map may be merged in one task
+EXACT_GROUP_ROWS = 2_000_000
 # the fetched-rank table is broadcast only below this many rows; above, a
 # shuffle join is used
 BROADCAST_ROWS = 2_000_000
@@ -28,6 +33,11 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
                     method: str = DEFAULT_METHOD, accuracy: int = 10000,
                     num_partitions: int | None = None) -> DataFrame:
     """One row per group that has a non-NULL value: ``keys`` + one column per prob."""
+    if method == "auto":
+        sizes = (df.where(F.col(value).isNotNull()).groupBy(*keys).count()
+                 .agg(F.max("count").alias("m")).first())
+        biggest = (sizes["m"] if sizes else None) or 0
+        method = "builtin" if biggest <= EXACT_GROUP_ROWS else "sorted"
     if method == "builtin":
         return df.groupBy(*keys).agg(*[F.percentile(F.col(value).cast("double"), p).alias(n)
                                        for n, p in probs.items()])
