@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from runlens.functions._col import col
 from runlens.functions.numeric import dround
-from runlens.operators.quantiles import DEFAULT_METHOD, group_quantiles
+from runlens.operators.quantiles import DEFAULT_METHOD, aggregate_with_quantiles
 
 ROLLUP_COLS = ["n_sessions", "sessions_succeeded", "sessions_failed",
                "sequential_equivalent_ms", "success"]
@@ -76,20 +76,14 @@ def batch_summary(batches: DataFrame, keys: list[str] = ["provider", "sequential
     """Batches per (provider, sequential_mode, concurrency): runs, avg sessions
     succeeded, avg / median wall time, avg sequential equivalent, avg overhead
     ratio, failed batches."""
-    agg = batches.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("runs"),
-        F.avg("sessions_succeeded").alias("avg_succeeded"),
-        F.avg(F.col("total_parallel_ms").cast("double")).alias("avg_parallel_ms"),
-        F.avg(F.col("sequential_equivalent_ms").cast("double")).alias("avg_seq_equiv_ms"),
-        F.avg("overhead_ratio").alias("avg_overhead_ratio"),
-        F.sum(F.when(F.col("success"), 0).otherwise(1)).cast("long").alias("failed_batches"))
-    med = group_quantiles(batches, keys, "total_parallel_ms", {"p50_parallel_ms": 0.5},
-                          method=quantile_method)
-    cond = None
-    for k in keys:
-        c = agg[k].eqNullSafe(med[k])
-        cond = c if cond is None else cond & c
-    out = agg.join(med, cond, "left").drop(*[med[k] for k in keys])
+    aggs = [F.count(F.lit(1)).alias("runs"),
+            F.avg("sessions_succeeded").alias("avg_succeeded"),
+            F.avg(F.col("total_parallel_ms").cast("double")).alias("avg_parallel_ms"),
+            F.avg(F.col("sequential_equivalent_ms").cast("double")).alias("avg_seq_equiv_ms"),
+            F.avg("overhead_ratio").alias("avg_overhead_ratio"),
+            F.sum(F.when(F.col("success"), 0).otherwise(1)).cast("long").alias("failed_batches")]
+    out = aggregate_with_quantiles(batches, keys, aggs, "total_parallel_ms",
+                                   {"p50_parallel_ms": 0.5}, method=quantile_method)
     rest = [k for k in keys if k != "concurrency"]
     return out.select(*rest, "runs", dround("avg_succeeded", 1).alias("avg_succeeded"),
                       F.col("concurrency").alias("max_sessions"),

@@ -29,21 +29,63 @@ EXACT_GROUP_ROWS = 2_000_000
 BROADCAST_ROWS = 2_000_000
 
 
+def resolve_method(df: DataFrame, keys: list[str], method: str = DEFAULT_METHOD) -> str:
+    """'auto' -> 'builtin' when the largest group of ``df`` has at most
+    ``EXACT_GROUP_ROWS`` rows (one partially aggregated counting pass), else
+    'sorted'. Other methods are returned unchanged."""
+    if method != "auto":
+        return method
+    sizes = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
+    biggest = (sizes["m"] if sizes else None) or 0
+    return "builtin" if biggest <= EXACT_GROUP_ROWS else "sorted"
+
+
+def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    if not keys:
+        return left.crossJoin(right)  # both sides are a single global row
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(right[k])
+        cond = c if cond is None else cond & c
+    return left.join(right, cond, "left").drop(*[right[k] for k in keys])
+
+
+def aggregate_with_quantiles(df: DataFrame, keys: list[str], aggs: list, value: str,
+                             probs: dict[str, float], method: str = DEFAULT_METHOD,
+                             where=None, accuracy: int = 10000) -> DataFrame:
+    """``df.groupBy(keys).agg(*aggs)`` plus one column per prob: the quantile of
+    ``value`` over the rows where ``where`` holds (NULL values ignored).
+
+    builtin / approx: the quantiles join the same aggregate (one pass, one
+    shuffle). sorted: a separate skew-safe plan, left-joined on the keys.
+    """
+    cond = F.col(value).isNotNull() if where is None else (where & F.col(value).isNotNull())
+    method = resolve_method(df.where(cond), keys, method)
+    if method in ("builtin", "approx"):
+        v = F.when(cond, F.col(value).cast("double"))
+        if method == "builtin":
+            qs = [F.percentile(v, p).alias(n) for n, p in probs.items()]
+        else:
+            qs = [F.percentile_approx(v, p, accuracy).alias(n) for n, p in probs.items()]
+        return df.groupBy(*keys).agg(*aggs, *qs)
+    if method != "sorted":
+        raise ValueError(f"unknown quantile method {method!r}")
+    agg = df.groupBy(*keys).agg(*aggs)
+    return _null_safe_left(agg, _sorted_quantiles(df.where(cond), keys, value, probs, None), keys)
+
+
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                     method: str = DEFAULT_METHOD, accuracy: int = 10000,
                     num_partitions: int | None = None) -> DataFrame:
     """One row per group that has a non-NULL value: ``keys`` + one column per prob."""
-    if method == "auto":
-        sizes = (df.where(F.col(value).isNotNull()).groupBy(*keys).count()
-                 .agg(F.max("count").alias("m")).first())
-        biggest = (sizes["m"] if sizes else None) or 0
-        method = "builtin" if biggest <= EXACT_GROUP_ROWS else "sorted"
+    vals = df.where(F.col(value).isNotNull())
+    method = resolve_method(vals, keys, method)
     if method == "builtin":
-        return df.groupBy(*keys).agg(*[F.percentile(F.col(value).cast("double"), p).alias(n)
-                                       for n, p in probs.items()])
+        return vals.groupBy(*keys).agg(*[F.percentile(F.col(value).cast("double"), p).alias(n)
+                                         for n, p in probs.items()])
     if method == "approx":
-        return df.groupBy(*keys).agg(*[F.percentile_approx(F.col(value).cast("double"), p, accuracy)
-                                       .alias(n) for n, p in probs.items()])
+        return vals.groupBy(*keys).agg(*[F.percentile_approx(F.col(value).cast("double"), p, accuracy)
+                                         .alias(n) for n, p in probs.items()])
     if method != "sorted":
         raise ValueError(f"unknown quantile method {method!r}")
     return _sorted_quantiles(df, keys, value, probs, num_partitions)

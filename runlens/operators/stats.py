@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.numeric import dround, row_total
-from runlens.operators.quantiles import DEFAULT_METHOD, group_quantiles
+from runlens.operators.quantiles import DEFAULT_METHOD, aggregate_with_quantiles
 
 # The four lifecycle stages and the row total, in report order.
 STAGES = ["session_creation_ms", "session_connect_ms", "page_goto_ms", "session_release_ms"]
@@ -22,11 +22,6 @@ TOTAL = "total_ms"
 METRIC_ORDER = STAGES + [TOTAL]
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-    return left.join(right, cond, how).drop(*[right[k] for k in keys])
-
-
 def is_true(c: Column | str) -> Column:
     """success = true; NULL counts as not true."""
     c = F.col(c) if isinstance(c, str) else c
@@ -58,12 +53,10 @@ def stage_totals(runs: DataFrame, keys: list[str] = ["provider"], stages: list[s
     """
     ok = with_stage_doubles(runs.where(F.col(success) == F.lit(True)), stages)
     names = ["avg_create_ms", "avg_connect_ms", "avg_goto_ms", "avg_release_ms"]
-    agg = ok.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("runs"),
-        F.avg(TOTAL).alias("avg_total_ms"),
-        *[F.avg(s).alias(n) for s, n in zip(stages, names)])
-    med = group_quantiles(ok, keys, TOTAL, {"median_total_ms": 0.5}, method=quantile_method)
-    out = _null_safe_join(agg, med, keys, "left")
+    aggs = [F.count(F.lit(1)).alias("runs"), F.avg(TOTAL).alias("avg_total_ms"),
+            *[F.avg(s).alias(n) for s, n in zip(stages, names)]]
+    out = aggregate_with_quantiles(ok, keys, aggs, TOTAL, {"median_total_ms": 0.5},
+                                   method=quantile_method)
     rounded = ["avg_total_ms", "median_total_ms"] + names
     return out.select(*keys, "runs", *[dround(c, places).alias(c) for c in rounded])
 
@@ -136,15 +129,13 @@ def stage_summary(runs: DataFrame, keys: list[str] = ["provider"], stages: list[
     long = _long_runs(runs, keys, stages, success)
     ok = F.col(success) == F.lit(True)
     gk = keys + ["metric"]
-    agg = long.groupBy(*gk).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        (F.lit(100.0) * F.avg(F.when(F.col(success), 1).otherwise(0))).alias("success_rate"),
-        F.count_if(ok).alias("_n_ok"),
-        F.avg(F.when(ok, F.col("value"))).alias("avg_ms"),
-        F.stddev_samp(F.when(ok, F.col("value"))).alias("stddev_ms"))
-    q = group_quantiles(long.where(ok), gk, "value", {"median_ms": 0.5, "p95_ms": 0.95},
-                        method=quantile_method)
-    out = _null_safe_join(agg.where(F.col("_n_ok") > 0), q, gk, "left")
+    aggs = [F.count(F.lit(1)).alias("row_count"),
+            (F.lit(100.0) * F.avg(F.when(F.col(success), 1).otherwise(0))).alias("success_rate"),
+            F.count_if(ok).alias("_n_ok"),
+            F.avg(F.when(ok, F.col("value"))).alias("avg_ms"),
+            F.stddev_samp(F.when(ok, F.col("value"))).alias("stddev_ms")]
+    out = aggregate_with_quantiles(long, gk, aggs, "value", {"median_ms": 0.5, "p95_ms": 0.95},
+                                   method=quantile_method, where=ok).where(F.col("_n_ok") > 0)
     return out.select(*keys, _rate_side(keys, F.col("row_count")).alias("row_count"),
                       _rate_side(keys, dround("success_rate", 1)).alias("success_pct"), "metric",
                       *[dround(c, places).alias(c) for c in ("avg_ms", "median_ms", "p95_ms", "stddev_ms")])

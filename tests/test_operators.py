@@ -95,6 +95,23 @@ def test_quantile_methods_agree_under_skew(spark):
         assert x[0] == y[0] and all(abs(p - q) < 1e-9 for p, q in zip(x[1:], y[1:]))
 
 
+def test_quantile_methods_give_same_reports(spark):
+    rnd = random.Random(17)
+    rows = [(rnd.choice("AB"), rnd.random() < 0.6, rnd.randint(0, 900), rnd.randint(0, 900),
+             rnd.randint(0, 900), rnd.choice([None, rnd.randint(0, 900)])) for _ in range(1500)]
+    df = runs_df(spark, rows)
+    for fn in (stage_summary, stage_totals):
+        a = sorted(tuple(r) for r in fn(df, places=4, quantile_method="sorted").collect())
+        b = sorted(tuple(r) for r in fn(df, places=4, quantile_method="builtin").collect())
+        assert a == b
+    bat = spark.createDataFrame([("K", False, 3, 1, float(t), 9, 0.5, True) for t in range(101)],
+                                "provider string, sequential_mode boolean, concurrency int, "
+                                "sessions_succeeded long, total_parallel_ms double, "
+                                "sequential_equivalent_ms long, overhead_ratio double, success boolean")
+    assert batch_summary(bat, quantile_method="sorted").collect() == \
+        batch_summary(bat, quantile_method="builtin").collect()
+
+
 def test_unpivot_row_count_and_nulls(spark):
     df = runs_df(spark, [("K", True, 1, None, 3, 4), ("S", False, 5, 6, 7, 8)])
     long = unpivot_stages(df, ["provider"], STAGES)
