@@ -26,7 +26,7 @@ DEFAULT_METHOD = "auto"
 EXACT_GROUP_ROWS = 2_000_000
 # the fetched-rank table is broadcast only below this many rows; above, a
 # shuffle join is used
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def resolve_method(df: DataFrame, keys: list[str], method: str = DEFAULT_METHOD) -> str:

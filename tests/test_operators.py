@@ -233,3 +233,12 @@ def test_captcha_order_timeout_first(spark):
 def test_enum_rank(spark):
     df = spark.createDataFrame([("total_ms",), ("page_goto_ms",), ("other",)], "m string")
     assert [r[0] for r in df.select(enum_rank("m", STAGES + ["total_ms"])).collect()] == [5, 3, 99]
+
+
+def test_lookup_default_with_dimension_frame(spark):
+    from runlens.operators.dims import lookup_default
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    dim = spark.createDataFrame([("a", 1)], "k string, rank int")
+    for bound in (None, 10, 0):
+        out = lookup_default(df, dim, "k", "rank", 99, max_dim_rows=bound)
+        assert sorted((r["k"] or "", r["rank"]) for r in out.collect()) == [("", 99), ("a", 1), ("b", 99)]
