@@ -48,15 +48,16 @@ def range_sorted(df: DataFrame, order: list[Column], num_partitions: int | None
 
 def with_position(df: DataFrame, order: list[Column | str], name: str = "position",
                   num_partitions: int | None = None,
-                  local_rows: int = LOCAL_POSITION_ROWS) -> DataFrame:
+                  local_rows: int = LOCAL_POSITION_ROWS, fixed: bool = False) -> DataFrame:
     """Add ``name`` = 1-based position (bigint) of each row in ``order``.
 
     ``order`` must be a total order (end it with a unique tie-break column) for
     the positions to be deterministic. ``num_partitions`` forces the
-    range-partitioned path.
+    range-partitioned path. ``fixed``: ``df`` is already a snapshot (or derived
+    from one by row-wise expressions), so it is not checkpointed again.
     """
     order = [col(o) for o in order]
-    base = snapshot(df)
+    base = df if fixed else snapshot(df)
     if num_partitions is None and base.count() <= local_rows:
         return base.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     srt = range_sorted(base, order, num_partitions)

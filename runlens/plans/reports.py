@@ -23,7 +23,8 @@ from runlens.functions.text import error_reason
 from runlens.operators import dims
 from runlens.operators.batches import batch_summary as _batch_summary
 from runlens.operators.latest import any_failure, latest_per_key, latest_with_fallback
-from runlens.operators.order import captcha_order, enum_rank, survivor_key, with_position
+from runlens.operators.order import (captcha_order, enum_rank, snapshot, survivor_key,
+                                     with_position)
 from runlens.operators.quantiles import DEFAULT_METHOD
 from runlens.operators.stats import (METRIC_ORDER, STAGES, complete_rows, stage_summary,
                                      stage_totals)
@@ -160,13 +161,13 @@ def report_stealth(stealth: DataFrame, plan: dict = dims.STEALTH_PLAN,
     """Latest success (else latest failure) per provider x mode, providers in
     tier order (0 clean + score >= 0.3, 1 clean, 2 fixed by stealth, 3 none)."""
     rows = stealth.where(F.col("mode").isin(STEALTH_MODES))
-    chosen = latest_with_fallback(rows, ["provider", "mode"], "success", "created_at", tie)
+    chosen = snapshot(latest_with_fallback(rows, ["provider", "mode"], "success", "created_at", tie))
     if not _has_rows(chosen):
         return _withheld(_stealth_cells(_tiered(chosen).withColumn("position", F.lit(0).cast("long")),
                                         plan), NO_INPUT)
     tiered = _tiered(chosen)
     ranked = with_position(tiered, ["tier", F.col("provider").asc_nulls_last(),
-                                    enum_rank("mode", STEALTH_MODES)], "position")
+                                    enum_rank("mode", STEALTH_MODES)], "position", fixed=True)
     return Report(_stealth_cells(ranked, plan), OK)
 
 
@@ -214,8 +215,9 @@ def report_captcha(captcha: DataFrame, cost: dict = dims.CAPTCHA_COST,
     Supported first; unsupported by plan order; supported by solve time with a
     missing time read as 0; ties keep (supported, solve time NULLS LAST, provider).
     """
-    latest = latest_per_key(captcha, ["provider"], "created_at", tie) \
-        .withColumn("solve_s", to_seconds("solve_ms", 1))
+    # one row per provider, computed once: the gates and the ranking read this copy
+    latest = snapshot(latest_per_key(captcha, ["provider"], "created_at", tie)
+                      .withColumn("solve_s", to_seconds("solve_ms", 1)))
     if not _has_rows(latest):
         return _withheld(_captcha_cells(latest.withColumn("position", F.lit(0).cast("long")), cost),
                          NO_INPUT)
@@ -224,7 +226,7 @@ def report_captcha(captcha: DataFrame, cost: dict = dims.CAPTCHA_COST,
                          HAS_ERRORS)
     plan_rank = dims.lookup("provider", plan_order, dims.DEFAULT_RANK)
     ranked = with_position(latest, captcha_order("supported", "solve_s", plan_rank, "provider"),
-                           "position")
+                           "position", fixed=True)
     return Report(_captcha_cells(ranked, cost), OK)
 
 
@@ -249,12 +251,13 @@ def report_parallel(batches: DataFrame, limits: dict = dims.CONCURRENCY_LIMIT_TE
         dround(F.avg(F.col("total_parallel_ms").cast("double")), 0).alias("avg_parallel_ms"),
         dround(F.avg("overhead_ratio"), 4).alias("avg_overhead_ratio"),
         F.sum(F.when(F.col("success"), 0).otherwise(1)).cast("long").alias("failed_batches"))
+    agg = snapshot(agg)
     if not _has_rows(agg):
         return _withheld(_parallel_cells(agg.withColumn("rank", F.lit(0).cast("long")), limits), NO_INPUT)
     ranked = with_position(agg, [F.col("sequential_mode").asc_nulls_last(),
                                  F.col("avg_overhead_ratio").asc_nulls_last(),
                                  F.col("provider").asc_nulls_last(),
-                                 F.col("concurrency").asc_nulls_last()], "rank")
+                                 F.col("concurrency").asc_nulls_last()], "rank", fixed=True)
     return Report(_parallel_cells(ranked, limits), OK)
 
 
