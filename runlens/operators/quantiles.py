@@ -63,11 +63,12 @@ def aggregate_with_quantiles(df: DataFrame, keys: list[str], aggs: list, value:
     method = resolve_method(df.where(cond), keys, method)
     if method in ("builtin", "approx"):
         v = F.when(cond, F.col(value).cast("double"))
-        if method == "builtin":
-            qs = [F.percentile(v, p).alias(n) for n, p in probs.items()]
-        else:
-            qs = [F.percentile_approx(v, p, accuracy).alias(n) for n, p in probs.items()]
-        return df.groupBy(*keys).agg(*aggs, *qs)
+        ps = list(probs.values())
+        # all quantiles of one column from one buffer (array form)
+        q = F.percentile(v, ps) if method == "builtin" else F.percentile_approx(v, ps, accuracy)
+        out = df.groupBy(*keys).agg(*aggs, q.alias("_rl_q"))
+        cols = [c for c in out.columns if c != "_rl_q"]
+        return out.select(*cols, *[F.col("_rl_q")[i].alias(n) for i, n in enumerate(probs)])
     if method != "sorted":
         raise ValueError(f"unknown quantile method {method!r}")
     agg = df.groupBy(*keys).agg(*aggs)

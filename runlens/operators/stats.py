@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.numeric import dround, row_total
-from runlens.operators.quantiles import DEFAULT_METHOD, aggregate_with_quantiles
+from runlens.operators.quantiles import DEFAULT_METHOD, aggregate_with_quantiles, resolve_method
 
 # The four lifecycle stages and the row total, in report order.
 STAGES = ["session_creation_ms", "session_connect_ms", "page_goto_ms", "session_release_ms"]
@@ -91,11 +91,6 @@ def _rate_side(keys: list[str], c: Column) -> Column:
     return F.when(present, c)
 
 
-def _long_runs(runs: DataFrame, keys: list[str], stages: list[str], success: str) -> DataFrame:
-    wide = with_stage_doubles(runs.select(*keys, success, *stages), stages)
-    return wide.unpivot(keys + [success], stages + [TOTAL], "metric", "value")
-
-
 def stats_with_rate(runs: DataFrame, keys: list[str] = ["provider"], stages: list[str] = STAGES,
                     success: str = "success", places: int = 1) -> DataFrame:
     """Statistics of successful runs' totals LEFT JOIN the success rate of all runs.
@@ -122,20 +117,46 @@ def stage_summary(runs: DataFrame, keys: list[str] = ["provider"], stages: list[
                   quantile_method: str = DEFAULT_METHOD) -> DataFrame:
     """keys x metric: row_count, success_pct, avg, median, p95, stddev.
 
-    Per (key, metric) the rate columns equal the per-key rate (each run yields
-    one row per metric), so stats and rate come from one aggregate over the
-    unpivoted rows; groups without a successful run are dropped (left join).
+    Statistics are over successful runs, the rate over all runs; a key without
+    a successful run has no rows (the stats side of the left join is empty).
+
+    When the exact percentiles fit the aggregate (groups checked, see
+    ``quantiles``) the stages are aggregated side by side, one row per key,
+    and only that small result is unpivoted to (key, metric) rows: the
+    aggregation and its shuffle see each run once, not once per metric.
+    Otherwise the runs are unpivoted first (one scan, an ``Expand``) and the
+    quantiles come from the skew-safe sorted method.
     """
-    long = _long_runs(runs, keys, stages, success)
     ok = F.col(success) == F.lit(True)
-    gk = keys + ["metric"]
-    aggs = [F.count(F.lit(1)).alias("row_count"),
-            (F.lit(100.0) * F.avg(F.when(F.col(success), 1).otherwise(0))).alias("success_rate"),
-            F.count_if(ok).alias("_n_ok"),
-            F.avg(F.when(ok, F.col("value"))).alias("avg_ms"),
-            F.stddev_samp(F.when(ok, F.col("value"))).alias("stddev_ms")]
-    out = aggregate_with_quantiles(long, gk, aggs, "value", {"median_ms": 0.5, "p95_ms": 0.95},
-                                   method=quantile_method, where=ok).where(F.col("_n_ok") > 0)
+    wide = with_stage_doubles(runs.select(*keys, success, *stages), stages)
+    metrics = stages + [TOTAL]
+    method = resolve_method(wide.where(ok), keys, quantile_method)
+    rate_aggs = [F.count(F.lit(1)).alias("row_count"),
+                 (F.lit(100.0) * F.avg(F.when(F.col(success), 1).otherwise(0))).alias("success_rate"),
+                 F.count_if(ok).alias("_n_ok")]
+    if method in ("builtin", "approx"):
+        per_metric = []
+        for i, m in enumerate(metrics):
+            v = F.when(ok & F.col(m).isNotNull(), F.col(m))
+            # both quantiles from one value->count map (array form)
+            q = (F.percentile(v, [0.5, 0.95]) if method == "builtin"
+                 else F.percentile_approx(v, [0.5, 0.95], 10000))
+            per_metric += [F.avg(F.when(ok, F.col(m))).alias(f"_a{i}"), q.alias(f"_q{i}"),
+                           F.stddev_samp(F.when(ok, F.col(m))).alias(f"_s{i}")]
+        agg = wide.groupBy(*keys).agg(*rate_aggs, *per_metric).where(F.col("_n_ok") > 0)
+        rows = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"_a{i}").alias("avg_ms"),
+                                           F.col(f"_q{i}")[0].alias("median_ms"),
+                                           F.col(f"_q{i}")[1].alias("p95_ms"),
+                                           F.col(f"_s{i}").alias("stddev_ms"))
+                                  for i, m in enumerate(metrics)]))
+        out = agg.select(*keys, "row_count", "success_rate", rows)
+    else:
+        long = wide.unpivot(keys + [success], metrics, "metric", "value")
+        aggs = rate_aggs + [F.avg(F.when(ok, F.col("value"))).alias("avg_ms"),
+                            F.stddev_samp(F.when(ok, F.col("value"))).alias("stddev_ms")]
+        out = aggregate_with_quantiles(long, keys + ["metric"], aggs, "value",
+                                       {"median_ms": 0.5, "p95_ms": 0.95},
+                                       method=method, where=ok).where(F.col("_n_ok") > 0)
     return out.select(*keys, _rate_side(keys, F.col("row_count")).alias("row_count"),
                       _rate_side(keys, dround("success_rate", 1)).alias("success_pct"), "metric",
                       *[dround(c, places).alias(c) for c in ("avg_ms", "median_ms", "p95_ms", "stddev_ms")])
