@@ -42,7 +42,9 @@ def resolve_method(df: DataFrame, keys: list[str], method: str = DEFAULT_METHOD)
 
 def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
-        return left.crossJoin(right)  # both sides are a single global row
+        # global aggregates: one row each side, joined on a constant key
+        one = F.lit(1).alias("_rl_one")
+        return left.select("*", one).join(right.select("*", one), "_rl_one", "left").drop("_rl_one")
     cond = None
     for k in keys:
         c = left[k].eqNullSafe(right[k])

@@ -242,3 +242,12 @@ def test_lookup_default_with_dimension_frame(spark):
     for bound in (None, 10, 0):
         out = lookup_default(df, dim, "k", "rank", 99, max_dim_rows=bound)
         assert sorted((r["k"] or "", r["rank"]) for r in out.collect()) == [("", 99), ("a", 1), ("b", 99)]
+
+
+def test_global_quantiles_without_keys(spark):
+    from runlens.operators.quantiles import aggregate_with_quantiles
+    df = spark.createDataFrame([(float(v),) for v in range(1, 102)], "v double")
+    for m in ("builtin", "sorted"):
+        r = aggregate_with_quantiles(df, [], [F.count(F.lit(1)).alias("n")], "v",
+                                     {"p50": 0.5, "p95": 0.95}, method=m).first()
+        assert (r["n"], r["p50"], r["p95"]) == (101, 51.0, 96.0)
