@@ -25,6 +25,19 @@ def convert_runs(df: DataFrame, path: str, by: list[str] = ["kind"]) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+def read_converted(spark, path: str, kind: str | None = None,
+                   providers: list[str] | None = None):
+    """Read run logs stored by ``convert_runs`` / streaming ingestion. Kind and
+    provider predicates are partition filters: only matching folders are listed
+    and read."""
+    df = spark.read.parquet(path)
+    if kind is not None:
+        df = df.where(F.col("kind") == kind)
+    if providers is not None:
+        df = df.where(F.col("provider").isin(providers))
+    return df
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write one report table (few rows: one output file)."""
     df.coalesce(1).write.mode("overwrite").format(fmt).option("header", "true").save(path)
