@@ -63,3 +63,20 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder for an intermediate table."""
     return f"{shared_dir(spark).rstrip('/')}/runlens-{name}-{uuid.uuid4().hex}"
+
+
+def size_shuffle_partitions(spark: SparkSession, input_bytes: int,
+                            target_bytes: int = 128 << 20, floor: int = 200,
+                            ceiling: int = 100_000) -> int:
+    """Set ``spark.sql.shuffle.partitions`` so that a shuffle of the whole input
+    lands near ``target_bytes`` per partition (AQE then coalesces the small
+    ones and splits skewed ones). Returns the value set.
+
+    Example: 100 TB of input at 128 MiB per partition asks for ~800k, clamped
+    to ``ceiling``; with partial aggregation most shuffles are far smaller, and
+    AQE coalescing brings them down at run time.
+    """
+    n = max(floor, min(ceiling, -(-input_bytes // target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    return n
