@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.functions import (all_clean, any_phrase, canonical_key, check_detected, check_lookup,
+from runlens.functions import (all_clean, any_phrase, check_detected, check_lookup,
                                check_verdict, dround, duration_ms, error_reason, iso_date,
-                               iso_text, num_text, page_title, parse_checks, phrase_class,
+                               iso_text, page_title, parse_checks, phrase_class,
                                rate_limited, row_total, safe_double, score_at_least,
                                score_extract, shortfall, split_clean, to_seconds,
                                tristate_label, truncate_text, value_label)

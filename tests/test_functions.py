@@ -2,7 +2,6 @@
 hazards H7, H11-H13, H17)."""
 
 import duckdb
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

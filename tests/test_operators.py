@@ -5,7 +5,6 @@ import random
 
 import duckdb
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators.batches import (batch_summary, fill_empty_batches, overhead_ratio,
@@ -16,7 +15,6 @@ from runlens.operators.order import captcha_order, enum_rank, with_position
 from runlens.operators.quantiles import group_quantiles
 from runlens.operators.stats import (STAGES, run_tally, stage_summary, stage_totals,
                                      stats_with_rate, success_rate, unpivot_stages)
-from runlens.sources.schemas import LIFECYCLE, PARALLEL
 
 LIFE_DDL = ("provider string, success boolean, session_creation_ms bigint, session_connect_ms bigint, "
             "page_goto_ms bigint, session_release_ms bigint")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import quantiles
 from runlens.operators.latest import latest_per_key, latest_with_fallback
-from runlens.operators.stats import STAGES, stage_summary, stage_totals
+from runlens.operators.stats import stage_summary, stage_totals
 from runlens.sources.sinks import read_converted
 from runlens.sources.schemas import LIFECYCLE
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators.dims import canonical_provider
-from runlens.operators.stats import STAGES, run_tally, stage_totals
+from runlens.operators.stats import run_tally, stage_totals
 from runlens.sources.runlogs import parse_created_at, scan_json, scan_runs, split_quarantine
 from runlens.sources.schemas import LIFECYCLE, PARALLEL
 from runlens.sources.sinks import (append_runs, convert_runs, replace_slice, to_json_text,

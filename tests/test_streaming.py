@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
-
 from runlens.operators.stats import run_tally
 from runlens.streaming.ingest import ingest_runs, stream_runs
 
