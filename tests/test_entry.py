@@ -29,3 +29,19 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     df = se.queries()[name](spark, SF)
     assert compare(df, con.sql(se.oracle_sql()[name])) == []
+
+
+FORCED = ["stage_totals", "stage_summary", "batch_summary", "enum_order", "rank_position",
+          "survivor_order", "report_lifecycle", "report_idle", "report_stealth", "report_captcha",
+          "report_parallel", "mixed_sort", "captcha_order"]
+
+
+@pytest.mark.parametrize("name", FORCED)
+def test_hot_group_paths_match_oracle(spark, con, name, monkeypatch):
+    """Every group treated as hot and every ranking as large: the sorted exact
+    quantiles and range-partitioned positions must give the same tables."""
+    from runlens.operators import order, quantiles
+    monkeypatch.setattr(quantiles, "EXACT_GROUP_ROWS", 0)
+    monkeypatch.setattr(order, "LOCAL_POSITION_ROWS", 0)
+    df = se.queries()[name](spark, SF)
+    assert compare(df, con.sql(se.oracle_sql()[name])) == []
