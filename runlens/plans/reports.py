@@ -2,9 +2,13 @@
 
 REP0a-d are the four SQL queries (totals, summary, idle rows, parallel
 batches); REP1-5 are the ranked report tables with display cells; REP6 is the
-per-section status. Each report is one lazy plan; the two gated reports
-evaluate their gate (a single boolean aggregate) before choosing to return
-rows, as the report does.
+per-section status.
+
+A report builds its intermediate (latest rows, per-key aggregates, record
+rows), checkpoints it once when it feeds several passes, evaluates its gates
+on it (a one-row existence check; for the two gated reports a single boolean
+aggregate) and ranks it with ``with_position``. A report that has no input or
+is withheld returns an empty table with the same columns and its state.
 """
 
 from __future__ import annotations
