@@ -4,8 +4,9 @@ overhead ratio; batch summary per (provider, mode, concurrency).
 Two shapes of the same rollup:
   rows   one row per session: grouped by batch (partial aggregation before
          the shuffle, so a huge batch costs one partial row per map task);
-  nested one row per batch with an array of sessions: array functions,
-         no shuffle at all.
+  nested one record per batch (or per part of a batch) with an array of
+         sessions: array functions, no shuffle; ``combine_rollups`` adds up
+         the parts of a batch stored as several records.
 """
 
 from __future__ import annotations
@@ -64,6 +65,19 @@ def rollup_nested(batches: DataFrame, sessions: str = "sessions", ok: str = "suc
             .withColumn("success", F.col("sessions_failed") == 0))
 
 
+def combine_rollups(records: DataFrame, batch_keys: list[str]) -> DataFrame:
+    """Batch counters from several records of the same batch (e.g. a batch
+    stored as several nested records): counts and sums add up, and the batch
+    succeeded when no record has a failed session. Partially aggregated, so a
+    batch with many records costs one partial row per map task."""
+    return (records.groupBy(*batch_keys).agg(
+                F.sum("n_sessions").cast("long").alias("n_sessions"),
+                F.sum("sessions_succeeded").cast("long").alias("sessions_succeeded"),
+                F.sum("sessions_failed").cast("long").alias("sessions_failed"),
+                F.sum("sequential_equivalent_ms").alias("sequential_equivalent_ms"))
+            .withColumn("success", F.col("sessions_failed") == 0))
+
+
 def overhead_ratio(wall: Column | str, seq: Column | str, places: int = 4) -> Column:
     """wall / sequential-equivalent, rounded; NULL when the sum is 0 or wall is NULL."""
     wall, seq = col(wall), col(seq)

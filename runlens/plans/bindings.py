@@ -30,8 +30,8 @@ from runlens.functions import (all_clean, any_phrase, check_detected, check_look
                                score_extract, shortfall, split_clean, to_seconds,
                                tristate_label, truncate_text, value_label)
 from runlens.operators import dims
-from runlens.operators.batches import (batch_summary, fill_empty_batches, overhead_ratio,
-                                       rollup_nested, rollup_rows)
+from runlens.operators.batches import (batch_summary, combine_rollups, fill_empty_batches,
+                                       overhead_ratio, rollup_nested, rollup_rows)
 from runlens.operators.latest import (any_failure, distinct_keys, latest_per_key,
                                       latest_with_fallback, sibling_values)
 from runlens.operators.order import captcha_order, enum_rank, survivor_key, with_position
@@ -76,7 +76,7 @@ def _k(props: str = "props") -> Column:
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("batch_id"), "l_linenumber",
+        F.col("l_orderkey").alias("batch_id"), "l_linenumber", "l_partkey", "l_suppkey",
         F.col("l_quantity").alias("session_total_ms"),
         (F.col("l_linestatus") == "F").alias("success"))
 
@@ -89,14 +89,27 @@ def batches(spark: SparkSession, d: str) -> DataFrame:
     return fill_empty_batches(joined, T.DoubleType())
 
 
+# sessions per nested record in the stand-in (a batch record holds a bounded array)
+SESSIONS_PER_RECORD = 8
+
+
 def nested_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Orders with their sessions as an array<struct> column (the nested record
-    shape of a parallel batch)."""
+    """Orders with their sessions as array<struct> records (the nested record
+    shape of a parallel batch). A batch with more than ``SESSIONS_PER_RECORD``
+    sessions is split over ceil(n / SESSIONS_PER_RECORD) records by a hash of
+    the session row, so no array grows with the size of a batch; an order
+    without sessions is one record with a NULL array."""
     s = sessions(spark, d)
-    arr = s.groupBy("batch_id").agg(F.collect_list(F.struct(
-        F.col("l_linenumber").alias("session_index"), "session_total_ms", "success")).alias("sessions"))
+    n = s.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") / F.lit(SESSIONS_PER_RECORD))
+    part = F.pmod(F.xxhash64("l_linenumber", "session_total_ms", "success", "l_partkey",
+                             "l_suppkey"), parts)
+    records = (s.join(n, "batch_id").withColumn("part", part)
+               .groupBy("batch_id", "part").agg(F.collect_list(F.struct(
+                   F.col("l_linenumber").alias("session_index"), "session_total_ms", "success"))
+                   .alias("sessions")))
     orders = table(spark, d, "orders")
-    return orders.join(arr, orders["o_orderkey"] == arr["batch_id"], "left").drop("batch_id")
+    return orders.join(records, orders["o_orderkey"] == records["batch_id"], "left").drop("batch_id")
 
 
 def _batch_frame(spark: SparkSession, d: str, concurrency: Column) -> DataFrame:
@@ -177,6 +190,7 @@ EVENT_JSON = T.StructType([
 
 BATCH_JSON = T.StructType([
     T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderpriority", T.StringType()),
+    T.StructField("part", T.LongType()),
     T.StructField("sessions", T.ArrayType(T.StructType([
         T.StructField("session_index", T.IntegerType()),
         T.StructField("session_total_ms", T.DoubleType()),
@@ -194,16 +208,17 @@ def q_json_scan(spark, d):
 
 def q_json_nested_scan(spark, d):
     path = scratch_path(spark, "batches-json")
-    nested_batches(spark, d).select("o_orderkey", "o_orderpriority", "sessions") \
+    nested_batches(spark, d).select("o_orderkey", "o_orderpriority", "part", "sessions") \
         .write.mode("overwrite").json(path)
     b = scan_json(spark, path, BATCH_JSON)
     arr = F.coalesce(F.col("sessions"), F.array().cast(BATCH_JSON["sessions"].dataType))
-    return b.groupBy("o_orderpriority").agg(
-        F.count(F.lit(1)).alias("n_batches"),
-        F.sum(F.size(arr)).cast("long").alias("n_sessions"),
-        dround(F.sum(F.aggregate(arr, F.lit(0.0),
-                                 lambda acc, s: acc + F.coalesce(s["session_total_ms"], F.lit(0.0)))),
-               P).alias("total_session_ms"))
+    per_batch = b.groupBy("o_orderpriority", "o_orderkey").agg(
+        F.sum(F.size(arr)).cast("long").alias("n"),
+        F.sum(F.aggregate(arr, F.lit(0.0),
+                          lambda acc, s: acc + F.coalesce(s["session_total_ms"], F.lit(0.0)))).alias("s"))
+    return per_batch.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n_batches"), F.sum("n").cast("long").alias("n_sessions"),
+        dround(F.sum("s"), P).alias("total_session_ms"))
 
 
 def q_json_roundtrip(spark, d):
@@ -408,7 +423,7 @@ def q_batch_rollup(spark, d):
 
 
 def q_batch_rollup_nested(spark, d):
-    return _rollup_out(rollup_nested(nested_batches(spark, d)))
+    return _rollup_out(combine_rollups(rollup_nested(nested_batches(spark, d)), ["o_orderkey"]))
 
 
 def q_overhead_ratio(spark, d):

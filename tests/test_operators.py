@@ -249,3 +249,20 @@ def test_global_quantiles_without_keys(spark):
         r = aggregate_with_quantiles(df, [], [F.count(F.lit(1)).alias("n")], "v",
                                      {"p50": 0.5, "p95": 0.95}, method=m).first()
         assert (r["n"], r["p50"], r["p95"]) == (101, 51.0, 96.0)
+
+
+def test_combined_record_rollups_equal_flat(spark):
+    from runlens.operators.batches import combine_rollups
+    rnd = random.Random(21)
+    sess = [(b, i, rnd.choice([None, rnd.randint(0, 50)]), rnd.choice([True, False, None]))
+            for b in range(60) for i in range(rnd.randint(1, 30))]
+    flat = spark.createDataFrame(sess, "batch long, i long, session_total_ms long, success boolean")
+    want = rollup_rows(flat, ["batch"])
+    # the same batches stored as several nested records each (at most 4 sessions per record)
+    rec = flat.groupBy("batch", (F.col("i") / 4).cast("long").alias("part")).agg(
+        F.collect_list(F.struct("session_total_ms", "success")).alias("sessions"))
+    got = combine_rollups(rollup_nested(rec), ["batch"])
+    cols = ["batch", "n_sessions", "sessions_succeeded", "sessions_failed", "sequential_equivalent_ms",
+            "success"]
+    assert sorted(tuple(r) for r in got.select(cols).collect()) == \
+        sorted(tuple(r) for r in want.select(cols).collect())
