@@ -126,6 +126,15 @@ def canonical_provider(raw: Column | str, aliases: dict = PROVIDER_ALIASES) -> C
     return lookup(canonical_key(raw), aliases)
 
 
+def resolve_keys(df: DataFrame, raw: str, out: str = "provider",
+                 aliases: dict = PROVIDER_ALIASES) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``raw`` key resolves, with ``out`` = canonical key; rows whose
+    key is unknown or NULL, kept as they are for review). One projection each,
+    no join."""
+    keyed = df.withColumn(out, canonical_provider(raw, aliases))
+    return keyed.where(F.col(out).isNotNull()), keyed.where(F.col(out).isNull()).drop(out)
+
+
 def capability(key: Column | str, exclusions: dict = CAPTCHA_NOT_SUPPORTED,
                variants: set = CAPTCHA_VARIANT) -> tuple[Column, Column]:
     """(supported, not_supported_reason): supported = no exclusion reason AND a

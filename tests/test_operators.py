@@ -266,3 +266,12 @@ def test_combined_record_rollups_equal_flat(spark):
             "success"]
     assert sorted(tuple(r) for r in got.select(cols).collect()) == \
         sorted(tuple(r) for r in want.select(cols).collect())
+
+
+def test_resolve_keys_splits_unknown(spark):
+    from runlens.operators.dims import resolve_keys
+    df = spark.createDataFrame([(" Hyper ",), ("bb",), ("acme",), (None,)], "raw string")
+    ok, rejected = resolve_keys(df, "raw")
+    assert sorted(r["provider"] for r in ok.collect()) == ["BROWSERBASE", "HYPERBROWSER"]
+    assert sorted(r["raw"] or "" for r in rejected.collect()) == ["", "acme"]
+    assert rejected.columns == ["raw"]
