@@ -31,9 +31,13 @@ HEADLESS_PHRASES = [
     ("you are headless", True),
 ]
 # Score capture cascade: labelled score, then a number before a slash, then a
-# line that is exactly a decimal fraction.
-SCORE_LABELLED = r"(?i)score[:\s]+([\d.]+)"
-SCORE_BEFORE_SLASH = r"([\d.]+)\s*/"
+# line that is exactly a decimal fraction. The capture patterns use JavaScript's
+# whitespace set (its \s also matches NBSP and the Unicode spaces), spelled out
+# because Java's and RE2's \s are ASCII-only; \x{...} reads the same in both.
+JS_SPACE = (r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+            r"\x{202F}\x{205F}\x{3000}\x{FEFF}")
+SCORE_LABELLED = r"(?i)score[:" + JS_SPACE + r"]+([\d.]+)"
+SCORE_BEFORE_SLASH = r"([\d.]+)[" + JS_SPACE + r"]*/"
 SCORE_BARE_LINE = r"(?m)^(0\.\d+)$"
 ERROR_PREFIX = "Error: "
 TRUNCATE_CHARS = 500

@@ -85,7 +85,8 @@ def test_phrases_and_truncation(spark):
 
 def test_score_cascade(spark):
     texts = {"Your score: 0.9": 0.9, "score:0.3.": 0.3, "0.7 / 1.0": 0.7, "line\n0.1\nend": 0.1,
-             "Score ... high": None, "no number": None, "abc\n0.55": 0.55}
+             "Score ... high": None, "no number": None, "abc\n0.55": 0.55,
+             "Score:\u00a00.4": 0.4, "0.8\u3000/ 1": 0.8}
     df = one_col(spark, list(texts), T.StringType())
     assert [r[0] for r in df.select(score_extract("x")).collect()] == list(texts.values())
 
