@@ -116,17 +116,46 @@ def score_extract(c: Column | str) -> Column:
     return num.try_cast("double")
 
 
-def _decode_basic_entities(c: Column) -> Column:
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+# Character references decoded in titles (the named ones below,
+# plus every numeric reference).
+HTML_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|lt|gt|quot|apos|amp|nbsp);"
+HTML_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "nbsp": "\u00a0"}
+REPLACEMENT_CHAR = 0xFFFD
+
+
+def _code_point_text(n: Column) -> Column:
+    """Code point -> one-character string (its UTF-32 bytes decoded); 0,
+    surrogates and values above U+10FFFF become U+FFFD, as an HTML parser does."""
+    valid = (n > 0) & (n <= 0x10FFFF) & ~((n >= 0xD800) & (n <= 0xDFFF))
+    cp = F.when(valid, n).otherwise(F.lit(REPLACEMENT_CHAR))
+    return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+
+
+def _entity_text(e: Column) -> Column:
+    """'#38' / '#x26' / 'amp' -> the character it stands for."""
+    is_hex = F.lower(F.substring(e, 2, 1)) == F.lit("x")
+    n = F.when(is_hex, F.conv(F.substring(e, 3, 16), 16, 10)).otherwise(F.substring(e, 2, 16))
+    named = F.create_map(*[F.lit(x) for kv in HTML_NAMED.items() for x in kv])
+    return (F.when(F.startswith(e, F.lit("#")), _code_point_text(n.cast("long")))
+            .otherwise(F.try_element_at(named, e)))
+
+
+def decode_entities(c: Column | str) -> Column:
+    """Decode character references in one pass (``&amp;#38;`` gives ``&#38;``):
+    split the text at each reference, decode the references, interleave."""
+    c = col(c)
+    parts = F.split(c, HTML_ENTITY)
+    decoded = F.transform(F.regexp_extract_all(c, F.lit(HTML_ENTITY), 1), _entity_text)
+    tail = F.concat(decoded, F.array(F.lit("")))
+    return F.array_join(F.zip_with(parts, tail, lambda p, d: F.concat(p, d)), "")
 
 
 def page_title(html: Column | str) -> Column:
-    """Document title from stored HTML: first <title> element, basic entities
-    decoded, whitespace collapsed and trimmed; '' when there is none."""
+    """Document title from stored HTML: first <title> element, character
+    references decoded, ASCII whitespace collapsed and trimmed; '' when there
+    is none."""
     raw = F.regexp_extract(col(html), _TITLE, 1)
-    return F.trim(F.regexp_replace(_decode_basic_entities(raw), _HTML_SPACE, " "))
+    return F.trim(F.regexp_replace(decode_entities(raw), _HTML_SPACE, " "))
 
 
 def split_clean(c: Column | str, sep: str = ",") -> Column:
