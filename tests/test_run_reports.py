@@ -40,3 +40,20 @@ def test_all_reports_from_one_folder(spark, tmp_path):
     assert out["report_lifecycle"].first()["avg_total"] == "1512ms"
     assert out["parallel_summary"].first()["avg_overhead_ratio"] == 0.3766
     assert out["idle_rows"].first()["total_s"] == 62.8
+
+
+def test_cli_writes_every_table(spark, tmp_path):
+    import os
+    from runlens.plans.run_reports import main
+    d = tmp_path / "results"
+    d.mkdir()
+    (d / "steel.jsonl").write_text(json.dumps(
+        {"created_at": "2026-03-06T00:00:00.000Z", "provider": "STEEL", "session_creation_ms": 290,
+         "session_connect_ms": 760, "page_goto_ms": 209, "session_release_ms": 181, "success": True}) + "\n")
+    out = tmp_path / "out"
+    main([str(d), str(out), "--format", "json"])
+    assert sorted(os.listdir(out)) == sorted(
+        ["totals", "summary", "idle_rows", "parallel_summary", "report_lifecycle", "report_idle",
+         "report_stealth", "report_captcha", "report_parallel", "status"])
+    rows = spark.read.json(str(out / "report_lifecycle")).collect()
+    assert [(r["provider"], r["avg_total"]) for r in rows] == [("STEEL", "1440ms")]
