@@ -121,13 +121,24 @@ def score_extract(c: Column | str) -> Column:
 HTML_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|lt|gt|quot|apos|amp|nbsp);"
 HTML_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "nbsp": "\u00a0"}
 REPLACEMENT_CHAR = 0xFFFD
+# Numeric references 0x80-0x9F name Windows-1252 characters (HTML parsing rules).
+WINDOWS_1252 = {
+    0x80: 0x20AC, 0x82: 0x201A, 0x83: 0x0192, 0x84: 0x201E, 0x85: 0x2026, 0x86: 0x2020,
+    0x87: 0x2021, 0x88: 0x02C6, 0x89: 0x2030, 0x8A: 0x0160, 0x8B: 0x2039, 0x8C: 0x0152,
+    0x8E: 0x017D, 0x91: 0x2018, 0x92: 0x2019, 0x93: 0x201C, 0x94: 0x201D, 0x95: 0x2022,
+    0x96: 0x2013, 0x97: 0x2014, 0x98: 0x02DC, 0x99: 0x2122, 0x9A: 0x0161, 0x9B: 0x203A,
+    0x9C: 0x0153, 0x9E: 0x017E, 0x9F: 0x0178,
+}
 
 
 def _code_point_text(n: Column) -> Column:
     """Code point -> one-character string (its UTF-32 bytes decoded); 0,
-    surrogates and values above U+10FFFF become U+FFFD, as an HTML parser does."""
+    surrogates and values above U+10FFFF become U+FFFD and 0x80-0x9F take their
+    Windows-1252 meaning, as an HTML parser does."""
     valid = (n > 0) & (n <= 0x10FFFF) & ~((n >= 0xD800) & (n <= 0xDFFF))
-    cp = F.when(valid, n).otherwise(F.lit(REPLACEMENT_CHAR))
+    remap = F.create_map(*[F.lit(x) for kv in WINDOWS_1252.items() for x in kv])
+    cp = F.when(valid, F.coalesce(F.try_element_at(remap, n.cast("int")).cast("long"), n)) \
+          .otherwise(F.lit(REPLACEMENT_CHAR))
     return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
 
 

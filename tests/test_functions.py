@@ -94,9 +94,11 @@ def test_score_cascade(spark):
 def test_page_title(spark):
     html = ["<html><head><title>  A &amp; B\n  title </title></head></html>",
             "<TITLE lang=en>X</TITLE><title>second</title>", "<p>no title</p>",
-            "<title>a &amp;#38; b&#8211;c&#x27;d&nbsp;e&lt;&#0;&#x1F600;</title>"]
+            "<title>a &amp;#38; b&#8211;c&#x27;d&nbsp;e&lt;&#0;&#x1F600;</title>",
+            "<title>&#150;&#146;&#128;&#129;&#x9f;</title>"]
     got = [r[0] for r in one_col(spark, html, T.StringType()).select(page_title("x")).collect()]
-    assert got == ["A & B title", "X", "", "a &#38; b\u2013c'd\u00a0e<\ufffd\U0001F600"]
+    assert got == ["A & B title", "X", "", "a &#38; b\u2013c'd\u00a0e<\ufffd\U0001F600",
+                   "\u2013\u2019\u20ac\x81\u0178"]
 
 
 def test_split_clean(spark):
