@@ -275,3 +275,16 @@ def test_resolve_keys_splits_unknown(spark):
     assert sorted(r["provider"] for r in ok.collect()) == ["BROWSERBASE", "HYPERBROWSER"]
     assert sorted(r["raw"] or "" for r in rejected.collect()) == ["", "acme"]
     assert rejected.columns == ["raw"]
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    rnd = random.Random(23)
+    rows = [(rnd.choice("AB"), True, rnd.randint(0, 1000), 1, 1, 1) for _ in range(4000)]
+    df = runs_df(spark, rows)
+    exact = {(r["provider"], r["metric"]): r for r in stage_summary(df, quantile_method="builtin").collect()}
+    approx = {(r["provider"], r["metric"]): r for r in stage_summary(df, quantile_method="approx").collect()}
+    assert exact.keys() == approx.keys()
+    for k in exact:
+        # percentile_approx returns an actual value whose rank is within n / accuracy
+        assert abs(exact[k]["median_ms"] - approx[k]["median_ms"]) <= 3
+        assert abs(exact[k]["p95_ms"] - approx[k]["p95_ms"]) <= 3
