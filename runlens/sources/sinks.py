@@ -38,9 +38,18 @@ def read_converted(spark, path: str, kind: str | None = None,
     return df
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write one report table (few rows: one output file)."""
-    df.coalesce(1).write.mode("overwrite").format(fmt).option("header", "true").save(path)
+# Largest table written as a single file (one task); larger tables keep their partitions.
+SINGLE_FILE_ROWS = 100_000
+
+
+def write_report(df: DataFrame, path: str, fmt: str = "parquet",
+                 single_file_rows: int = SINGLE_FILE_ROWS) -> None:
+    """Write one table. A table of at most ``single_file_rows`` rows (checked,
+    reading at most that many + 1) goes to one file; a larger one, such as a
+    record-level table, is written by all its partitions in parallel."""
+    small = df.limit(single_file_rows + 1).count() <= single_file_rows
+    out = df.coalesce(1) if small else df
+    out.write.mode("overwrite").format(fmt).option("header", "true").save(path)
 
 
 def to_json_text(df: DataFrame, cols: list[str] | None = None, out: str = "json") -> DataFrame:

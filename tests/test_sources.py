@@ -119,3 +119,13 @@ def test_convert_and_report_sink(spark, tmp_path, write_jsonl):
 def test_json_text_keeps_nulls(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert to_json_text(df).first()["json"] == '{"a":1,"b":null}'
+
+
+def test_report_sink_single_file_only_when_small(spark, tmp_path):
+    df = spark.range(0, 1000, numPartitions=4)
+    small, big = str(tmp_path / "small"), str(tmp_path / "big")
+    write_report(df, small, "parquet")
+    write_report(df, big, "parquet", single_file_rows=10)
+    parts = lambda p: [f for f in os.listdir(p) if f.endswith(".parquet")]
+    assert len(parts(small)) == 1 and len(parts(big)) == 4
+    assert spark.read.parquet(big).count() == 1000
