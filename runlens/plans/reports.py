@@ -99,14 +99,13 @@ def report_lifecycle(runs: DataFrame, pricing: dict = dims.LIFECYCLE_PRICING,
     """Rank providers by average total of complete successful runs (provider and
     the first three stages present; the release stage may be missing)."""
     complete = complete_rows(runs, ["provider"] + stages[:3])
-    if not _has_rows(complete.where(F.col("success") == F.lit(True))):
-        return _withheld(_lifecycle_cells(stage_totals(complete.limit(0), stages=stages,
-                                                       quantile_method="builtin")
-                                          .withColumn("rank", F.lit(0).cast("long")), pricing),
+    # one row per provider, computed once: the emptiness check and the ranking read it
+    tot = snapshot(stage_totals(complete, ["provider"], stages, "success", 0, quantile_method))
+    if not _has_rows(tot):
+        return _withheld(_lifecycle_cells(tot.withColumn("rank", F.lit(0).cast("long")), pricing),
                          NO_INPUT)
-    tot = stage_totals(complete, ["provider"], stages, "success", 0, quantile_method)
     ranked = with_position(tot, [F.col("avg_total_ms").asc_nulls_last(),
-                                 F.col("provider").asc_nulls_last()], "rank")
+                                 F.col("provider").asc_nulls_last()], "rank", fixed=True)
     return Report(_lifecycle_cells(ranked, pricing), OK)
 
 

@@ -234,3 +234,13 @@ def test_sql_queries_on_run_logs(spark):
     assert [r["metric"] for r in summ[:5]] == ["session_creation_ms", "session_connect_ms", "page_goto_ms",
                                               "session_release_ms", "total_ms"]
     assert reports.idle_rows(idle_input(spark)).where(F.col("provider") == "STEEL").first()["total_s"] == 63.0
+
+
+def test_lifecycle_without_complete_successes(spark):
+    rows = [r for r in ten_runs("STEEL", 1441, 1412, [290, 760, 209, 181])]
+    for r in rows:
+        r["success"] = False
+    rep = reports.report_lifecycle(spark.createDataFrame(rows, LIFECYCLE))
+    assert rep.state == reports.NO_INPUT and rep.df.count() == 0
+    assert rep.df.columns == ["rank", "provider", "avg_total", "median_total", "avg_create", "avg_connect",
+                              "avg_goto", "avg_release", "pricing"]
