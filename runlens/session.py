@@ -15,7 +15,8 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, app: str = "runlens",
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None,
+                extra_conf: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings the library relies on.
 
     AQE stays on so joins against small aggregates become broadcasts at run
@@ -34,6 +35,8 @@ def get_session(master: str | None = None, app: str = "runlens",
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    for k, v in (extra_conf or {}).items():
+        b = b.config(k, str(v))
     if master and master.startswith("local"):
         b = b.config("spark.driver.memory", os.environ.get("RUNLENS_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
