@@ -26,15 +26,27 @@ def dround(c: Column | str, places: int = 0) -> Column:
     return F.round(c * F.lit(p), 0) / F.lit(p)
 
 
-# Strings such as '1d' or '2f' parse as Java float literals in Spark's cast but
-# are not numbers for the report SQL; they must give NULL.
-_JAVA_SUFFIX = r"[0-9.][dDfF]\s*$"
+# Text that is a number for the report SQL: decimal or exponent notation where a
+# single '_' may separate two digits ('1_000'), or inf / infinity / nan with an
+# optional sign. Java float literals such as '1d' or '2f', which Spark's own cast
+# accepts, are not numbers there and stay NULL.
+_DIGITS = r"\d(?:_?\d)*"
+_NUMERIC = rf"^\s*[+-]?({_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?\s*$"
+_INFINITY = r"(?i)^\s*[+-]?(inf|infinity)\s*$"
+_NAN = r"(?i)^\s*[+-]?nan\s*$"
 
 
 def safe_double(c: Column | str) -> Column:
-    """``try_cast(x AS DOUBLE)`` over text: NULL instead of an error."""
+    """``try_cast(x AS DOUBLE)`` over text, with the report SQL's number syntax:
+    NULL instead of an error.
+
+    Only text shaped like a number reaches the cast; everything else is NULL
+    at once (the cast would reject it by catching a parse exception per row,
+    several times slower on mostly non-numeric text)."""
     s = col(c).cast("string")
-    return F.when(s.rlike(_JAVA_SUFFIX), F.lit(None).cast("double")).otherwise(s.try_cast("double"))
+    return (F.when(s.rlike(_NUMERIC), F.regexp_replace(s, "_", "").try_cast("double"))
+            .when(s.rlike(_INFINITY), s.try_cast("double"))
+            .when(s.rlike(_NAN), F.lit(float("nan"))))
 
 
 def row_total(cols: list[Column | str], strict: bool = True) -> Column:

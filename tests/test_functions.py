@@ -36,6 +36,18 @@ def test_safe_double(spark):
     assert got[5] == 1000.0 and got[6] == float("inf") and got[7] != got[7] and got[9] == -2.0
 
 
+def test_safe_double_matches_duckdb_try_cast(spark):
+    vals = ["1.5", " 1.5 ", "abc", "", "1d", "1e3", "inf", "-inf", "+Infinity", "NaN", "-2", "2F", "1.",
+            ".5", "+.5e-2", "1e", "e3", "--1", "1.2.3", "0x10", "1,5", "  ", "\t7\n", "9" * 20, "1E+05",
+            "infinity ", "-nan", "1_000", "1__000", "_1", "1_", "1_000.5_5", "1e1_0", "1._5", "1_.5",
+            "+_1", "1e400", " +3 "]
+    got = [r[0] for r in one_col(spark, vals, T.StringType()).select(safe_double("x")).collect()]
+    con = duckdb.connect()
+    for v, g in zip(vals, got):
+        want = con.execute("SELECT TRY_CAST(? AS DOUBLE)", [v]).fetchall()[0][0]
+        assert g == want or (g != g and want != want), v
+
+
 def test_row_totals_and_shortfall(spark):
     df = spark.createDataFrame([(1, 2, 3, None), (1, 2, 3, 4)], "a long, b long, c long, d long")
     cols = ["a", "b", "c", "d"]
