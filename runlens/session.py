@@ -50,8 +50,16 @@ def shared_dir(spark: SparkSession) -> str:
 
     Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir); only when
     neither is set, as in tests, a local folder is created and registered.
+    A Spark Connect session has no local context: the server checkpoints into
+    its own configured folder, whose name is returned.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on the server")
+        return d
     d = sc.getCheckpointDir()
     if d:
         return d
