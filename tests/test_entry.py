@@ -45,3 +45,26 @@ def test_hot_group_paths_match_oracle(spark, con, name, monkeypatch):
     monkeypatch.setattr(order, "LOCAL_POSITION_ROWS", 0)
     df = se.queries()[name](spark, SF)
     assert compare(df, con.sql(se.oracle_sql()[name])) == []
+
+
+PARTITION_SENSITIVE = ["latest_per_key", "latest_per_keys", "latest_with_fallback", "sibling_score",
+                       "rank_position", "mixed_sort", "captcha_order", "survivor_order", "enum_order",
+                       "stage_summary", "batch_summary", "batch_rollup_nested", "report_stealth",
+                       "report_captcha", "report_parallel", "report_idle"]
+
+
+@pytest.mark.parametrize("name", PARTITION_SENSITIVE)
+def test_results_independent_of_shuffle_partitions(spark, name):
+    """Same rows, same positions under a different number of shuffle partitions
+    (ties are always broken by a unique column)."""
+    from tools.check_oracle import norm
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    out = []
+    try:
+        for n in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = se.queries()[name](spark, SF).collect()
+            out.append(sorted(tuple(norm(v) for v in r) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+    assert out[0] == out[1]
