@@ -129,3 +129,20 @@ def test_report_sink_single_file_only_when_small(spark, tmp_path):
     parts = lambda p: [f for f in os.listdir(p) if f.endswith(".parquet")]
     assert len(parts(small)) == 1 and len(parts(big)) == 4
     assert spark.read.parquet(big).count() == 1000
+
+
+def test_file_layout_does_not_change_results(spark, write_jsonl):
+    from runlens.plans import reports
+    rows = [life(p, 100 + i * 7 % 50, ok=i % 5 != 0, release=None if i % 9 == 0 else i,
+                 ts=f"2026-03-0{1 + i % 9}T00:00:{i % 60:02d}.000Z")
+            for i, p in enumerate(["KERNEL", "STEEL", "BROWSERBASE"] * 40)]
+    one = write_jsonl({"all.jsonl": rows}, sub="one")
+    many = write_jsonl({"c.jsonl": rows[:30][::-1], "b.jsonl": rows[30:80][::-1], "a.jsonl": rows[80:]},
+                       sub="many")
+    outs = []
+    for d in (one, many):
+        runs = scan_runs(spark, d)
+        outs.append((sorted(map(tuple, reports.totals(runs).collect())),
+                     sorted(map(tuple, reports.summary(runs).collect())),
+                     [tuple(r) for r in reports.report_lifecycle(runs).df.orderBy("rank").collect()]))
+    assert outs[0] == outs[1]
