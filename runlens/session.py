@@ -21,14 +21,18 @@ def get_session(master: str | None = None, app: str = "runlens",
 
     AQE stays on so joins against small aggregates become broadcasts at run
     time (a checked size, with sort-merge as the fallback) and skewed shuffle
-    partitions are split.
+    partitions are split. The shuffle partition count is set only when given
+    (argument or ``RUNLENS_SHUFFLE_PARTITIONS``) or for a local master (8);
+    under ``spark-submit`` the cluster's own setting stays in force.
     """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    parts = shuffle_partitions or int(os.environ.get("RUNLENS_SHUFFLE_PARTITIONS", "8"))
-    b = (b.config("spark.sql.shuffle.partitions", str(parts))
-         .config("spark.sql.adaptive.enabled", "true")
+    local = bool(master and master.startswith("local"))
+    parts = shuffle_partitions or os.environ.get("RUNLENS_SHUFFLE_PARTITIONS") or (8 if local else None)
+    if parts:
+        b = b.config("spark.sql.shuffle.partitions", str(parts))
+    b = (b.config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
@@ -37,7 +41,7 @@ def get_session(master: str | None = None, app: str = "runlens",
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in (extra_conf or {}).items():
         b = b.config(k, str(v))
-    if master and master.startswith("local"):
+    if local:
         b = b.config("spark.driver.memory", os.environ.get("RUNLENS_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
