@@ -48,18 +48,21 @@ def range_sorted(df: DataFrame, order: list[Column], num_partitions: int | None
 
 def with_position(df: DataFrame, order: list[Column | str], name: str = "position",
                   num_partitions: int | None = None,
-                  local_rows: int | None = None, fixed: bool = False) -> DataFrame:
+                  local_rows: int | None = None, fixed: bool = False,
+                  n_rows: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position (bigint) of each row in ``order``.
 
     ``order`` must be a total order (end it with a unique tie-break column) for
     the positions to be deterministic. ``num_partitions`` forces the
     range-partitioned path. ``fixed``: ``df`` is already a snapshot (or derived
     from one by row-wise expressions), so it is not checkpointed again.
+    ``n_rows``: the row count of ``df`` when the caller already has it.
     """
     order = [col(o) for o in order]
     base = df if fixed else snapshot(df)
     bound = LOCAL_POSITION_ROWS if local_rows is None else local_rows
-    if num_partitions is None and base.count() <= bound:
+    n = base.count() if n_rows is None else n_rows
+    if num_partitions is None and n <= bound:
         return base.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     srt = range_sorted(base, order, num_partitions)
     counts = srt.groupBy(_PID).agg(F.count(F.lit(1)).alias(_N), F.min(_MID).alias(_FIRST))

@@ -5,9 +5,9 @@ batches); REP1-5 are the ranked report tables with display cells; REP6 is the
 per-section status.
 
 A report builds its intermediate (latest rows, per-key aggregates, record
-rows), checkpoints it once when it feeds several passes, evaluates its gates
-on it (a one-row existence check; for the two gated reports a single boolean
-aggregate) and ranks it with ``with_position``. A report that has no input or
+rows), checkpoints it once when it feeds several passes, evaluates its gate on
+it (one aggregate: the row count and, for the two gated reports, whether any
+row failed) and ranks it with ``with_position``, reusing that count. A report that has no input or
 is withheld returns an empty table with the same columns and its state.
 """
 
@@ -26,7 +26,7 @@ from runlens.functions.numeric import dround, num_text, to_seconds
 from runlens.functions.text import error_reason
 from runlens.operators import dims
 from runlens.operators.batches import batch_summary as _batch_summary
-from runlens.operators.latest import any_failure, latest_per_key, latest_with_fallback
+from runlens.operators.latest import latest_per_key, latest_with_fallback
 from runlens.operators.order import (captcha_order, enum_rank, snapshot, survivor_key,
                                      with_position)
 from runlens.operators.quantiles import DEFAULT_METHOD
@@ -42,18 +42,22 @@ SCORE_THRESHOLD = 0.3
 class Report(NamedTuple):
     df: DataFrame
     state: str
+    n_rows: int = 0
 
 
-def _has_rows(df: DataFrame) -> bool:
-    return len(df.limit(1).take(1)) > 0
-
-
-def _has_failure(df: DataFrame, success: str = "success") -> bool:
-    return bool(any_failure(df, None, success).first()["any_failure"])
+def _gate(df: DataFrame, success: str | None = None) -> tuple[int, bool]:
+    """(row count, some row failed) in one aggregate; a NULL success counts as
+    a failure. Without ``success`` only the count is taken."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if success:
+        aggs.append(F.coalesce(F.bool_or(~F.coalesce(F.col(success), F.lit(False))), F.lit(False))
+                    .alias("failed"))
+    r = df.agg(*aggs).first()
+    return int(r["n"]), bool(r["failed"]) if success else False
 
 
 def _withheld(df: DataFrame, state: str) -> Report:
-    return Report(df.limit(0), state)
+    return Report(df.limit(0), state, 0)
 
 
 # ---- REP0a-d: the SQL queries ----------------------------------------------
@@ -101,12 +105,13 @@ def report_lifecycle(runs: DataFrame, pricing: dict = dims.LIFECYCLE_PRICING,
     complete = complete_rows(runs, ["provider"] + stages[:3])
     # one row per provider, computed once: the emptiness check and the ranking read it
     tot = snapshot(stage_totals(complete, ["provider"], stages, "success", 0, quantile_method))
-    if not _has_rows(tot):
+    n, _ = _gate(tot)
+    if not n:
         return _withheld(_lifecycle_cells(tot.withColumn("rank", F.lit(0).cast("long")), pricing),
                          NO_INPUT)
     ranked = with_position(tot, [F.col("avg_total_ms").asc_nulls_last(),
-                                 F.col("provider").asc_nulls_last()], "rank", fixed=True)
-    return Report(_lifecycle_cells(ranked, pricing), OK)
+                                 F.col("provider").asc_nulls_last()], "rank", fixed=True, n_rows=n)
+    return Report(_lifecycle_cells(ranked, pricing), OK, n)
 
 
 def _lifecycle_cells(df: DataFrame, pricing: dict) -> DataFrame:
@@ -135,15 +140,16 @@ def report_idle(idle: DataFrame, cost: dict = dims.IDLE_COST, cost_rank: dict =
         dround(F.col("reconnect_ms").cast("double"), 0).alias("reconnect_ms"),
         dround(F.col("step2_ms").cast("double"), 0).alias("step2_ms"),
         to_seconds("total_ms", 1).alias("total_s"), "error_stage", *tie)
-    if not _has_rows(rows):
+    n, failed = _gate(rows, "success")
+    if not n:
         return _withheld(_idle_cells(rows.withColumn("rank", F.lit(0).cast("long")), cost), NO_INPUT)
-    if _has_failure(rows):
+    if failed:
         return _withheld(_idle_cells(rows.withColumn("rank", F.lit(0).cast("long")), cost), HAS_ERRORS)
     keyed = rows.withColumn("_surv", survivor_key("session_survived")) \
                 .withColumn("_cost", dims.lookup("provider", cost_rank, dims.DEFAULT_RANK))
     ranked = with_position(keyed, ["_surv", "_cost", F.col("provider").asc_nulls_last(),
-                                   *[F.col(t).asc_nulls_last() for t in tie]], "rank")
-    return Report(_idle_cells(ranked, cost), OK)
+                                   *[F.col(t).asc_nulls_last() for t in tie]], "rank", n_rows=n)
+    return Report(_idle_cells(ranked, cost), OK, n)
 
 
 def _idle_cells(df: DataFrame, cost: dict) -> DataFrame:
@@ -165,13 +171,15 @@ def report_stealth(stealth: DataFrame, plan: dict = dims.STEALTH_PLAN,
     tier order (0 clean + score >= 0.3, 1 clean, 2 fixed by stealth, 3 none)."""
     rows = stealth.where(F.col("mode").isin(STEALTH_MODES))
     chosen = snapshot(latest_with_fallback(rows, ["provider", "mode"], "success", "created_at", tie))
-    if not _has_rows(chosen):
+    n, _ = _gate(chosen)
+    if not n:
         return _withheld(_stealth_cells(_tiered(chosen).withColumn("position", F.lit(0).cast("long")),
                                         plan), NO_INPUT)
     tiered = _tiered(chosen)
     ranked = with_position(tiered, ["tier", F.col("provider").asc_nulls_last(),
-                                    enum_rank("mode", STEALTH_MODES)], "position", fixed=True)
-    return Report(_stealth_cells(ranked, plan), OK)
+                                    enum_rank("mode", STEALTH_MODES)], "position", fixed=True,
+                           n_rows=n)
+    return Report(_stealth_cells(ranked, plan), OK, n)
 
 
 def _tiered(chosen: DataFrame) -> DataFrame:
@@ -221,16 +229,17 @@ def report_captcha(captcha: DataFrame, cost: dict = dims.CAPTCHA_COST,
     # one row per provider, computed once: the gates and the ranking read this copy
     latest = snapshot(latest_per_key(captcha, ["provider"], "created_at", tie)
                       .withColumn("solve_s", to_seconds("solve_ms", 1)))
-    if not _has_rows(latest):
+    n, failed = _gate(latest, "success")
+    if not n:
         return _withheld(_captcha_cells(latest.withColumn("position", F.lit(0).cast("long")), cost),
                          NO_INPUT)
-    if _has_failure(latest):
+    if failed:
         return _withheld(_captcha_cells(latest.withColumn("position", F.lit(0).cast("long")), cost),
                          HAS_ERRORS)
     plan_rank = dims.lookup("provider", plan_order, dims.DEFAULT_RANK)
     ranked = with_position(latest, captcha_order("supported", "solve_s", plan_rank, "provider"),
-                           "position", fixed=True)
-    return Report(_captcha_cells(ranked, cost), OK)
+                           "position", fixed=True, n_rows=n)
+    return Report(_captcha_cells(ranked, cost), OK, n)
 
 
 def _captcha_cells(df: DataFrame, cost: dict) -> DataFrame:
@@ -255,13 +264,14 @@ def report_parallel(batches: DataFrame, limits: dict = dims.CONCURRENCY_LIMIT_TE
         dround(F.avg("overhead_ratio"), 4).alias("avg_overhead_ratio"),
         F.sum(F.when(F.col("success"), 0).otherwise(1)).cast("long").alias("failed_batches"))
     agg = snapshot(agg)
-    if not _has_rows(agg):
+    n, _ = _gate(agg)
+    if not n:
         return _withheld(_parallel_cells(agg.withColumn("rank", F.lit(0).cast("long")), limits), NO_INPUT)
     ranked = with_position(agg, [F.col("sequential_mode").asc_nulls_last(),
                                  F.col("avg_overhead_ratio").asc_nulls_last(),
                                  F.col("provider").asc_nulls_last(),
-                                 F.col("concurrency").asc_nulls_last()], "rank", fixed=True)
-    return Report(_parallel_cells(ranked, limits), OK)
+                                 F.col("concurrency").asc_nulls_last()], "rank", fixed=True, n_rows=n)
+    return Report(_parallel_cells(ranked, limits), OK, n)
 
 
 def _parallel_cells(df: DataFrame, limits: dict) -> DataFrame:
@@ -285,6 +295,7 @@ STATUS_SCHEMA = T.StructType([
 
 
 def report_status(spark: SparkSession, reports: dict[str, Report]) -> DataFrame:
-    """section, n_rows, state (ok / no_input / has_errors) per report."""
-    rows = [(name, r.df.count() if r.state == OK else 0, r.state) for name, r in reports.items()]
+    """section, n_rows, state (ok / no_input / has_errors) per report. The row
+    counts come from the reports' own gates (no further pass)."""
+    rows = [(name, r.n_rows if r.state == OK else 0, r.state) for name, r in reports.items()]
     return spark.createDataFrame(rows, STATUS_SCHEMA)
