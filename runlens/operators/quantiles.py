@@ -117,7 +117,8 @@ def _sorted_quantiles(df, keys, value, probs, num_partitions):
             .where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_c")))
             .select(*keys, "_q", "_side", "_tot",
                     (F.col("_first") + (F.col("_r") - F.col("_off"))).alias(_MID)))
-    need = need.checkpoint(eager=True)
+    # ``need`` is a deterministic function of the checkpointed ``srt``: computing
+    # it twice (count, join) gives the same rows, so it is not checkpointed
     small = need.count() <= BROADCAST_ROWS
     picked = srt.select(_MID, "_v").join(F.broadcast(need) if small else need, _MID)
 
