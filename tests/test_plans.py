@@ -52,3 +52,17 @@ def test_converted_store_prunes_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(kind" in p and "provider" in p
     assert "ReadSchema: struct<session_creation_ms:bigint>" in p
     assert df.count() == 67
+
+
+def test_shuffle_partition_sizing(spark):
+    from runlens.session import size_shuffle_partitions
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    prev_adv = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        assert size_shuffle_partitions(spark, 10 << 20) == 200              # small input: floor
+        assert size_shuffle_partitions(spark, 1 << 40) == 8192              # 1 TiB / 128 MiB
+        assert size_shuffle_partitions(spark, 100 << 40) == 100_000         # 100 TiB: ceiling
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "100000"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", prev_adv)
