@@ -4,20 +4,98 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from runlens.llm import bpe
-from runlens.llm.common import table
+from runlens.llm import bpe, iblt, langid, minhash, mixing, pii, quotes, toxicity, vafile
+from runlens.llm.common import held_out, table
 
 #: Vocabulary file of the BPE query and of the pipeline's last stage.
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
+#: Score from which a document counts as toxic.
+TOXIC = 0.3
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), VOCAB)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op4_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def quoting_messages(conversations: DataFrame) -> DataFrame:
+    """Input of the quotation query: the table's turns as mail that quotes the two turns before.
+
+    Each text gets its predecessor's lines above it behind ``> `` and the first
+    line of the one before that behind ``> > ``; the table itself has no quotes.
+    """
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    line = F.split(F.lag("text", 2).over(w), "\n")[0]
+    last = F.concat(F.lit("> "), F.regexp_replace(F.lag("text").over(w), "\n", "\n> "))
+    return conversations.withColumn("text", F.concat_ws("\n", F.concat(F.lit("> > "), line), last, "text"))
+
+
+def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(quoting_messages(table(spark, sf_dir, "conversations")))
+
+
+def op6_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.withColumn("held_out", held_out()), langid.learn(docs.where(~held_out())), ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scorer = toxicity.learn(docs.where(~held_out()), labels.where(~held_out()))
+    found = toxicity.score(docs.withColumn("held_out", held_out()), scorer, ["doc_id", "held_out"])
+    return found.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_minhash": op2_minhash,
+    "op3_pii": op3_pii,
+    "op4_vafile": op4_vafile,
+    "op5_quotes": op5_quotes,
+    "op6_iblt": op6_iblt,
+    "op7_langid": op7_langid,
+    "op8_toxicity": op8_toxicity,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_vafile": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS vec
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_inner_product(q.vec, c.vec) AS BIGINT) AS score
+            FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0)
+        SELECT query_id,
+               CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id, score
+        FROM scored
+        QUALIFY rank <= 5""",
+}
