@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, iblt, langid, minhash, mixing, pii, quotes, toxicity, vafile
+from runlens.llm import bpe, iblt, langid, minhash, mixing, pii, quotes, recompress, toxicity, vafile
 from runlens.llm.common import held_out, table
 
 #: Vocabulary file of the BPE query and of the pipeline's last stage.
@@ -65,6 +65,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
 
 
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op6_iblt": op6_iblt,
     "op7_langid": op7_langid,
     "op8_toxicity": op8_toxicity,
+    "op9_recompression": op9_recompression,
     "op10_mixing": op10_mixing,
 }
 

@@ -84,9 +84,11 @@ def test_terms(spark):
 
 
 def test_cases(spark):
-    rows = [(1, None), (2, ""), (3, "a" * 300_000), (4, "1" * 100_000 + " " + "+1" * 5), (5, "1.2.3.4 " * 300), (6, "x@y.z " * 200 + "4111111111111111"), (7, "4111111111111111@a.b"), (7, "4111111111111111@a.b")]
+    rows = [(1, None), (2, ""), (3, "a" * 3_000), (4, "1" * 5_000 + " " + "+1" * 5), (5, "1.2.3.4 " * 300), (6, "x@y.z " * 200 + "4111111111111111"), (7, "4111111111111111@a.b"), (7, "4111111111111111@a.b")]
     df = spark.createDataFrame([*rows, (None, "m@n.o")], "doc_id long, text string")
     check(df, [*rows, (None, "m@n.o")])
     got = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
-    assert got[1] is None and got[3] == "a" * 300_000 and got[7] == "[email]" and got[None] == "[email]"
+    assert got[1] is None and got[3] == "a" * 3_000 and got[7] == "[card]" and got[None] == "[email]"
+    long = spark.createDataFrame([(1, "a" * 2_000_000), (2, "1" * 2_000_000), (3, "a.b" * 500_000 + "@c.d")], "doc_id long, text string")
+    assert [(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.report(long).orderBy("doc_id").collect()] == [(0, 0, 0, 0), (0, 0, 0, 0), (1, 0, 0, 0)]
     assert pii.report(df.limit(0)).count() == 0 and pii.sanitised(df.limit(0)).count() == 0

@@ -46,9 +46,9 @@ def test_composition_equals_cascade():
 
 
 def test_cases(spark):
-    docs = spark.createDataFrame([Row(doc_id=i, text=("you grob thing. " if i % 2 else "nice thing. ") + f"w{i}", score="clash", toxic=9) for i in range(60)]
+    docs = spark.createDataFrame([Row(doc_id=i, text=("you grob thing. " if i % 2 else "nice thing. ") + f"w{i}", score="clash", toxic=9) for i in range(300)]
                                  + [Row(doc_id=None, text=None, score="", toxic=0)], "doc_id long, text string, score string, toxic int")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     s = tx.learn(docs, labels)
     assert "grob" in s.insults and "nice" not in s.insults
     rows = spark.createDataFrame([(1, "grob"), (1, "grob"), (2, None), (3, ""), (None, "fine " * 100_000), (5, "***")], "doc_id long, text string")
