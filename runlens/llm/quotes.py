@@ -67,15 +67,17 @@ def reply_links(rows: DataFrame) -> DataFrame:
 def threads(links: DataFrame) -> DataFrame:
     """conv_id, turn, root (conv_id, turn) and depth of each message with a ``reply_to``."""
     up = cut(links.where("reply_to IS NOT NULL").select(F.struct(*_ID).alias("id"), F.col("reply_to").alias("to"), F.lit(1).cast("long").alias("depth")))
+    open_, done = up, None
     while True:
-        # each message takes its ancestor's ancestor; an ancestor without one is a root
+        # an unfinished message takes its ancestor's ancestor; an ancestor without one is a root
         step = up.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("depth").alias("_depth"))
-        next_ = cut(up.join(step, "to", "left"))
-        ended, more = next_.where("_to IS NULL"), next_.where("_to IS NOT NULL")
+        next_ = cut(open_.join(step, "to", "left"))
+        ended, more = next_.where("_to IS NULL").select("id", "to", "depth"), next_.where("_to IS NOT NULL")
+        done = ended if done is None else done.unionByName(ended)
         if not more.limit(1).count():
-            return ended.select("id.conv_id", "id.turn", F.col("to").alias("root"), "depth")
-        up = (more.select("id", F.col("_to").alias("to"), (F.col("depth") + F.col("_depth")).alias("depth"))
-              .unionByName(ended.select("id", "to", "depth")))
+            return done.select("id.conv_id", "id.turn", F.col("to").alias("root"), "depth")
+        open_ = more.select("id", F.col("_to").alias("to"), (F.col("depth") + F.col("_depth")).alias("depth"))
+        up = open_.unionByName(done)
 
 
 def conversations(messages: DataFrame) -> DataFrame:
