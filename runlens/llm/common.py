@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder (smaller than a checkpoint), gone when the session ends."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def remove() -> None:
-        with contextlib.suppress(Exception):  # the JVM may be gone by then
-            store.delete(target, True)
-
-    atexit.register(remove)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def text_of(col: str = "text") -> Column:

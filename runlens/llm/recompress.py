@@ -11,12 +11,13 @@ a border unless runs take up the room. The least named border of a window is its
 anchor; equal windows have equal anchors wherever they stand. Windows that runs
 leave without a border are their own anchors.
 
-Spark finds the names that stand in more than one document. Where all
-occurrences of a name stand in the same ten words to either side, every window
-around it is a repeat in all documents but the first. For the others, one
-document per distinct surrounding gives the windows themselves, which are
-verified by their own hashes. Names, surroundings and windows are 64-bit hashes,
-and a window is told by two of them.
+Spark finds the names that stand in more than one document, and for each the
+classes of occurrences that have the same ten words to either side. All of a
+class but its first document repeat every window around the name. Where a name
+has several classes, the first document of each gives its windows themselves,
+which are verified by their own hashes. Names have 48 bits, classes 32 more;
+what a window is told by is its own 64-bit hash beside its name. Whole copies of
+a document are told by a hash of their words and take no part in this.
 
 Hot passages: first documents are minima, combined before the shuffle; the joins
 that bring them back can be split where one key is skewed.
@@ -131,7 +132,7 @@ def _slice(h: np.ndarray):
     if own.any():
         w = window_hashes(h, s0[own])
         names[own], around[own] = _name(w, _U(3)), w
-    return s0, s1, names, around ^ around >> _U(29), np.where(own, s0 + REACH, g)
+    return s0, s1, names >> _U(16), (around ^ around >> _U(29)) & _U(0x7FFFFFFF), np.where(own, s0 + REACH, g)
 
 
 def window_hashes(h: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -153,6 +154,11 @@ def anchors(h: np.ndarray) -> Iterator[tuple]:
         yield at - before, part, *(x[own] for x in found)
 
 
+def _ids(name: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """One number for each pair of name and class."""
+    return _name(np.asarray(name, _U), np.asarray(around, _U) ^ _Q)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -171,13 +177,13 @@ def _base(docs: DataFrame) -> DataFrame:
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 names.append(_signed(pairs[0]))
-                arounds.append(_signed(pairs[1]))
+                arounds.append(pairs[1].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(names, pa.list_(pa.int64())),
-                 pa.array(arounds, pa.list_(pa.int64()))], ["doc_id", "n_words", "whole_sha256", "names", "arounds"])
+                 pa.array(arounds, pa.list_(pa.int32()))], ["doc_id", "n_words", "whole_sha256", "names", "arounds"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_words long, whole_sha256 string, names array<long>, arounds array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_words long, whole_sha256 string, names array<long>, arounds array<int>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, per: DataFrame) -> DataFrame:
@@ -185,30 +191,32 @@ def _texts(docs: DataFrame, wanted: DataFrame, per: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if wanted.count() <= BROADCAST_IDS:  # checked: at most 16 MB; beyond it the join below shuffles all texts
         rows = rows.join(F.broadcast(wanted), "doc_id", "left_semi")
-    return rows.join(per, "doc_id")
+    return rows.join(per.hint("merge"), "doc_id")
+
+
+def _pairs(at: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    return at.field(0).to_numpy(), at.field(1).to_numpy()
 
 
 def _windows(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(name, around, off, window, doc): the windows around each class (name, around, doc), from its document."""
-    per = classes.groupBy("doc").agg(F.collect_list(F.struct("name", "around")).alias("at")).withColumnRenamed("doc", "doc_id")
+    per = cut(classes.groupBy("doc").agg(F.collect_list(F.struct("name", "around")).alias("at")).withColumnRenamed("doc", "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                pair = at.values
-                wanted = set(zip(pair.field(0).to_numpy().tolist(), pair.field(1).to_numpy().tolist(), strict=True))
-                out = []
+                wanted = np.unique(_ids(*_pairs(at.values)))
                 for _, h, s0, s1, name, around, g in anchors(hashes(split(text))):
-                    for i, p in enumerate(zip(_signed(name).tolist(), _signed(around).tolist(), strict=True)):
-                        if p in wanted:
-                            wanted.discard(p)
-                            s = np.arange(s0[i], s1[i] + 1)
-                            out += [(*p, int(g[i] - x), w) for x, w in zip(s, _signed(window_hashes(h, s)).tolist(), strict=True)]
-                cols = [pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([doc] * len(out), pa.int64())], ["name", "around", "off", "window", "doc"])
+                    ids, place = np.unique(_ids(name, around), return_index=True)
+                    i = place[np.isin(ids, wanted, assume_unique=True)]
+                    n = s1[i] - s0[i] + 1
+                    i = np.repeat(i, n)
+                    s = s0[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                    cols = [_signed(name[i]), around[i].astype(np.int32), (g[i] - s).astype(np.int32), _signed(window_hashes(h, s)), np.full(len(i), doc)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["name", "around", "off", "window", "doc"])
 
-    given = _texts(docs, per.select("doc_id").distinct(), per).select("doc_id", "text", "at")
-    return given.mapInArrow(run, "name long, around long, off long, window long, doc long")
+    given = _texts(docs, per.select("doc_id"), per).select("doc_id", "text", "at")
+    return given.mapInArrow(run, "name long, around int, off int, window long, doc long")
 
 
 def _removed(docs: DataFrame, per: DataFrame) -> DataFrame:
@@ -217,19 +225,22 @@ def _removed(docs: DataFrame, per: DataFrame) -> DataFrame:
         for b in batches:
             whole, gone, sha = [], [], []
             for text, at in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                pair = at.values
-                mask = dict(zip(zip(pair.field(0).to_numpy().tolist(), pair.field(1).to_numpy().tolist(), strict=True), pair.field(2).to_numpy().tolist(), strict=True))
+                ids, place = np.unique(_ids(*_pairs(at.values)), return_index=True)
+                masks = at.values.field(2).to_numpy()[place]
                 words = split(text)
                 cover = np.zeros(len(words) + 1, np.int64)
                 for base, _, s0, s1, name, around, g in anchors(hashes(words)):
-                    for i, p in enumerate(zip(_signed(name).tolist(), _signed(around).tolist(), strict=True)):
-                        m = mask.get(p, 0)
-                        if m:
-                            s = np.arange(s0[i], s1[i] + 1)
-                            s = s[m >> (g[i] - s) & 1 == 1] + base
-                            np.add.at(cover, s, 1)
-                            np.add.at(cover, s + WINDOW, -1)
-                kept = [w for w, c in zip(words, np.cumsum(cover).tolist()[: len(words)], strict=True) if not c]
+                    own = _ids(name, around)
+                    j = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                    i = np.flatnonzero(ids[j] == own)
+                    n = s1[i] - s0[i] + 1
+                    m, i = np.repeat(masks[j[i]], n), np.repeat(i, n)
+                    s = s0[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                    s = s[m >> (g[i] - s) & 1 == 1] + base
+                    np.add.at(cover, s, 1)
+                    np.add.at(cover, s + WINDOW, -1)
+                keep = np.cumsum(cover)[: len(words)] == 0
+                kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 gone.append(len(words) - len(kept))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
@@ -240,29 +251,41 @@ def _removed(docs: DataFrame, per: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "doc_id long, whole_sha256 string, n_removed long, kept_sha256 string")
 
 
+def _checked(rows: DataFrame) -> DataFrame:
+    """``rows`` (two numbers at most) to be broadcast while they are few, else as they are."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of ``docs`` (doc_id, text)."""
     base = stored(_base(docs), "names")
-    each = base.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.explode(F.arrays_zip("names", "arounds")).alias("o"))
+    known = base.where("doc_id IS NOT NULL")
+    # whole copies: everything goes if there is a window at all
+    first = cut(known.groupBy("whole_sha256").agg(F.min("doc_id").alias("first")))
+    whole = F.xxhash64("whole_sha256").alias("whole")
+    copies = cut(known.select("doc_id", "whole_sha256").join(first, "whole_sha256").where("first < doc_id").select("doc_id", whole).distinct())
+    own = known.select("doc_id", whole, "names", "arounds").join(_checked(copies), ["doc_id", "whole"], "left_anti")
+    each = own.select(F.col("doc_id").alias("doc"), F.explode(F.arrays_zip("names", "arounds")).alias("o"))
     each = each.select(F.col("o.names").alias("name"), F.col("o.arounds").alias("around"), "doc")
-    shared = each.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("_last"),
-                                      F.min("around").alias("_a"), F.max("around").alias("_b")).where("first < _last")
-    shared = cut(shared.select("name", "first", (F.col("_a") != F.col("_b")).alias("several")))
+    shared = cut(each.groupBy("name").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last"))
+                 .where("_first < _last").select("name"))
     hits = stored(each.join(shared, "name"), "hits")
+    classes = cut(hits.groupBy("name", "around").agg(F.min("doc").alias("doc")))
     every = (1 << WINDOW + 1) - 1
-    alike = hits.where("NOT several AND first < doc").select("name", "around", "doc", F.lit(every).cast("long").alias("mask"))
-    classes = cut(hits.where("several").groupBy("name", "around").agg(F.min("doc").alias("doc")))
-    windows = cut(_windows(docs, classes))
-    firsts = cut(windows.groupBy("name", "window").agg(F.min("doc").alias("first")))
-    whose = (windows.join(firsts, ["name", "window"]).groupBy("name", "around")
-             .agg(F.collect_list(F.struct("off", "first")).alias("firsts")))  # a window per offset
-    some = hits.where("several").select("name", "around", "doc").join(cut(whose), ["name", "around"])
-    mask = F.aggregate("firsts", F.lit(0).cast("long"), lambda acc, x: F.when(
-        x["first"] < F.col("doc"), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["off"].cast("int")))).otherwise(acc))
-    marked = alike.unionByName(some.select("name", "around", "doc", mask.alias("mask")).where("mask <> 0"))
-    per = cut(marked.groupBy("doc").agg(F.collect_list(F.struct("name", "around", "mask")).alias("at")).withColumnRenamed("doc", "doc_id"))
+    later = hits.join(classes.withColumnRenamed("doc", "_first"), ["name", "around"]).where("_first < doc")
+    later = later.select("doc", "name", "around", F.lit(every).alias("mask"))
+    several = cut(classes.groupBy("name").agg(F.count("*").alias("_n")).where("_n > 1").select("name"))
+    windows = stored(_windows(docs, classes.join(several, "name")), "windows")
+    firsts = cut(windows.groupBy("name", "window").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).where("_first < _last").drop("_last"))
+    earlier = windows.join(firsts, ["name", "window"]).where("_first < doc")
+    mask = F.sum(F.call_function("shiftleft", F.lit(1), F.col("off"))).cast("int")  # a window per offset
+    earlier = earlier.select("doc", "name", "around", "off").distinct().groupBy("doc", "name", "around").agg(mask.alias("mask"))
+    per = cut(later.unionByName(earlier).groupBy("doc").agg(F.collect_list(F.struct("name", "around", "mask")).alias("at")).withColumnRenamed("doc", "doc_id"))
     # rows that repeat id and words have the same result
     removed = _removed(docs, per).dropDuplicates(["doc_id", "whole_sha256"])
-    rows = base.select("doc_id", "n_words", "whole_sha256").join(removed, ["doc_id", "whole_sha256"], "left")
-    return rows.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-                       F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
+    gone = copies.select("doc_id", "whole", F.lit(True).alias("copy"))
+    rows = (base.select("doc_id", "n_words", "whole_sha256", whole).join(removed, ["doc_id", "whole_sha256"], "left")
+            .join(gone, ["doc_id", "whole"], "left"))
+    copy = F.col("copy").isNotNull() & (F.col("n_words") >= WINDOW)
+    return rows.select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+                       F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"))
