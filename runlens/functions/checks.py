@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.functions._col import col
+from runlens.functions.text import phrase_class
 
 CHECK_ROW = T.StructType([
     T.StructField("label", T.StringType()),
@@ -54,13 +55,24 @@ def check_detected(rows: Column | str, fragments: list[str]) -> Column:
     return F.coalesce(*[check_verdict(check_lookup(rows, f)) for f in fragments])
 
 
+def stealth_flags(checks_raw: Column | str, page_text: Column | str) -> dict[str, Column]:
+    """The four stealth flags from the stored captures: the check table's JSON
+    and the text of the headless page. NULL where a capture says neither."""
+    rows = parse_checks(checks_raw)
+    return {
+        "sannysoft_webdriver_detected": check_detected(rows, WEBDRIVER_FRAGMENTS),
+        "sannysoft_headless_detected": check_detected(rows, HEADLESS_FRAGMENTS),
+        "sannysoft_user_agent_suspicious": check_detected(rows, USER_AGENT_FRAGMENTS),
+        "areyouheadless_detected": phrase_class(page_text),
+    }
+
+
 def all_clean(*flags: Column | str) -> Column:
     """True only when every tri-state flag is false; NULL is not clean."""
     return F.coalesce(reduce(and_, [~col(f) for f in flags]), F.lit(False))
 
 
-# reCAPTCHA v3 thresholds (human-like per the docs; report tier).
-HUMAN_LIKE_SCORE = 0.7
+# Fixed value: the report tier's reCAPTCHA v3 threshold.
 TIER_SCORE = 0.3
 
 

@@ -25,10 +25,10 @@ def tristate_label(c: Column | str, true_text: str, false_text: str,
 
 def value_label(c: Column | str, unit: str = "ms", places: int = 0,
                 null_text: Column | str = DASH) -> Column:
-    """Number plus unit ('1441ms', '62.8s'); NULL gets ``null_text``."""
+    """Number plus unit ('1441ms', '62.8s'); NULL and NaN get ``null_text``."""
     c = col(c)
     fallback = null_text if isinstance(null_text, Column) else F.lit(null_text)
-    return F.when(c.isNotNull(), F.concat(num_text(c, places), F.lit(unit))).otherwise(fallback)
+    return F.coalesce(F.concat(num_text(c, places), F.lit(unit)), fallback)
 
 
 def emphasise_nonzero(n: Column | str) -> Column:

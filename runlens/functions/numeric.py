@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens.functions._col import col
 
@@ -49,6 +50,14 @@ def safe_double(c: Column | str) -> Column:
             .when(s.rlike(_NAN), F.lit(float("nan"))))
 
 
+def measure(df: DataFrame, name: str) -> Column:
+    """Column ``name`` as a double: a plain cast of a numeric column, the safe
+    cast (NULL for what is no number) of any other."""
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return F.col(name).cast("double")
+    return safe_double(name)
+
+
 def row_total(cols: list[Column | str], strict: bool = True) -> Column:
     """Sum of stage columns.
 

@@ -2,13 +2,13 @@
 page titles, list cleaning. All are built-in string/regex expressions, so they
 run inside whole-stage codegen over whole texts.
 
-Regexes stay in the subset that Java and RE2 read alike (no look-around).
 """
 
 from __future__ import annotations
 
 import re
 from functools import reduce
+from html.entities import html5
 from operator import or_
 
 from pyspark.sql import Column
@@ -126,10 +126,11 @@ def score_extract(c: Column | str) -> Column:
     return num.try_cast("double")
 
 
-# Character references decoded in titles (the named ones below,
-# plus every numeric reference).
-HTML_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|lt|gt|quot|apos|amp|nbsp);"
-HTML_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "nbsp": "\u00a0"}
+# Character references decoded in titles: all names of the HTML standard (the
+# standard library's table; some are valid without the semicolon), the longest
+# that fits, and numeric references of any length.
+_NAMES = "|".join(re.escape(n) for n in sorted(html5, key=lambda n: (-len(n), n)))
+HTML_ENTITY = rf"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|(?:{_NAMES}))"
 REPLACEMENT_CHAR = 0xFFFD
 # Numeric references 0x80-0x9F name Windows-1252 characters (HTML parsing rules).
 WINDOWS_1252 = {
@@ -153,10 +154,13 @@ def _code_point_text(n: Column) -> Column:
 
 
 def _entity_text(e: Column) -> Column:
-    """'#38' / '#x26' / 'amp' -> the character it stands for."""
+    """'#38;' / '#x26' / 'amp;' -> the character(s) it stands for."""
     is_hex = F.lower(F.substring(e, 2, 1)) == F.lit("x")
-    n = F.when(is_hex, F.conv(F.substring(e, 3, 16), 16, 10)).otherwise(F.substring(e, 2, 16))
-    named = F.create_map(*[F.lit(x) for kv in HTML_NAMED.items() for x in kv])
+    digits = F.regexp_replace(e, "^#[xX]?0*|;$", "")
+    # more digits than any code point has: out of range
+    n = F.when(digits == "", F.lit("0")).when(F.length(digits) > 8, F.lit(str(0x110000))) \
+         .when(is_hex, F.conv(digits, 16, 10)).otherwise(digits)
+    named = F.create_map(*[F.lit(x) for kv in html5.items() for x in kv])
     return (F.when(F.startswith(e, F.lit("#")), _code_point_text(n.cast("long")))
             .otherwise(F.try_element_at(named, e)))
 
@@ -179,13 +183,18 @@ def page_title(html: Column | str) -> Column:
     return F.trim(F.regexp_replace(decode_entities(raw), _HTML_SPACE, " "))
 
 
+def js_trim(c: Column) -> Column:
+    """Without JavaScript white space at either end."""
+    return F.regexp_replace(c, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
+
+
 def split_clean(c: Column | str, sep: str = ",") -> Column:
     """'a, b,,c ' -> ['a', 'b', 'c']: split, trim each item, drop empty items."""
     parts = F.split(col(c), re.escape(sep))
-    trimmed = F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    trimmed = F.transform(parts, js_trim)
     return F.filter(trimmed, lambda x: x != F.lit(""))
 
 
 def canonical_key(c: Column | str) -> Column:
     """Normalised lookup key: trimmed and lower-cased."""
-    return F.lower(F.trim(col(c)))
+    return F.lower(js_trim(col(c)))

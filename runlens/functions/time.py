@@ -18,7 +18,7 @@ def duration_ms(start: Column | str, end: Column | str, fractional: bool = False
     if fractional:
         return micros / F.lit(1000.0)
     # integer division that truncates toward zero, like BigInt division
-    return ((micros - micros % 1000) / 1000).cast("long")
+    return F.call_function("div", micros, F.lit(1000))
 
 
 def iso_text(ts: Column | str) -> Column:

@@ -16,11 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.functions._col import col
-from runlens.functions.numeric import dround
-from runlens.operators.quantiles import DEFAULT_METHOD, aggregate_with_quantiles
-
-ROLLUP_COLS = ["n_sessions", "sessions_succeeded", "sessions_failed",
-               "sequential_equivalent_ms", "success"]
+from runlens.functions.numeric import dround, measure
+from runlens.operators.quantiles import value_stats
 
 
 def rollup_rows(sessions: DataFrame, batch_keys: list[str], ok: str = "success",
@@ -85,19 +82,18 @@ def overhead_ratio(wall: Column | str, seq: Column | str, places: int = 4) -> Co
                   dround(wall.cast("double") / seq.cast("double"), places))
 
 
-def batch_summary(batches: DataFrame, keys: list[str] = ["provider", "sequential_mode", "concurrency"],
-                  quantile_method: str = DEFAULT_METHOD) -> DataFrame:
+def batch_summary(batches: DataFrame, keys: list[str] = ["provider", "sequential_mode", "concurrency"]
+                  ) -> DataFrame:
     """Batches per (provider, sequential_mode, concurrency): runs, avg sessions
     succeeded, avg / median wall time, avg sequential equivalent, avg overhead
     ratio, failed batches."""
-    aggs = [F.count(F.lit(1)).alias("runs"),
-            F.avg("sessions_succeeded").alias("avg_succeeded"),
-            F.avg(F.col("total_parallel_ms").cast("double")).alias("avg_parallel_ms"),
-            F.avg(F.col("sequential_equivalent_ms").cast("double")).alias("avg_seq_equiv_ms"),
-            F.avg("overhead_ratio").alias("avg_overhead_ratio"),
-            F.sum(F.when(F.col("success"), 0).otherwise(1)).cast("long").alias("failed_batches")]
-    out = aggregate_with_quantiles(batches, keys, aggs, "total_parallel_ms",
-                                   {"p50_parallel_ms": 0.5}, method=quantile_method)
+    out = value_stats(
+        batches, keys, measure(batches, "total_parallel_ms"), {"p50_parallel_ms": 0.5},
+        sums={"runs": F.lit(1), "failed_batches": F.when(F.col("success"), 0).otherwise(1)},
+        means={"avg_succeeded": measure(batches, "sessions_succeeded"),
+               "avg_seq_equiv_ms": measure(batches, "sequential_equivalent_ms"),
+               "avg_overhead_ratio": measure(batches, "overhead_ratio")},
+        mean="avg_parallel_ms")
     rest = [k for k in keys if k != "concurrency"]
     return out.select(*rest, "runs", dround("avg_succeeded", 1).alias("avg_succeeded"),
                       F.col("concurrency").alias("max_sessions"),

@@ -102,21 +102,16 @@ def lookup(key: Column | str, mapping: dict, default=None) -> Column:
 
 
 def lookup_default(df: DataFrame, dim: DataFrame | dict, on: str, value: str,
-                   default, out: str | None = None, max_dim_rows: int | None = None) -> DataFrame:
+                   default, out: str | None = None) -> DataFrame:
     """Add ``out`` = dim value for ``df[on]``, ``default`` when absent.
 
     ``dim`` is a dict (literal map, no join) or a DataFrame with columns
-    ``on`` and ``value``. ``max_dim_rows`` is a row bound under which a
-    broadcast is safe; it is checked before the hint is given. Without it (or
-    above it) the join strategy is left to AQE's measured sizes.
+    ``on`` and ``value``; AQE picks that join's strategy from measured sizes.
     """
     out = out or value
     if isinstance(dim, dict):
         return df.withColumn(out, lookup(on, dim, default))
     side = dim.select(F.col(on).alias("_rl_dk"), F.col(value).alias("_rl_dv"))
-    # broadcast only after checking the declared bound (reads at most bound + 1 rows)
-    if max_dim_rows is not None and side.limit(max_dim_rows + 1).count() <= max_dim_rows:
-        side = F.broadcast(side)
     joined = df.join(side, df[on] == side["_rl_dk"], "left")
     return joined.withColumn(out, F.coalesce(F.col("_rl_dv"), F.lit(default))).drop("_rl_dk", "_rl_dv")
 

@@ -1,12 +1,10 @@
 """Ordering operators: positions in a sorted result and custom sort keys.
 
-``with_position`` numbers rows 1..n in a total order. The input is first
-checkpointed to the shared folder (computed once, fixed for every later pass)
-and counted. A result of at most ``LOCAL_POSITION_ROWS`` rows (the checked
-bound) is numbered by one window over a single partition. A larger one is
-range-partitioned and sorted, each partition numbers its own rows, and a table
-with one row per partition (bounded by the partition count) supplies the
-offsets, so no task ever holds more than one range.
+``with_position`` numbers rows 1..n in a total order, the same way at every
+size: the rows are range-partitioned and sorted, that one copy is checkpointed
+to the shared folder, each partition numbers its own rows, and a table with one
+row per partition (bounded by the partition count) supplies the offsets. No
+task ever holds more than one range.
 """
 
 from __future__ import annotations
@@ -19,9 +17,6 @@ from runlens.session import shared_dir
 
 _PID, _MID, _N, _FIRST, _OFF = "_rl_pid", "_rl_mid", "_rl_n", "_rl_first", "_rl_off"
 
-# Largest result numbered inside one task.
-LOCAL_POSITION_ROWS = 1_000_000
-
 
 def snapshot(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` to the shared folder: later passes read this copy, so a
@@ -47,24 +42,14 @@ def range_sorted(df: DataFrame, order: list[Column], num_partitions: int | None
 
 
 def with_position(df: DataFrame, order: list[Column | str], name: str = "position",
-                  num_partitions: int | None = None,
-                  local_rows: int | None = None, fixed: bool = False,
-                  n_rows: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position (bigint) of each row in ``order``.
 
     ``order`` must be a total order (end it with a unique tie-break column) for
-    the positions to be deterministic. ``num_partitions`` forces the
-    range-partitioned path. ``fixed``: ``df`` is already a snapshot (or derived
-    from one by row-wise expressions), so it is not checkpointed again.
-    ``n_rows``: the row count of ``df`` when the caller already has it.
+    the positions to be deterministic. The result reads the checkpointed sorted
+    copy, so further passes over it don't compute ``df`` again.
     """
-    order = [col(o) for o in order]
-    base = df if fixed else snapshot(df)
-    bound = LOCAL_POSITION_ROWS if local_rows is None else local_rows
-    n = base.count() if n_rows is None else n_rows
-    if num_partitions is None and n <= bound:
-        return base.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    srt = range_sorted(base, order, num_partitions)
+    srt = range_sorted(df, [col(o) for o in order], num_partitions)
     counts = srt.groupBy(_PID).agg(F.count(F.lit(1)).alias(_N), F.min(_MID).alias(_FIRST))
     # one row per partition: bounded by the partition count, safe to broadcast
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)

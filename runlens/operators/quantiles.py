@@ -1,137 +1,96 @@
-"""Per-group quantiles.
-
-Methods:
-  ``auto``    (default) one cheap pass counts rows per group; when the largest
-              group has at most ``EXACT_GROUP_ROWS`` rows, ``builtin`` is used,
-              otherwise ``sorted``. Both are exact, so the result is the same.
-  ``sorted``  exact, interpolated (quantile_cont / median). The values are
-              range-partitioned by (keys, value), so a hot key is spread over many
-              tasks; per-(partition, key) counts give each row's rank, and only the
-              rows at the wanted ranks are fetched. No task ever holds a whole group.
-  ``builtin`` exact ``percentile``: each group's value->count map is merged in one
-              task. Fine when groups are bounded, not for a key holding a third of
-              the rows.
-  ``approx``  ``percentile_approx`` sketch (bounded memory, rank error 1/accuracy).
+"""Exact per-group quantiles, one method at every size.
+
+Equal values are combined first: (keys, value, n) by a partially aggregated
+group-by, so a value that fills a group costs one row per map task. These rows
+are range-partitioned by (keys, value) and sorted; per-(partition, key) totals
+give every row the ranks it covers, and the rows that cover a wanted rank are
+picked in the last aggregate. No task holds a whole group, no side is
+broadcast by hint, and the input is aggregated once: sums and counts asked for
+beside the quantiles ride along in the same rows.
+
+``group_quantiles(..., method="approx")`` is the opt-in sketch
+(``percentile_approx``: bounded memory, rank error 1/accuracy).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.operators.order import _MID, _PID, range_sorted
-
-DEFAULT_METHOD = "auto"
-# largest group whose value->count map may be merged in one task
-EXACT_GROUP_ROWS = 2_000_000
-# the fetched-rank table is broadcast only below this many rows; above, a
-# shuffle join is used
-BROADCAST_ROWS = 500_000
+from runlens.operators.order import _PID, range_sorted
 
+_V, _N, _ONE = "_rl_v", "_rl_n", "_rl_one"
 
-def resolve_method(df: DataFrame, keys: list[str], method: str = DEFAULT_METHOD) -> str:
-    """'auto' -> 'builtin' when the largest group of ``df`` has at most
-    ``EXACT_GROUP_ROWS`` rows (one partially aggregated counting pass), else
-    'sorted'. Other methods are returned unchanged."""
-    if method != "auto":
-        return method
-    sizes = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
-    biggest = (sizes["m"] if sizes else None) or 0
-    return "builtin" if biggest <= EXACT_GROUP_ROWS else "sorted"
 
-
-def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    if not keys:
-        # global aggregates: one row each side, joined on a constant key
-        one = F.lit(1).alias("_rl_one")
-        return left.select("*", one).join(right.select("*", one), "_rl_one", "left").drop("_rl_one")
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     cond = None
     for k in keys:
         c = left[k].eqNullSafe(right[k])
         cond = c if cond is None else cond & c
-    return left.join(right, cond, "left").drop(*[right[k] for k in keys])
-
+    return left.join(right, cond).drop(*[right[k] for k in keys])
 
-def aggregate_with_quantiles(df: DataFrame, keys: list[str], aggs: list, value: str,
-                             probs: dict[str, float], method: str = DEFAULT_METHOD,
-                             where=None, accuracy: int = 10000) -> DataFrame:
-    """``df.groupBy(keys).agg(*aggs)`` plus one column per prob: the quantile of
-    ``value`` over the rows where ``where`` holds (NULL values ignored).
 
-    builtin / approx: the quantiles join the same aggregate (one pass, one
-    shuffle). sorted: a separate skew-safe plan, left-joined on the keys.
+def value_stats(df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float],
+                sums: dict[str, Column] | None = None, means: dict[str, Column] | None = None,
+                mean: str | None = None, stddev: str | None = None,
+                where: Column | None = None, num_partitions: int | None = None) -> DataFrame:
+    """One row per group of ``keys``: quantiles of ``value`` (NULLs and rows
+    outside ``where`` ignored; NULL when nothing is left), and over all rows
+    the ``sums`` and ``means`` of the given expressions. ``mean`` / ``stddev``
+    name the mean and sample deviation of ``value`` itself when wanted.
     """
-    cond = F.col(value).isNotNull() if where is None else (where & F.col(value).isNotNull())
-    method = resolve_method(df.where(cond), keys, method)
-    if method in ("builtin", "approx"):
-        v = F.when(cond, F.col(value).cast("double"))
-        ps = list(probs.values())
-        # all quantiles of one column from one buffer (array form)
-        q = F.percentile(v, ps) if method == "builtin" else F.percentile_approx(v, ps, accuracy)
-        out = df.groupBy(*keys).agg(*aggs, q.alias("_rl_q"))
-        cols = [c for c in out.columns if c != "_rl_q"]
-        return out.select(*cols, *[F.col("_rl_q")[i].alias(n) for i, n in enumerate(probs)])
-    if method != "sorted":
-        raise ValueError(f"unknown quantile method {method!r}")
-    agg = df.groupBy(*keys).agg(*aggs)
-    return _null_safe_left(agg, _sorted_quantiles(df.where(cond), keys, value, probs, None), keys)
+    sums, means = sums or {}, means or {}
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    v = v if where is None else F.when(where, v)
+    own = keys or [_ONE]
+    rows = df if keys else df.withColumn(_ONE, F.lit(1))
+    parts = [F.sum(c).alias(f"_s_{n}") for n, c in sums.items()]
+    parts += [x for n, c in means.items() for x in (F.sum(c.cast("double")).alias(f"_m_{n}"), F.count(c).alias(f"_c_{n}"))]
+    counted = rows.groupBy(*own, v.alias(_V)).agg(F.count(F.lit(1)).alias(_N), *parts)
+    order = [F.col(k).asc_nulls_first() for k in own] + [F.col(_V).asc_nulls_first()]
+    srt = range_sorted(counted, order, num_partitions)
+
+    n = F.when(F.col(_V).isNotNull(), F.col(_N)).otherwise(0)
+    by_key = Window.partitionBy(*own)
+    per = srt.groupBy(_PID, *own).agg(F.sum(n).alias("_c"), F.sum(n * F.col(_V)).alias("_x"))
+    # a key has at most one row per range here
+    per = per.select(_PID, *own,
+                     F.coalesce(F.sum("_c").over(by_key.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)),
+                                F.lit(0)).alias("_off"),
+                     F.sum("_c").over(by_key).alias("_tot"), F.sum("_x").over(by_key).alias("_sum"))
+    in_part = Window.partitionBy(_PID, *own).orderBy(F.col(_V).asc_nulls_first())
+    ranked = _null_safe_join(srt.withColumn("_upto", F.sum(n).over(in_part)), per, [_PID, *own])
+    high = F.col("_off") + F.col("_upto")
+    low = high - n
+
+    aggs, cols = [], []
+    for name, p in probs.items():
+        at = (F.col("_tot") - 1) * F.lit(p)
+        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            aggs.append(F.max(F.when((low <= rank) & (rank < high), F.col(_V))).alias(f"_{side}_{name}"))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        cols.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    aggs += [F.max("_tot").alias("_tot"), F.max("_sum").alias("_sum")]
+    off = F.col(_V) - F.col("_sum") / F.nullif(F.col("_tot"), F.lit(0))
+    aggs.append(F.sum(n * off * off).alias("_dev"))
+    aggs += [F.sum(f"_s_{x}").alias(x) for x in sums]
+    aggs += [(F.sum(f"_m_{x}") / F.nullif(F.sum(f"_c_{x}"), F.lit(0))).alias(x) for x in means]
+    out = ranked.groupBy(*own).agg(*aggs)
+    if mean:
+        cols.append((F.col("_sum") / F.nullif(F.col("_tot"), F.lit(0))).alias(mean))
+    if stddev:
+        cols.append(F.when(F.col("_tot") > 1, F.sqrt(F.col("_dev") / F.nullif(F.col("_tot") - 1, F.lit(0)))).alias(stddev))
+    return out.select(*keys, *sums, *means, *cols)
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    method: str = DEFAULT_METHOD, accuracy: int = 10000,
+                    method: str = "exact", accuracy: int = 10000,
                     num_partitions: int | None = None) -> DataFrame:
     """One row per group that has a non-NULL value: ``keys`` + one column per prob."""
     vals = df.where(F.col(value).isNotNull())
-    method = resolve_method(vals, keys, method)
-    if method == "builtin":
-        return vals.groupBy(*keys).agg(*[F.percentile(F.col(value).cast("double"), p).alias(n)
-                                         for n, p in probs.items()])
     if method == "approx":
         return vals.groupBy(*keys).agg(*[F.percentile_approx(F.col(value).cast("double"), p, accuracy)
                                          .alias(n) for n, p in probs.items()])
-    if method != "sorted":
+    if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
-    return _sorted_quantiles(df, keys, value, probs, num_partitions)
-
-
-def _sorted_quantiles(df, keys, value, probs, num_partitions):
-    v = (df.select(*keys, F.col(value).cast("double").alias("_v"))
-         .where(F.col("_v").isNotNull()))
-    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col("_v").asc()]
-    srt = range_sorted(v, order, num_partitions)
-
-    # rows per (partition, key); a key spans at most #partitions rows here
-    cnt = srt.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias("_c"), F.min(_MID).alias("_first"))
-    by_key = Window.partitionBy(*keys)
-    cnt = (cnt.withColumn("_off", F.coalesce(F.sum("_c").over(
-                by_key.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("_tot", F.sum("_c").over(by_key)))
-
-    # wanted ranks (0-based): floor and ceil of (n - 1) * p
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("_q"), F.lit(side).alias("_side"),
-                 (F.floor if side == "lo" else F.ceil)((F.col("_tot") - 1) * F.lit(p)).alias("_r"))
-        for name, p in probs.items() for side in ("lo", "hi")]))
-    need = (cnt.select(_PID, "_first", "_off", "_c", "_tot", *keys, wanted.alias("_w"))
-            .select(_PID, "_first", "_off", "_c", "_tot", *keys, "_w.*")
-            .where((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_c")))
-            .select(*keys, "_q", "_side", "_tot",
-                    (F.col("_first") + (F.col("_r") - F.col("_off"))).alias(_MID)))
-    # ``need`` is a deterministic function of the checkpointed ``srt``: computing
-    # it twice (count, join) gives the same rows, so it is not checkpointed
-    small = need.count() <= BROADCAST_ROWS
-    picked = srt.select(_MID, "_v").join(F.broadcast(need) if small else need, _MID)
-
-    aggs = []
-    for name, p in probs.items():
-        lo = F.max(F.when((F.col("_q") == name) & (F.col("_side") == "lo"), F.col("_v")))
-        hi = F.max(F.when((F.col("_q") == name) & (F.col("_side") == "hi"), F.col("_v")))
-        aggs += [lo.alias(f"_lo_{name}"), hi.alias(f"_hi_{name}")]
-    out = picked.groupBy(*keys).agg(F.max("_tot").alias("_tot"), *aggs)
-    cols = []
-    for name, p in probs.items():
-        pos = (F.col("_tot") - 1) * F.lit(p)
-        frac = pos - F.floor(pos)
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        cols.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * frac).alias(name))
-    return out.select(*keys, *cols)
+    return value_stats(vals, keys, value, probs, num_partitions=num_partitions)

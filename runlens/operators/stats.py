@@ -2,8 +2,8 @@
 
 Every aggregate here (count, avg, stddev, conditional counts) is partially
 aggregated before the shuffle, so a key holding a large share of the rows
-costs one partial row per input partition. Quantiles use the skew-safe
-methods in ``quantiles``.
+costs one partial row per input partition. Quantiles, and what is asked for
+beside them, come from one pass of ``quantiles.value_stats``.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.numeric import dround, row_total
-from runlens.operators.quantiles import DEFAULT_METHOD, aggregate_with_quantiles, resolve_method
+from runlens.functions.numeric import dround, measure, row_total
+from runlens.operators.quantiles import value_stats
 
 # The four lifecycle stages and the row total, in report order.
 STAGES = ["session_creation_ms", "session_connect_ms", "page_goto_ms", "session_release_ms"]
@@ -36,15 +36,14 @@ def complete_rows(df: DataFrame, cols: list[str]) -> DataFrame:
 def with_stage_doubles(df: DataFrame, stages: list[str] = STAGES, total: str | None = TOTAL) -> DataFrame:
     """Cast the stages to double and add the strict row total."""
     out = df.select(*[c for c in df.columns if c not in stages],
-                    *[F.col(s).cast("double").alias(s) for s in stages])
+                    *[measure(df, s).alias(s) for s in stages])
     if total:
         out = out.withColumn(total, row_total(stages, strict=True))
     return out
 
 
 def stage_totals(runs: DataFrame, keys: list[str] = ["provider"], stages: list[str] = STAGES,
-                 success: str = "success", places: int = 0,
-                 quantile_method: str = DEFAULT_METHOD) -> DataFrame:
+                 success: str = "success", places: int = 0) -> DataFrame:
     """Successful runs per key: count, avg and median of the row total, avg per stage.
 
     Output: keys, runs, avg_total_ms, median_total_ms, avg_create_ms,
@@ -53,10 +52,8 @@ def stage_totals(runs: DataFrame, keys: list[str] = ["provider"], stages: list[s
     """
     ok = with_stage_doubles(runs.where(F.col(success) == F.lit(True)), stages)
     names = ["avg_create_ms", "avg_connect_ms", "avg_goto_ms", "avg_release_ms"]
-    aggs = [F.count(F.lit(1)).alias("runs"), F.avg(TOTAL).alias("avg_total_ms"),
-            *[F.avg(s).alias(n) for s, n in zip(stages, names)]]
-    out = aggregate_with_quantiles(ok, keys, aggs, TOTAL, {"median_total_ms": 0.5},
-                                   method=quantile_method)
+    out = value_stats(ok, keys, TOTAL, {"median_total_ms": 0.5}, sums={"runs": F.lit(1)},
+                      means={n: F.col(s) for s, n in zip(stages, names)}, mean="avg_total_ms")
     rounded = ["avg_total_ms", "median_total_ms"] + names
     return out.select(*keys, "runs", *[dround(c, places).alias(c) for c in rounded])
 
@@ -80,7 +77,7 @@ def unpivot_stages(df: DataFrame, ids: list[str], stages: list[str],
 
     One scan feeding an ``Expand`` instead of one scan per stage.
     """
-    wide = df.select(*ids, *[F.col(s).cast("double").alias(s) for s in stages])
+    wide = df.select(*ids, *[measure(df, s).alias(s) for s in stages])
     return wide.unpivot(ids, stages, metric, value)
 
 
@@ -113,50 +110,22 @@ def stats_with_rate(runs: DataFrame, keys: list[str] = ["provider"], stages: lis
 
 
 def stage_summary(runs: DataFrame, keys: list[str] = ["provider"], stages: list[str] = STAGES,
-                  success: str = "success", places: int = 0,
-                  quantile_method: str = DEFAULT_METHOD) -> DataFrame:
+                  success: str = "success", places: int = 0) -> DataFrame:
     """keys x metric: row_count, success_pct, avg, median, p95, stddev.
 
     Statistics are over successful runs, the rate over all runs; a key without
     a successful run has no rows (the stats side of the left join is empty).
-
-    When the exact percentiles fit the aggregate (groups checked, see
-    ``quantiles``) the stages are aggregated side by side, one row per key,
-    and only that small result is unpivoted to (key, metric) rows: the
-    aggregation and its shuffle see each run once, not once per metric.
-    Otherwise the runs are unpivoted first (one scan, an ``Expand``) and the
-    quantiles come from the skew-safe sorted method.
+    The runs are read once and unpivoted (an ``Expand``); the rate's counts are
+    sums beside the statistics, the same for each metric of a key.
     """
     ok = F.col(success) == F.lit(True)
     wide = with_stage_doubles(runs.select(*keys, success, *stages), stages)
-    metrics = stages + [TOTAL]
-    method = resolve_method(wide.where(ok), keys, quantile_method)
-    rate_aggs = [F.count(F.lit(1)).alias("row_count"),
-                 (F.lit(100.0) * F.avg(F.when(F.col(success), 1).otherwise(0))).alias("success_rate"),
-                 F.count_if(ok).alias("_n_ok")]
-    if method in ("builtin", "approx"):
-        per_metric = []
-        for i, m in enumerate(metrics):
-            v = F.when(ok & F.col(m).isNotNull(), F.col(m))
-            # both quantiles from one value->count map (array form)
-            q = (F.percentile(v, [0.5, 0.95]) if method == "builtin"
-                 else F.percentile_approx(v, [0.5, 0.95], 10000))
-            per_metric += [F.avg(F.when(ok, F.col(m))).alias(f"_a{i}"), q.alias(f"_q{i}"),
-                           F.stddev_samp(F.when(ok, F.col(m))).alias(f"_s{i}")]
-        agg = wide.groupBy(*keys).agg(*rate_aggs, *per_metric).where(F.col("_n_ok") > 0)
-        rows = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"_a{i}").alias("avg_ms"),
-                                           F.col(f"_q{i}")[0].alias("median_ms"),
-                                           F.col(f"_q{i}")[1].alias("p95_ms"),
-                                           F.col(f"_s{i}").alias("stddev_ms"))
-                                  for i, m in enumerate(metrics)]))
-        out = agg.select(*keys, "row_count", "success_rate", rows)
-    else:
-        long = wide.unpivot(keys + [success], metrics, "metric", "value")
-        aggs = rate_aggs + [F.avg(F.when(ok, F.col("value"))).alias("avg_ms"),
-                            F.stddev_samp(F.when(ok, F.col("value"))).alias("stddev_ms")]
-        out = aggregate_with_quantiles(long, keys + ["metric"], aggs, "value",
-                                       {"median_ms": 0.5, "p95_ms": 0.95},
-                                       method=method, where=ok).where(F.col("_n_ok") > 0)
+    long = wide.unpivot(keys + [success], stages + [TOTAL], "metric", "value")
+    out = value_stats(long, keys + ["metric"], "value", {"median_ms": 0.5, "p95_ms": 0.95},
+                      sums={"row_count": F.lit(1), "_n_ok": ok.cast("int")},
+                      means={"_rate": F.when(F.col(success), 1).otherwise(0)},
+                      mean="avg_ms", stddev="stddev_ms", where=ok)
+    out = out.where(F.col("_n_ok") > 0).withColumn("success_rate", F.lit(100.0) * F.col("_rate"))
     return out.select(*keys, _rate_side(keys, F.col("row_count")).alias("row_count"),
                       _rate_side(keys, dround("success_rate", 1)).alias("success_pct"), "metric",
                       *[dround(c, places).alias(c) for c in ("avg_ms", "median_ms", "p95_ms", "stddev_ms")])

@@ -19,6 +19,8 @@ types match the SQL in ``runlens.plans.oracle``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +29,7 @@ from runlens.functions import (all_clean, any_phrase, check_detected, check_look
                                check_verdict, dround, duration_ms, error_reason, iso_date,
                                iso_text, page_title, parse_checks, phrase_class,
                                rate_limited, row_total, safe_double, score_at_least,
-                               score_extract, shortfall, split_clean, to_seconds,
+                               score_extract, shortfall, split_clean, stealth_flags, to_seconds,
                                tristate_label, truncate_text, value_label)
 from runlens.operators import dims
 from runlens.operators.batches import (batch_summary, combine_rollups, fill_empty_batches,
@@ -35,13 +37,13 @@ from runlens.operators.batches import (batch_summary, combine_rollups, fill_empt
 from runlens.operators.latest import (any_failure, distinct_keys, latest_per_key,
                                       latest_with_fallback, sibling_values)
 from runlens.operators.order import captcha_order, enum_rank, survivor_key, with_position
-from runlens.operators.stats import (TOTAL, complete_rows, run_tally, stage_summary,
+from runlens.operators.stats import (STAGES, TOTAL, complete_rows, run_tally, stage_summary,
                                      stage_totals, stats_with_rate, success_rate,
                                      unpivot_stages)
 from runlens.plans import reports
 from runlens.session import scratch_path
-from runlens.sources.runlogs import scan_json
-from runlens.sources.sinks import to_json_text
+from runlens.sources.runlogs import scan_json, scan_runs, split_quarantine
+from runlens.sources.sinks import append_runs, replace_slice, to_json_text, write_report
 
 RUN_STAGES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 METRICS = RUN_STAGES + [TOTAL]
@@ -89,22 +91,18 @@ def batches(spark: SparkSession, d: str) -> DataFrame:
     return fill_empty_batches(joined, T.DoubleType())
 
 
-# sessions per nested record in the stand-in (a batch record holds a bounded array)
+# sessions that go into nested records together: a record holds at most as many
 SESSIONS_PER_RECORD = 8
 
 
 def nested_batches(spark: SparkSession, d: str) -> DataFrame:
     """Orders with their sessions as array<struct> records (the nested record
-    shape of a parallel batch). A batch with more than ``SESSIONS_PER_RECORD``
-    sessions is split over ceil(n / SESSIONS_PER_RECORD) records by a hash of
-    the session row, so no array grows with the size of a batch; an order
-    without sessions is one record with a NULL array."""
-    s = sessions(spark, d)
-    n = s.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n"))
-    parts = F.ceil(F.col("_n") / F.lit(SESSIONS_PER_RECORD))
-    part = F.pmod(F.xxhash64("l_linenumber", "session_total_ms", "success", "l_partkey",
-                             "l_suppkey"), parts)
-    records = (s.join(n, "batch_id").withColumn("part", part)
+    shape of a parallel batch). Sessions are dealt in runs of
+    ``SESSIONS_PER_RECORD`` as they are read, so a batch is split over records
+    and no array grows with it; an order without sessions is one record with a
+    NULL array."""
+    part = F.expr(f"monotonically_increasing_id() div {SESSIONS_PER_RECORD}")
+    records = (sessions(spark, d).withColumn("part", part)
                .groupBy("batch_id", "part").agg(F.collect_list(F.struct(
                    F.col("l_linenumber").alias("session_index"), "session_total_ms", "success"))
                    .alias("sessions")))
@@ -595,18 +593,34 @@ def q_iso_date(spark, d):
 
 
 def q_run_detail(spark, d):
-    return reports.idle_rows(idle(spark, d))
+    return reports.idle_rows(idle(spark, d), tie=["created_at", "event_id"])
+
+
+def q_text_measures(spark, d):
+    """Stage totals over a log whose measures are text, some of it no number."""
+    r = runs(spark, d)
+    texts = [F.when(F.col("l_linenumber") == 3, F.concat(F.col(s).cast("string"), F.lit("ms")))
+             .otherwise(F.col(s).cast("string")).alias(s) for s in RUN_STAGES]
+    return stage_totals(r.select("provider", "success", *texts), ["provider"], RUN_STAGES, places=P)
+
+
+def q_stealth_flags(spark, d):
+    """Flags from a stored check table and page text per event."""
+    c = check_rows(spark, d)
+    text = F.concat(F.lit("Result: You are "), F.when(F.col("event_id") % 2 == 0, "not ").otherwise(""),
+                    F.when(F.col("event_id") % 3 == 0, "Chrome headless").when(F.col("event_id") % 3 == 1, "headless").otherwise("here"))
+    flags = stealth_flags("raw", text)
+    return c.select("event_id", *[v.alias(k) for k, v in flags.items()])
 
 
 # ---- report tables -----------------------------------------------------------------------
 # Fixed values of the bindings: display dims with one key left out (shown as the default).
-RUN_PRICING = {"A": "Plan A ($0.10/hr)", "N": "Plan N (free)"}
-IDLE_COST = {"click": "$0.01", "view": "$0.02", "purchase": "~$0.0017", "signup": "2 units"}
-STEALTH_PLAN = {"1": "Free (stealth endpoint)", "2": "Paid (proxy add-on)"}
-CAPTCHA_COST = {"1": "10 units/solve", "3": "Paid plan required"}
+RUN_PRICING = {"A": "plan A, metered", "N": "plan N, flat"}
+IDLE_COST = {"click": "1 coin", "view": "2 coins", "purchase": "half a coin", "signup": "3 coins"}
+STEALTH_PLAN = {"1": "tier one", "2": "tier two (extra)"}
+CAPTCHA_COST = {"1": "ten coins", "3": "on request"}
 CAPTCHA_PLAN = {"2": 0, "5": 1}
-PARALLEL_LIMITS = {"1-URGENT": "3 (free tier)", "2-HIGH": "1 (free tier)",
-                   "3-MEDIUM": "2 (free tier)", "5-LOW": "5 (free tier)"}
+PARALLEL_LIMITS = {"1-URGENT": "three", "2-HIGH": "one", "3-MEDIUM": "two", "5-LOW": "five"}
 PARALLEL_CONCURRENCY = 3
 
 
@@ -633,24 +647,108 @@ def r_parallel(spark, d):
     return reports.report_parallel(b, PARALLEL_LIMITS)
 
 
-def r_stealth_empty(spark, d):
-    """The stealth report over rows with no known mode: no input."""
-    s = stealth(spark, d).withColumn("mode", F.lit("other"))
-    return reports.report_stealth(s, STEALTH_PLAN, tie=["event_id"])
-
-
 def q_report_status(spark, d):
+    """The status table from the gates alone: no report is built."""
     return reports.report_status(spark, {
-        "lifecycle": r_lifecycle(spark, d),
-        "idle": r_idle(spark, d),
-        "stealth": r_stealth(spark, d),
-        "captcha": r_captcha(spark, d),
-        "parallel": r_parallel(spark, d),
-        "captcha_gated": r_captcha(spark, d, all_ok=False),
-        "stealth_empty": r_stealth_empty(spark, d),
+        "lifecycle": reports.gate_lifecycle(runs(spark, d), RUN_STAGES),
+        "idle": reports.gate_idle(idle(spark, d, all_ok=True)),
+        "stealth": reports.gate_stealth(stealth(spark, d)),
+        "captcha": reports.gate_captcha(captcha(spark, d), ["event_id"]),
+        "parallel": reports.gate_parallel(_batch_frame(spark, d, F.lit(PARALLEL_CONCURRENCY))),
+        "captcha_gated": reports.gate_captcha(captcha(spark, d, all_ok=False), ["event_id"]),
+        "stealth_empty": reports.gate_stealth(stealth(spark, d).withColumn("mode", F.lit("other"))),
     })
 
 
+# ---- run logs and the run store -------------------------------------------------------------
+# Input of these queries: run logs written from the tables, one file set per kind.
+
+def _lifecycle_runs(spark, d) -> DataFrame:
+    """The runs stand-in under the lifecycle record's names."""
+    names = dict(zip(RUN_STAGES, STAGES))
+    r = runs(spark, d)
+    return r.select(*[F.col(c).alias(names[c]) for c in RUN_STAGES], "provider", "success",
+                    F.col("l_orderkey").cast("string").alias("id"))
+
+
+def _write_logs(texts: DataFrame, folder: str, prefix: str) -> None:
+    """JSON texts (``value``) as log files of a kind: ``<prefix>-<n>.jsonl`` in ``folder``."""
+    spark = texts.sparkSession
+    part = f"{folder}/_writing-{prefix}"
+    texts.write.text(part)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, f in enumerate(store.globStatus(path(f"{part}/part-*"))):
+        store.rename(f.getPath(), path(f"{folder}/{prefix}-{i}.jsonl"))
+    store.delete(path(part), True)
+
+
+def _log_folder(spark, d, bad: bool = False) -> str:
+    """A results folder: lifecycle and idle logs; ``bad``: every seventh lifecycle line cut short."""
+    folder = scratch_path(spark, "logs")
+    text = F.col("json")
+    cut = F.when(F.lit(bad) & (F.col("id").cast("long") % 7 == 0), text.substr(F.lit(1), F.length(text) - 5)).otherwise(text)
+    _write_logs(to_json_text(_lifecycle_runs(spark, d)).select(cut.alias("value")), folder, "runs")
+    _write_logs(to_json_text(idle(spark, d).drop("event_id", "created_at")).select(F.col("json").alias("value")), folder, "idle")
+    return folder
+
+
+def _by_provider(df: DataFrame) -> DataFrame:
+    return df.groupBy("provider").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("success")).alias("n_success"),
+        dround(F.sum("page_goto_ms"), P).alias("goto_ms"))
+
+
+def q_kind_routing(spark, d):
+    """Rows and providers of each kind in a folder that holds several."""
+    rows = scan_runs(spark, _log_folder(spark, d), None, with_file=True)
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("provider").alias("n_providers"))
+
+
+def q_kind_schema(spark, d):
+    """Lifecycle logs through the kind's schema: fractional times survive."""
+    return _by_provider(scan_runs(spark, _log_folder(spark, d), "lifecycle"))
+
+
+def q_bad_lines(spark, d):
+    """Good and bad lines of a log whose lines are partly cut short."""
+    good, bad = split_quarantine(scan_runs(spark, _log_folder(spark, d, bad=True), "lifecycle", bad_lines="quarantine"))
+    n = bad.agg(F.count(F.lit(1)).alias("n_bad"))
+    return _by_provider(good).crossJoin(n)  # one row
+
+
+def q_missing_input(spark, d):
+    """A kind without files beside one with files: no rows, no error."""
+    folder = _log_folder(spark, d)
+    kinds = [scan_runs(spark, folder, k).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(k).alias("kind"), "n_rows")
+             for k in ("idle", "stealth", "captcha", "parallel")]
+    return reduce(DataFrame.unionByName, kinds)
+
+
+def q_append_sink(spark, d):
+    """The runs appended in two steps, read back with the scan."""
+    store, r = scratch_path(spark, "store"), _lifecycle_runs(spark, d)
+    append_runs(r.where("success"), store, "lifecycle")
+    append_runs(r.where("NOT success"), store, "lifecycle")
+    return _by_provider(scan_runs(spark, store, "lifecycle"))
+
+
+def q_replace_slice(spark, d):
+    """One provider's slice replaced by its failures, one by nothing, the others kept."""
+    store, r = scratch_path(spark, "store"), _lifecycle_runs(spark, d)
+    append_runs(r, store, "lifecycle")
+    replace_slice(r.where("provider = 'A' AND page_goto_ms > 0.05"),
+                  store, [("lifecycle", "A"), ("lifecycle", "R")], "lifecycle")
+    return _by_provider(scan_runs(spark, store, "lifecycle"))
+
+
+def q_report_sink(spark, d):
+    """A report written as data and read back."""
+    path = scratch_path(spark, "report")
+    write_report(q_stage_totals(spark, d), path, "parquet")
+    return spark.read.parquet(path)
+
+
 def _df(report_fn):
     def run(spark, d):
         return report_fn(spark, d).df
@@ -711,6 +809,15 @@ QUERIES = {
     "duration_ms": q_duration_ms,
     "iso_date": q_iso_date,
     "run_detail": q_run_detail,
+    "text_measures": q_text_measures,
+    "stealth_flags": q_stealth_flags,
+    "kind_routing": q_kind_routing,
+    "kind_schema": q_kind_schema,
+    "bad_lines": q_bad_lines,
+    "missing_input": q_missing_input,
+    "append_sink": q_append_sink,
+    "replace_slice": q_replace_slice,
+    "report_sink": q_report_sink,
     "report_lifecycle": _df(r_lifecycle),
     "report_idle": _df(r_idle),
     "report_stealth": _df(r_stealth),

@@ -4,32 +4,28 @@ REP0a-d are the four SQL queries (totals, summary, idle rows, parallel
 batches); REP1-5 are the ranked report tables with display cells; REP6 is the
 per-section status.
 
-A report builds its intermediate (latest rows, per-key aggregates, record
-rows), checkpoints it once when it feeds several passes, evaluates its gate on
-it (one aggregate: the row count and, for the two gated reports, whether any
-row failed) and ranks it with ``with_position``, reusing that count. A report that has no input or
-is withheld returns an empty table with the same columns and its state.
+A report's state comes from its gate, one aggregate over its input (is there a
+row to show, did any fail). A report that has no input or is withheld returns an
+empty table with the same columns. The status table needs the gates alone.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.functions.checks import all_clean
 from runlens.functions.labels import (CHECK, CROSS, DASH, emphasise_nonzero, tristate_label,
                                       value_label)
-from runlens.functions.numeric import dround, num_text, to_seconds
+from runlens.functions.numeric import dround, measure, num_text, to_seconds
 from runlens.functions.text import error_reason
 from runlens.operators import dims
 from runlens.operators.batches import batch_summary as _batch_summary
 from runlens.operators.latest import latest_per_key, latest_with_fallback
-from runlens.operators.order import (captcha_order, enum_rank, snapshot, survivor_key,
-                                     with_position)
-from runlens.operators.quantiles import DEFAULT_METHOD
+from runlens.operators.order import captcha_order, enum_rank, survivor_key, with_position
 from runlens.operators.stats import (METRIC_ORDER, STAGES, complete_rows, stage_summary,
                                      stage_totals)
 
@@ -45,73 +41,125 @@ class Report(NamedTuple):
     n_rows: int = 0
 
 
-def _gate(df: DataFrame, success: str | None = None) -> tuple[int, bool]:
-    """(row count, some row failed) in one aggregate; a NULL success counts as
-    a failure. Without ``success`` only the count is taken."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if success:
-        aggs.append(F.coalesce(F.bool_or(~F.coalesce(F.col(success), F.lit(False))), F.lit(False))
-                    .alias("failed"))
-    r = df.agg(*aggs).first()
-    return int(r["n"]), bool(r["failed"]) if success else False
+class Gate(NamedTuple):
+    """Rows the report would show, and its state."""
+    n_rows: int
+    state: str
+
+
+def _gate(df: DataFrame, n: Column, failed: Column | None = None) -> Gate:
+    """``n`` (an aggregate) and whether ``failed`` (a predicate) holds anywhere."""
+    any_failed = F.lit(False) if failed is None else F.coalesce(F.bool_or(failed), F.lit(False))
+    r = df.agg(n.alias("n"), any_failed.alias("failed")).first()
+    rows = int(r["n"] or 0)
+    state = NO_INPUT if not rows else HAS_ERRORS if r["failed"] else OK
+    return Gate(rows, state)
 
 
 def _withheld(df: DataFrame, state: str) -> Report:
     return Report(df.limit(0), state, 0)
 
 
+def _not_true(c: str) -> Column:
+    return ~F.coalesce(F.col(c), F.lit(False))
+
+
+def _count_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.lit(1).alias("one"))
+
+
+def gate_lifecycle(runs: DataFrame, stages: list[str] = STAGES) -> Gate:
+    """Providers with a complete successful run."""
+    ok = complete_rows(runs, ["provider"] + stages[:3]).where(F.col("success") == F.lit(True))
+    return _gate(_count_keys(ok, ["provider"]), F.count(F.lit(1)))
+
+
+def gate_idle(idle: DataFrame) -> Gate:
+    return _gate(idle, F.count(F.lit(1)), _not_true("success"))
+
+
+def gate_stealth(stealth: DataFrame) -> Gate:
+    """Provider x shown mode pairs with a known outcome."""
+    rows = stealth.where(F.col("mode").isin(STEALTH_MODES) & F.col("success").isNotNull())
+    return _gate(_count_keys(rows, ["provider", "mode"]), F.count(F.lit(1)))
+
+
+def gate_captcha(captcha: DataFrame, tie: list[str] | None = None) -> Gate:
+    """Providers; an error if a provider's latest record failed."""
+    tie = TIES["captcha"] if tie is None else tie
+    latest = latest_per_key(captcha.select("provider", "created_at", "success", *_other(tie)),
+                            ["provider"], "created_at", tie)
+    return _gate(latest, F.count(F.lit(1)), _not_true("success"))
+
+
+def gate_parallel(batches: DataFrame) -> Gate:
+    return _gate(_count_keys(batches, ["provider", "sequential_mode", "concurrency"]), F.count(F.lit(1)))
+
+
+# Tie-breaks after created_at, in the columns of each record kind: rows that
+# agree in all of them show the same cells.
+TIES = {
+    "idle": ["created_at", "session_id", "total_ms", "step1_ms", "step2_ms", "reconnect_ms"],
+    "stealth": ["success", "total_ms", "recaptcha_score", "sannysoft_webdriver_detected",
+                "sannysoft_headless_detected", "areyouheadless_detected", "error_message"],
+    "captcha": ["success", "total_ms", "solve_ms", "supported", "captcha_detected", "captcha_solved"],
+}
+
+
+def _other(tie: list[str]) -> list[str]:
+    return [t for t in tie if t not in ("provider", "created_at", "success")]
+
+
 # ---- REP0a-d: the SQL queries ----------------------------------------------
 
-def totals(runs: DataFrame, quantile_method: str = DEFAULT_METHOD) -> DataFrame:
+def totals(runs: DataFrame) -> DataFrame:
     """REP0a: per provider runs, avg/median total, avg per stage (successes),
     fastest first."""
-    out = stage_totals(runs, ["provider"], STAGES, "success", 0, quantile_method)
+    out = stage_totals(runs, ["provider"], STAGES, "success", 0)
     return out.orderBy(F.col("avg_total_ms").asc_nulls_last(), F.col("provider").asc_nulls_last())
 
 
-def summary(runs: DataFrame, quantile_method: str = DEFAULT_METHOD) -> DataFrame:
+def summary(runs: DataFrame) -> DataFrame:
     """REP0b: provider x metric statistics with success rate, in metric order."""
-    out = stage_summary(runs, ["provider"], STAGES, "success", 0, quantile_method)
+    out = stage_summary(runs, ["provider"], STAGES, "success", 0)
     return out.orderBy(F.col("provider").asc_nulls_last(), enum_rank("metric", METRIC_ORDER))
 
 
-def idle_rows(idle: DataFrame) -> DataFrame:
-    """REP0c: one cleaned row per idle run."""
-    ms = lambda c: dround(F.col(c).cast("double"), 0)
-    return idle.select(
+def idle_rows(idle: DataFrame, tie: list[str] | None = None) -> DataFrame:
+    """REP0c: one cleaned row per idle run, by provider, then ``tie`` (the record's
+    own columns, so that a provider's rows spread over the sort's ranges)."""
+    tie = TIES["idle"] if tie is None else tie
+    ms = lambda c: dround(measure(idle, c), 0)
+    return (idle.orderBy(F.col("provider").asc_nulls_last(), *[F.col(t).asc_nulls_last() for t in tie]).select(
         "provider", "success", "session_survived",
         ms("step1_ms").alias("step1_ms"),
-        to_seconds("idle_ms", 1).alias("idle_actual_s"),
+        to_seconds(measure(idle, "idle_ms"), 1).alias("idle_actual_s"),
         ms("reconnect_ms").alias("reconnect_ms"),
         ms("step2_ms").alias("step2_ms"),
         ms("session_release_ms").alias("release_ms"),
-        to_seconds("total_ms", 1).alias("total_s"),
-        "step2_title", "error_stage", "error_message",
-    ).orderBy(F.col("provider").asc_nulls_last())
+        to_seconds(measure(idle, "total_ms"), 1).alias("total_s"),
+        "step2_title", "error_stage", "error_message"))
 
 
-def parallel_summary(batches: DataFrame, quantile_method: str = DEFAULT_METHOD) -> DataFrame:
+def parallel_summary(batches: DataFrame) -> DataFrame:
     """REP0d: batches per (provider, mode, concurrency), fastest first."""
-    return _batch_summary(batches, quantile_method=quantile_method).orderBy(
+    return _batch_summary(batches).orderBy(
         F.col("avg_parallel_ms").asc_nulls_last(), "provider", "sequential_mode", "max_sessions")
 
 
 # ---- REP1: lifecycle ranking --------------------------------------------------
 
 def report_lifecycle(runs: DataFrame, pricing: dict = dims.LIFECYCLE_PRICING,
-                     quantile_method: str = DEFAULT_METHOD, stages: list[str] = STAGES) -> Report:
+                     stages: list[str] = STAGES) -> Report:
     """Rank providers by average total of complete successful runs (provider and
     the first three stages present; the release stage may be missing)."""
     complete = complete_rows(runs, ["provider"] + stages[:3])
-    # one row per provider, computed once: the emptiness check and the ranking read it
-    tot = snapshot(stage_totals(complete, ["provider"], stages, "success", 0, quantile_method))
-    n, _ = _gate(tot)
-    if not n:
-        return _withheld(_lifecycle_cells(tot.withColumn("rank", F.lit(0).cast("long")), pricing),
-                         NO_INPUT)
+    tot = stage_totals(complete, ["provider"], stages, "success", 0)
+    # the sorted copy is checkpointed: the gate counts its rows
     ranked = with_position(tot, [F.col("avg_total_ms").asc_nulls_last(),
-                                 F.col("provider").asc_nulls_last()], "rank", fixed=True, n_rows=n)
-    return Report(_lifecycle_cells(ranked, pricing), OK, n)
+                                 F.col("provider").asc_nulls_last()], "rank")
+    n = ranked.count()
+    return Report(_lifecycle_cells(ranked, pricing), OK if n else NO_INPUT, n)
 
 
 def _lifecycle_cells(df: DataFrame, pricing: dict) -> DataFrame:
@@ -127,29 +175,30 @@ def _lifecycle_cells(df: DataFrame, pricing: dict) -> DataFrame:
 # ---- REP2: idle survival ------------------------------------------------------
 
 def report_idle(idle: DataFrame, cost: dict = dims.IDLE_COST, cost_rank: dict = dims.IDLE_COST_RANK,
-                tie: list[str] = ["created_at"]) -> Report:
+                tie: list[str] | None = None) -> Report:
     """One line per idle record; withheld when any record failed.
 
     Order: survivors first, then cost rank (unknown 99), then provider, then
     ``tie`` (the report keeps SQL order for ties; the tie-break makes it
-    deterministic).
+    deterministic). The gate reads the checkpointed sorted copy.
     """
-    rows = idle.select(
+    tie = TIES["idle"] if tie is None else tie
+    keyed = idle.select(
         "provider", "session_survived", "success",
-        dround(F.col("step1_ms").cast("double"), 0).alias("step1_ms"),
-        dround(F.col("reconnect_ms").cast("double"), 0).alias("reconnect_ms"),
-        dround(F.col("step2_ms").cast("double"), 0).alias("step2_ms"),
-        to_seconds("total_ms", 1).alias("total_s"), "error_stage", *tie)
-    n, failed = _gate(rows, "success")
-    if not n:
-        return _withheld(_idle_cells(rows.withColumn("rank", F.lit(0).cast("long")), cost), NO_INPUT)
-    if failed:
-        return _withheld(_idle_cells(rows.withColumn("rank", F.lit(0).cast("long")), cost), HAS_ERRORS)
-    keyed = rows.withColumn("_surv", survivor_key("session_survived")) \
-                .withColumn("_cost", dims.lookup("provider", cost_rank, dims.DEFAULT_RANK))
+        *[dround(measure(idle, c), 0).alias(f"_{c}") for c in ("step1_ms", "reconnect_ms", "step2_ms")],
+        to_seconds(measure(idle, "total_ms"), 1).alias("_total_s"),
+        *[F.col(t).alias(f"_t{i}") for i, t in enumerate(tie)],
+        survivor_key("session_survived").alias("_surv"),
+        dims.lookup("provider", cost_rank, dims.DEFAULT_RANK).alias("_cost"))
     ranked = with_position(keyed, ["_surv", "_cost", F.col("provider").asc_nulls_last(),
-                                   *[F.col(t).asc_nulls_last() for t in tie]], "rank", n_rows=n)
-    return Report(_idle_cells(ranked, cost), OK, n)
+                                   *[F.col(f"_t{i}").asc_nulls_last() for i in range(len(tie))]], "rank")
+    rows = ranked.select("rank", "provider", "session_survived", "success", F.col("_step1_ms").alias("step1_ms"),
+                         F.col("_reconnect_ms").alias("reconnect_ms"), F.col("_step2_ms").alias("step2_ms"),
+                         F.col("_total_s").alias("total_s"))
+    gate = gate_idle(rows)
+    if gate.state != OK:
+        return _withheld(_idle_cells(rows, cost), gate.state)
+    return Report(_idle_cells(rows, cost), OK, gate.n_rows)
 
 
 def _idle_cells(df: DataFrame, cost: dict) -> DataFrame:
@@ -169,17 +218,13 @@ def report_stealth(stealth: DataFrame, plan: dict = dims.STEALTH_PLAN,
                    tie: list[str] | None = None) -> Report:
     """Latest success (else latest failure) per provider x mode, providers in
     tier order (0 clean + score >= 0.3, 1 clean, 2 fixed by stealth, 3 none)."""
+    tie = TIES["stealth"] if tie is None else tie
     rows = stealth.where(F.col("mode").isin(STEALTH_MODES))
-    chosen = snapshot(latest_with_fallback(rows, ["provider", "mode"], "success", "created_at", tie))
-    n, _ = _gate(chosen)
-    if not n:
-        return _withheld(_stealth_cells(_tiered(chosen).withColumn("position", F.lit(0).cast("long")),
-                                        plan), NO_INPUT)
-    tiered = _tiered(chosen)
+    tiered = _tiered(latest_with_fallback(rows, ["provider", "mode"], "success", "created_at", tie))
     ranked = with_position(tiered, ["tier", F.col("provider").asc_nulls_last(),
-                                    enum_rank("mode", STEALTH_MODES)], "position", fixed=True,
-                           n_rows=n)
-    return Report(_stealth_cells(ranked, plan), OK, n)
+                                    enum_rank("mode", STEALTH_MODES)], "position")
+    n = ranked.count()
+    return Report(_stealth_cells(ranked, plan), OK if n else NO_INPUT, n)
 
 
 def _tiered(chosen: DataFrame) -> DataFrame:
@@ -226,20 +271,15 @@ def report_captcha(captcha: DataFrame, cost: dict = dims.CAPTCHA_COST,
     Supported first; unsupported by plan order; supported by solve time with a
     missing time read as 0; ties keep (supported, solve time NULLS LAST, provider).
     """
-    # one row per provider, computed once: the gates and the ranking read this copy
-    latest = snapshot(latest_per_key(captcha, ["provider"], "created_at", tie)
-                      .withColumn("solve_s", to_seconds("solve_ms", 1)))
-    n, failed = _gate(latest, "success")
-    if not n:
-        return _withheld(_captcha_cells(latest.withColumn("position", F.lit(0).cast("long")), cost),
-                         NO_INPUT)
-    if failed:
-        return _withheld(_captcha_cells(latest.withColumn("position", F.lit(0).cast("long")), cost),
-                         HAS_ERRORS)
+    tie = TIES["captcha"] if tie is None else tie
+    latest = latest_per_key(captcha, ["provider"], "created_at", tie) \
+        .withColumn("solve_s", to_seconds(measure(captcha, "solve_ms"), 1))
     plan_rank = dims.lookup("provider", plan_order, dims.DEFAULT_RANK)
-    ranked = with_position(latest, captcha_order("supported", "solve_s", plan_rank, "provider"),
-                           "position", fixed=True, n_rows=n)
-    return Report(_captcha_cells(ranked, cost), OK, n)
+    ranked = with_position(latest, captcha_order("supported", "solve_s", plan_rank, "provider"), "position")
+    gate = _gate(ranked, F.count(F.lit(1)), _not_true("success"))
+    if gate.state != OK:
+        return _withheld(_captcha_cells(ranked, cost), gate.state)
+    return Report(_captcha_cells(ranked, cost), OK, gate.n_rows)
 
 
 def _captcha_cells(df: DataFrame, cost: dict) -> DataFrame:
@@ -259,19 +299,16 @@ def report_parallel(batches: DataFrame, limits: dict = dims.CONCURRENCY_LIMIT_TE
     """Rank (provider, mode, concurrency) groups: parallel first, then overhead ratio."""
     agg = batches.groupBy("provider", "sequential_mode", "concurrency").agg(
         F.count(F.lit(1)).alias("runs"),
-        dround(F.avg("sessions_succeeded"), 1).alias("avg_succeeded"),
-        dround(F.avg(F.col("total_parallel_ms").cast("double")), 0).alias("avg_parallel_ms"),
-        dround(F.avg("overhead_ratio"), 4).alias("avg_overhead_ratio"),
+        dround(F.avg(measure(batches, "sessions_succeeded")), 1).alias("avg_succeeded"),
+        dround(F.avg(measure(batches, "total_parallel_ms")), 0).alias("avg_parallel_ms"),
+        dround(F.avg(measure(batches, "overhead_ratio")), 4).alias("avg_overhead_ratio"),
         F.sum(F.when(F.col("success"), 0).otherwise(1)).cast("long").alias("failed_batches"))
-    agg = snapshot(agg)
-    n, _ = _gate(agg)
-    if not n:
-        return _withheld(_parallel_cells(agg.withColumn("rank", F.lit(0).cast("long")), limits), NO_INPUT)
     ranked = with_position(agg, [F.col("sequential_mode").asc_nulls_last(),
                                  F.col("avg_overhead_ratio").asc_nulls_last(),
                                  F.col("provider").asc_nulls_last(),
-                                 F.col("concurrency").asc_nulls_last()], "rank", fixed=True, n_rows=n)
-    return Report(_parallel_cells(ranked, limits), OK, n)
+                                 F.col("concurrency").asc_nulls_last()], "rank")
+    n = ranked.count()
+    return Report(_parallel_cells(ranked, limits), OK if n else NO_INPUT, n)
 
 
 def _parallel_cells(df: DataFrame, limits: dict) -> DataFrame:
@@ -291,11 +328,13 @@ def _parallel_cells(df: DataFrame, limits: dict) -> DataFrame:
 
 STATUS_SCHEMA = T.StructType([
     T.StructField("section", T.StringType()), T.StructField("n_rows", T.LongType()),
-    T.StructField("state", T.StringType())])
+    T.StructField("state", T.StringType()), T.StructField("bad_lines", T.LongType())])
 
 
-def report_status(spark: SparkSession, reports: dict[str, Report]) -> DataFrame:
-    """section, n_rows, state (ok / no_input / has_errors) per report. The row
-    counts come from the reports' own gates (no further pass)."""
-    rows = [(name, r.n_rows if r.state == OK else 0, r.state) for name, r in reports.items()]
+def report_status(spark: SparkSession, gates: dict[str, Gate | Report],
+                  bad_lines: dict[str, int] | None = None) -> DataFrame:
+    """section, n_rows, state (ok / no_input / has_errors) and unreadable input
+    lines per report. Gates (or built reports) supply the counts: no further pass."""
+    bad = bad_lines or {}
+    rows = [(name, g.n_rows if g.state == OK else 0, g.state, bad.get(name, 0)) for name, g in gates.items()]
     return spark.createDataFrame(rows, STATUS_SCHEMA)

@@ -1,12 +1,14 @@
 """Session construction and the shared scratch folder.
 
 On a cluster the shared folder is whatever ``spark.checkpoint.dir`` names; it
-is read from the session and never replaced. Only when it is unset (local
-runs, tests) do we create one.
+is read from the session and never replaced. Only for a local master, and only
+when it is unset (tests, a laptop), do we create one.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -38,22 +40,24 @@ def get_session(master: str | None = None, app: str = "runlens",
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # a checkpoint goes once nothing refers to it any more
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in (extra_conf or {}).items():
         b = b.config(k, str(v))
     if local:
         b = b.config("spark.driver.memory", os.environ.get("RUNLENS_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    shared_dir(spark)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Checkpoint folder shared by all executors.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir); only when
-    neither is set, as in tests, a local folder is created and registered.
+    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir). Unset, it
+    is an error unless the master is local, where every task sees the driver's
+    disk and a temporary folder is created and registered.
     A Spark Connect session has no local context: the server checkpoints into
     its own configured folder, whose name is returned.
     """
@@ -70,28 +74,36 @@ def shared_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
-    else:
+    elif is_local(sc.master):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="runlens-ckpt-"))
+    else:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return sc.getCheckpointDir()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared folder for an intermediate table."""
-    return f"{shared_dir(spark).rstrip('/')}/runlens-{name}-{uuid.uuid4().hex}"
+def is_local(master: str) -> bool:
+    """One JVM: ``local``, ``local[n]``; not ``local-cluster[...]``, whose executors are processes."""
+    return master == "local" or master.startswith("local[")
 
 
-def size_shuffle_partitions(spark: SparkSession, input_bytes: int,
-                            target_bytes: int = 128 << 20, floor: int = 200,
-                            ceiling: int = 100_000) -> int:
-    """Set ``spark.sql.shuffle.partitions`` so that a shuffle of the whole input
-    lands near ``target_bytes`` per partition (AQE then coalesces the small
-    ones and splits skewed ones). Returns the value set.
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh, unique path under the shared folder for an intermediate table,
+    removed when the session's process ends unless ``keep``."""
+    path = f"{shared_dir(spark).rstrip('/')}/runlens-{name}-{uuid.uuid4().hex}"
+    if not keep:
+        atexit.register(remove_path, spark, path)
+    return path
 
-    Example: 100 TB of input at 128 MiB per partition asks for ~800k, clamped
-    to ``ceiling``; with partial aggregation most shuffles are far smaller, and
-    AQE coalescing brings them down at run time.
-    """
-    n = max(floor, min(ceiling, -(-input_bytes // target_bytes)))
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
-    return n
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file systems (none there: nothing to do)."""
+    with contextlib.suppress(Exception):  # at exit the JVM may be gone
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or anything a glob names, exists in its file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return found is not None and len(found) > 0

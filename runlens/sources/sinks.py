@@ -1,36 +1,69 @@
-"""Writers: append runs, replace one provider's slice, write report tables."""
+"""Writers: the run store (append, replace slices, convert logs) and report tables.
+
+The store is one Parquet folder partitioned by kind and provider. Everything
+that writes runs writes it, and ``read_converted`` and ``runlogs.scan_runs``
+read it back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.session import remove_path
+from runlens.sources.schemas import KIND_SCHEMAS, merged_schema
+
+STORE_KEYS = ["kind", "provider"]
+# how Spark names the folder of a NULL partition value
+_NULL = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _store(df: DataFrame, kind: str | None) -> DataFrame:
+    return df if kind is None else df.withColumn("kind", F.lit(kind))
 
-def append_runs(df: DataFrame, path: str) -> None:
-    """Append records as NDJSON (NULL fields kept as JSON null)."""
-    df.write.mode("append").option("ignoreNullFields", "false").json(path)
 
+def append_runs(df: DataFrame, path: str, kind: str | None = None) -> None:
+    """Append records to the store (``kind`` for frames without that column)."""
+    _store(df, kind).write.mode("append").partitionBy(*STORE_KEYS).parquet(path)
 
-def replace_slice(df: DataFrame, path: str, by: list[str] = ["kind", "provider"],
-                  fmt: str = "json") -> None:
-    """Overwrite only the (kind, provider) partitions present in ``df``; other
-    providers' data stays (dynamic partition overwrite)."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .option("ignoreNullFields", "false").partitionBy(*by).format(fmt).save(path))
 
+def replace_slice(df: DataFrame, path: str, slices: list[tuple[str, str]] | None = None,
+                  kind: str | None = None) -> None:
+    """Replace the named (kind, provider) slices by what ``df`` has of them.
 
-def convert_runs(df: DataFrame, path: str, by: list[str] = ["kind"]) -> None:
-    """Store scanned run logs as Parquet partitioned by kind (partition pruning
-    replaces file-name globs)."""
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    A slice named in ``slices`` that ``df`` has no row of ends up empty. Without
+    ``slices``, those present in ``df`` are replaced. Other slices stay.
+    """
+    rows = _store(df, kind)
+    spark = df.sparkSession
+    for k, p in slices or []:
+        remove_path(spark, f"{path.rstrip('/')}/kind={k}/provider={_NULL if p is None else p}")
+    if slices is not None:
+        named = [(F.col("kind") == k) & F.col("provider").eqNullSafe(F.lit(p)) for k, p in slices]
+        wanted = F.lit(False)
+        for c in named:
+            wanted = wanted | c
+        rows = rows.where(wanted)
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*STORE_KEYS).parquet(path))
+
+
+def convert_runs(df: DataFrame, path: str) -> None:
+    """Store scanned run logs (with their ``kind``), replacing the whole store:
+    partition pruning takes the place of file-name globs."""
+    df.write.mode("overwrite").partitionBy(*STORE_KEYS).parquet(path)
 
 
 def read_converted(spark, path: str, kind: str | None = None,
-                   providers: list[str] | None = None):
-    """Read run logs stored by ``convert_runs`` / streaming ingestion. Kind and
-    provider predicates are partition filters: only matching folders are listed
-    and read."""
-    df = spark.read.parquet(path)
+                   providers: list[str] | None = None) -> DataFrame:
+    """Read the store. Kind and provider predicates are partition filters: only
+    matching folders are read. Fields that no file has are NULL."""
+    schema = merged_schema() if kind is None else KIND_SCHEMAS[kind]
+    fields = [f for f in schema.fields if f.name != "provider"]
+    given = spark.read.option("mergeSchema", "true").parquet(path)
+    df = given.select(*[(F.col(f.name).cast(f.dataType) if f.name in given.columns
+                         else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields],
+                      F.col("provider").cast("string"), "kind")
     if kind is not None:
         df = df.where(F.col("kind") == kind)
     if providers is not None:
@@ -38,17 +71,10 @@ def read_converted(spark, path: str, kind: str | None = None,
     return df
 
 
-# Largest table written as a single file (one task); larger tables keep their partitions.
-SINGLE_FILE_ROWS = 100_000
-
-
-def write_report(df: DataFrame, path: str, fmt: str = "parquet",
-                 single_file_rows: int = SINGLE_FILE_ROWS) -> None:
-    """Write one table. A table of at most ``single_file_rows`` rows (checked,
-    reading at most that many + 1) goes to one file; a larger one, such as a
-    record-level table, is written by all its partitions in parallel."""
-    small = df.limit(single_file_rows + 1).count() <= single_file_rows
-    out = df.coalesce(1) if small else df
+def write_report(df: DataFrame, path: str, fmt: str = "parquet", files: int | None = None) -> None:
+    """Write one table as it is partitioned (AQE merges small partitions);
+    ``files`` asks for at most that many files."""
+    out = df.coalesce(files) if files else df
     out.write.mode("overwrite").format(fmt).option("header", "true").save(path)
 
 

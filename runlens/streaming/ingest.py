@@ -42,7 +42,7 @@ def ingest_runs(runs: DataFrame, out: str, checkpoint: str | None = None,
     directory; pass the same path again to resume. ``available_now`` processes
     what is there and stops; otherwise the query keeps polling.
     """
-    ckpt = checkpoint or scratch_path(runs.sparkSession, "ingest-ckpt")
+    ckpt = checkpoint or scratch_path(runs.sparkSession, "ingest-ckpt", keep=True)
     w = (runs.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", ckpt).partitionBy(*by))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -47,13 +47,19 @@ def ten_runs(provider, avg, med, stages):
             for n, r in enumerate(rows)]
 
 
+def records(spark, rows, schema):
+    """Rows with whole milliseconds as the schema's doubles."""
+    double = {f.name for f in schema.fields if f.dataType.simpleString() == "double"}
+    return spark.createDataFrame([{k: float(v) if k in double and v is not None else v for k, v in r.items()} for r in rows], schema)
+
+
 def sorted_rows(df, pos):
     return [tuple(r) for r in df.orderBy(pos).drop(pos).collect()]
 
 
 def test_lifecycle_golden(spark):
     rows = [r for t in LIFECYCLE_TABLE for r in ten_runs(t[0], t[1], t[2], list(t[3:]))]
-    rep = reports.report_lifecycle(spark.createDataFrame(rows, LIFECYCLE))
+    rep = reports.report_lifecycle(records(spark, rows, LIFECYCLE))
     assert rep.state == reports.OK
     got = [tuple(r) for r in rep.df.orderBy("rank").collect()]
     want = [(i + 1, p, *[f"{v}ms" for v in vals], dims.LIFECYCLE_PRICING[p])
@@ -79,7 +85,7 @@ def idle_input(spark, fail_one=False):
                      "session_survived": surv == "✅", "reconnect_ms": rc, "step2_ms": s2,
                      "step2_title": "Example Domain", "session_release_ms": 100, "total_ms": total,
                      "success": not (fail_one and i == 0), "error_stage": None, "error_message": None})
-    return spark.createDataFrame(rows, IDLE)
+    return records(spark, rows, IDLE)
 
 
 def test_idle_golden_and_gate(spark):
@@ -131,7 +137,7 @@ def test_stealth_golden(spark):
         rows.append(stealth_row(p, mode, flags=flags, score=None if score == "—" else float(score)))
         # a newer failure of the same key must not replace the success (JON3)
         rows.append(stealth_row(p, mode, ok=False, ts="2026-03-07T00:00:00.000Z", err="Error: later"))
-    rep = reports.report_stealth(spark.createDataFrame(rows, STEALTH))
+    rep = reports.report_stealth(records(spark, rows, STEALTH))
     got = [tuple(r) for r in rep.df.orderBy("position").drop("position", "tier").collect()]
     want = [(p, m, ps, wd, hl, ah, sc,
              STEALTH_ERROR if ps == "❌ plan gate" else dims.STEALTH_PLAN[p])
@@ -147,14 +153,14 @@ def test_stealth_tiers(spark):
             stealth_row("T2", "default", flags=(True, False, False)), stealth_row("T2", "stealth"),
             stealth_row("T3a", "default", flags=(False, None, False)),
             stealth_row("T3b", "stealth"), stealth_row("T3b", "default", ok=False, err="Error: x")]
-    df = reports.report_stealth(spark.createDataFrame(rows, STEALTH)).df
+    df = reports.report_stealth(records(spark, rows, STEALTH)).df
     tiers = {(r["provider"], r["mode"]): r["tier"] for r in df.collect()}
     assert tiers == {("T0", "default"): 0, ("T1", "default"): 1, ("T2", "default"): 2,
                      ("T2", "stealth"): 2, ("T3a", "default"): 3, ("T3b", "default"): 3,
                      ("T3b", "stealth"): 3}
     order = [r["provider"] for r in df.orderBy("position").collect()]
     assert order == ["T0", "T1", "T2", "T2", "T3a", "T3b", "T3b"]
-    none = reports.report_stealth(spark.createDataFrame([stealth_row("X", "headful")], STEALTH))
+    none = reports.report_stealth(records(spark, [stealth_row("X", "headful")], STEALTH))
     assert none.state == reports.NO_INPUT and none.df.count() == 0   # H15
 
 
@@ -179,17 +185,17 @@ def test_captcha_golden_gate_and_timeout(spark):
     solve = {"BROWSERLESS": 17300.0, "KERNEL": 38500.0}
     rows = [captcha_row(p, ft == "✅", solve.get(p)) for p, ft, *_ in reversed(CAPTCHA_TABLE)]
     rows.append(captcha_row("KERNEL", True, None, ok=False, ts="2026-03-01T00:00:00.000Z"))  # older
-    rep = reports.report_captcha(spark.createDataFrame(rows, CAPTCHA))
+    rep = reports.report_captcha(records(spark, rows, CAPTCHA))
     got = [tuple(r) for r in rep.df.orderBy("position").drop("position").collect()]
     assert got == [(*t, dims.CAPTCHA_COST[t[0]]) for t in CAPTCHA_TABLE]
     # H8: supported without a solve time -> 'timeout', first in report order
     rows.append(captcha_row("NEWCO", True, None))
-    rep = reports.report_captcha(spark.createDataFrame(rows, CAPTCHA))
+    rep = reports.report_captcha(records(spark, rows, CAPTCHA))
     first = rep.df.orderBy("position").first()
     assert (first["provider"], first["solve_time"]) == ("NEWCO", "timeout")
     # gate: a failed latest record withholds the table
     rows.append(captcha_row("STEEL", False, ok=False, ts="2026-03-09T00:00:00.000Z"))
-    gated = reports.report_captcha(spark.createDataFrame(rows, CAPTCHA))
+    gated = reports.report_captcha(records(spark, rows, CAPTCHA))
     assert gated.state == reports.HAS_ERRORS and gated.df.count() == 0
 
 
@@ -208,7 +214,7 @@ def test_parallel_golden(spark):
                          "sequential_mode": mode != "✅", "sessions": [], "sessions_succeeded": 3,
                          "sessions_failed": 0, "total_parallel_ms": 1000, "sequential_equivalent_ms": 3000,
                          "overhead_ratio": float(ratio), "success": True, "error_message": None})
-    rep = reports.report_parallel(spark.createDataFrame(rows, PARALLEL))
+    rep = reports.report_parallel(records(spark, rows, PARALLEL))
     got = [tuple(r) for r in rep.df.orderBy("rank").collect()]
     want = [(i + 1, p, m, r, "3 / 3", "0", dims.CONCURRENCY_LIMIT_TEXT[p])
             for i, (p, m, r) in enumerate(PARALLEL_TABLE)]
@@ -226,7 +232,7 @@ def test_status(spark):
 def test_sql_queries_on_run_logs(spark):
     # REP0a-d on run-log columns: totals order, summary metric order, idle rows, batch summary
     rows = [r for t in LIFECYCLE_TABLE for r in ten_runs(t[0], t[1], t[2], list(t[3:]))]
-    runs = spark.createDataFrame(rows, LIFECYCLE)
+    runs = records(spark, rows, LIFECYCLE)
     tot = reports.totals(runs).collect()
     assert [r["provider"] for r in tot] == [t[0] for t in LIFECYCLE_TABLE]
     assert [r["median_total_ms"] for r in tot] == [float(t[2]) for t in LIFECYCLE_TABLE]
@@ -240,7 +246,7 @@ def test_lifecycle_without_complete_successes(spark):
     rows = [r for r in ten_runs("STEEL", 1441, 1412, [290, 760, 209, 181])]
     for r in rows:
         r["success"] = False
-    rep = reports.report_lifecycle(spark.createDataFrame(rows, LIFECYCLE))
+    rep = reports.report_lifecycle(records(spark, rows, LIFECYCLE))
     assert rep.state == reports.NO_INPUT and rep.df.count() == 0
     assert rep.df.columns == ["rank", "provider", "avg_total", "median_total", "avg_create", "avg_connect",
                               "avg_goto", "avg_release", "pricing"]

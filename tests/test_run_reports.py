@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from runlens.plans.run_reports import build
 
 
@@ -32,6 +34,7 @@ def test_all_reports_from_one_folder(spark, tmp_path):
                                  "success": True}])
     out = build(spark, str(d))
     status = {r["section"]: (r["n_rows"], r["state"]) for r in out["status"].collect()}
+    assert all(r["bad_lines"] == 0 for r in out["status"].collect())
     assert status == {"lifecycle": (1, "ok"), "idle": (1, "ok"), "stealth": (2, "ok"),
                       "captcha": (0, "has_errors"), "parallel": (1, "ok")}
     # compat totals read every file of the glob: every successful row of any kind is a run
@@ -42,6 +45,28 @@ def test_all_reports_from_one_folder(spark, tmp_path):
     assert out["idle_rows"].first()["total_s"] == 62.8
 
 
+def test_bad_lines_change_no_table(spark, tmp_path):
+    d = tmp_path / "results"
+    d.mkdir()
+    good = json.dumps({"created_at": "t", "provider": "KERNEL", "run": 1, "concurrency": 3, "sequential_mode": False,
+                       "sessions": [], "sessions_succeeded": 3, "sessions_failed": 0, "total_parallel_ms": 1000.5,
+                       "sequential_equivalent_ms": 2655, "overhead_ratio": 0.3766, "success": True})
+    (d / "parallel-kernel.jsonl").write_text(good + "\n")
+    before = build(spark, str(d))
+    tables = {k: sorted(map(str, v.collect())) for k, v in before.items() if k != "status"}
+    (d / "parallel-steel.jsonl").write_text(good[:-20] + "\n")
+    after = build(spark, str(d))
+    assert {k: sorted(map(str, v.collect())) for k, v in after.items() if k != "status"} == tables
+    assert {r["section"]: r["bad_lines"] for r in after["status"].collect()}["parallel"] == 1
+    with pytest.raises(Exception):
+        build(spark, str(d), bad_lines="failfast")
+
+
+def test_missing_folder_fails(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        build(spark, str(tmp_path / "reslts"))
+
+
 def test_cli_writes_every_table(spark, tmp_path):
     import os
     from runlens.plans.run_reports import main

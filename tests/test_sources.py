@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from runlens.operators.dims import canonical_provider
 from runlens.operators.stats import run_tally, stage_totals
-from runlens.sources.runlogs import parse_created_at, scan_json, scan_runs, split_quarantine
+from runlens.sources.runlogs import parse_created_at, scan_runs, split_quarantine
 from runlens.sources.schemas import LIFECYCLE, PARALLEL
-from runlens.sources.sinks import (append_runs, convert_runs, replace_slice, to_json_text,
+from runlens.sources.sinks import (append_runs, convert_runs, read_converted, replace_slice, to_json_text,
                                    write_report)
 
 
@@ -85,23 +85,27 @@ def test_created_at_parse(spark, write_jsonl):
     assert r[0] == "12:34:56.789"
 
 
-def test_append_and_replace_slice(spark, tmp_path):
+def test_store_round_trips(spark, tmp_path):
+    """append, replace and convert write one store that both readers read."""
     out = str(tmp_path / "runs")
-    df1 = spark.createDataFrame([life("KERNEL", 1), life("STEEL", 2)], LIFECYCLE)
-    append_runs(df1, out)
-    append_runs(df1, out)
-    assert scan_json(spark, out, LIFECYCLE).count() == 4
-    # nulls are kept as JSON null (like JSON.stringify)
-    txt = "".join(open(os.path.join(out, f)).read() for f in os.listdir(out) if f.endswith(".json"))
-    assert '"id":null' in txt
-
-    sl = str(tmp_path / "slices")
-    both = df1.withColumn("kind", F.lit("lifecycle"))
-    replace_slice(both, sl)
-    new_kernel = spark.createDataFrame([life("KERNEL", 9)], LIFECYCLE).withColumn("kind", F.lit("lifecycle"))
-    replace_slice(new_kernel, sl)
-    back = spark.read.json(sl).select("provider", "session_creation_ms").orderBy("provider").collect()
-    assert [tuple(r) for r in back] == [("KERNEL", 9), ("STEEL", 2)]
+    df1 = spark.createDataFrame([life("KERNEL", 1.5), life("STEEL", 2.0)], LIFECYCLE)
+    append_runs(df1, out, "lifecycle")
+    append_runs(df1, out, "lifecycle")
+    back = scan_runs(spark, out)
+    assert back.schema == LIFECYCLE
+    assert sorted((r["provider"], r["session_creation_ms"], r["id"]) for r in back.collect()) == \
+        [("KERNEL", 1.5, None)] * 2 + [("STEEL", 2.0, None)] * 2
+    assert scan_runs(spark, out, "idle").count() == 0
+
+    kernel = spark.createDataFrame([life("KERNEL", 9.0)], LIFECYCLE)
+    replace_slice(kernel, out, [("lifecycle", "KERNEL")], "lifecycle")
+    assert sorted((r["provider"], r["session_creation_ms"]) for r in scan_runs(spark, out).collect()) == \
+        [("KERNEL", 9.0), ("STEEL", 2.0), ("STEEL", 2.0)]
+    # a slice replaced by nothing is empty, and rows of other slices aren't written
+    replace_slice(df1.where("provider = 'KERNEL'"), out, [("lifecycle", "STEEL")], "lifecycle")
+    assert [r["provider"] for r in read_converted(spark, out, "lifecycle").collect()] == ["KERNEL"]
+    replace_slice(df1, out, None, "lifecycle")
+    assert sorted(r["session_creation_ms"] for r in scan_runs(spark, out).collect()) == [1.5, 2.0]
 
 
 def test_convert_and_report_sink(spark, tmp_path, write_jsonl):
@@ -121,14 +125,14 @@ def test_json_text_keeps_nulls(spark):
     assert to_json_text(df).first()["json"] == '{"a":1,"b":null}'
 
 
-def test_report_sink_single_file_only_when_small(spark, tmp_path):
+def test_report_sink_files(spark, tmp_path):
     df = spark.range(0, 1000, numPartitions=4)
-    small, big = str(tmp_path / "small"), str(tmp_path / "big")
-    write_report(df, small, "parquet")
-    write_report(df, big, "parquet", single_file_rows=10)
+    asis, one = str(tmp_path / "asis"), str(tmp_path / "one")
+    write_report(df, asis)
+    write_report(df, one, files=1)
     parts = lambda p: [f for f in os.listdir(p) if f.endswith(".parquet")]
-    assert len(parts(small)) == 1 and len(parts(big)) == 4
-    assert spark.read.parquet(big).count() == 1000
+    assert len(parts(asis)) == 4 and len(parts(one)) == 1
+    assert spark.read.parquet(asis).count() == spark.read.parquet(one).count() == 1000
 
 
 def test_file_layout_does_not_change_results(spark, write_jsonl):
