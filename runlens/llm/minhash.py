@@ -7,12 +7,15 @@ are candidates; the similarity estimated from equal signature fields, corrected
 for chance collisions, drops the hopeless ones (five standard errors below the
 threshold), and the links that remain are confirmed on full sets.
 
-Large buckets don't emit their pairs. Each is first tested as a star around a
-leader; links merge nodes into components, and only buckets that still hold
-several components go on, with another leader. What then remains is tested in
-full: each node outside the bucket's main component against every node of other
-components. So a group of n copies costs n pairs, and a pair is left out only if
-its nodes are already in one component, which its link could not change.
+Large buckets don't emit their pairs. Each is first tested as a star around its
+most central member (the one whose buckets hold most); links merge nodes into
+components, and only buckets that still hold several components go on. There,
+shingles that no other open node has cannot be shared, which bounds a node's
+overlap with any other: nodes that this leaves no possible partner are done, and
+the rest outside the bucket's main component are tested against the nodes of
+other components whose size, bound and estimate allow a link. A pair is left out
+only if its nodes are in one component already, which its link could not change,
+or if it cannot be a link.
 
 A pair at the threshold shares no band with probability (1 - 0.8**ROWS)**BANDS,
 3e-6. Exact copies of any number are joined by the hash of their set.
@@ -38,8 +41,6 @@ from runlens.llm.graph import components
 
 #: Bands of full minima, and bits kept of each minimum.
 BANDS, ROWS, BITS = 32, 5, 2
-#: Leaders tried per bucket before the exhaustive test.
-STARS = 2
 #: Words whose hash a worker keeps.
 CACHE = 400_000
 
@@ -171,40 +172,47 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _overlap_bounds(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, most): how many shingles a node of ``ids`` can share with another one of them."""
+    open_ = cut(sets.join(ids, "id", "left_semi"))
+    held = open_.select("id", F.explode("shingles").alias("_s")).groupBy("_s").agg(F.min("id").alias("id"), F.max("id").alias("_last"))
+    alone = held.where("id = _last").groupBy("id").agg(F.count("*").alias("_alone"))
+    return open_.select("id", F.size("shingles").alias("_size")).join(alone, "id", "left").select(
+        "id", (F.col("_size") - F.coalesce("_alone", F.lit(0))).alias("most"))
+
+
 def linked(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     """(id, component) of the nodes (id, n, bands, sig) that are not their component's least id."""
     rows = nodes.select("id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+    shared = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
     members = cut(rows.join(shared, "key"))
-    candidates = members.select("id").distinct()
-    facts = cut(nodes.join(candidates, "id", "left_semi").select("id", "n", "sig"))
-    sets = cut(sets_of(candidates))
-    labels, links = None, None
+    central = cut(members.groupBy("id").agg(F.sum("_n").alias("central")))
+    facts = cut(nodes.join(central, "id").select("id", "n", "sig"))
+    sets = cut(sets_of(central.select("id")))
 
-    def test(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def links(pairs: DataFrame) -> DataFrame:
         hopeful = _sides(pairs.distinct(), facts, {"n": "n", "sig": "sig"}).where(likely(percent)).select("a", "b")
-        new = cut(confirmed(hopeful, sets, percent))
-        every = new if links is None else links.unionByName(new)
-        return every, components(every)
-
-    for i in range(STARS):
-        now = _labelled(members, labels)
-        led = now.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(i)) if i else F.col("id")).alias("a"),
-                                     F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
-        leaders = led.select("key", "a").join(labels.select(F.col("id").alias("a"), F.col("component").alias("_of")), "a", "left") if labels is not None else led.select("key", "a", F.lit(None).cast("long").alias("_of"))
-        pairs = now.join(leaders, "key").where((F.coalesce("_of", "a") != F.col("component"))).select(
-            F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        links, labels = test(pairs)
-    now = _labelled(members, labels)
+        return cut(confirmed(hopeful, sets, percent))
+
+    ranked = members.select("key", "id").join(central, "id")
+    leaders = cut(ranked.groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("_leader")))
+    star = members.join(leaders, "key").where("id <> _leader").select(F.least("id", "_leader").alias("a"), F.greatest("id", "_leader").alias("b"))
+    found = links(star)
+    now = _labelled(members.select("key", "id"), components(found))
     sizes = now.groupBy("key", "component").agg(F.count("*").alias("_n"))
     open_ = (sizes.groupBy("key").agg(F.max_by("component", F.struct("_n", "component")).alias("main"), F.count("*").alias("_k"))
              .where("_k > 1").select("key", "main"))
-    left = cut(now.join(open_, "key").join(facts, "id"))
-    one = left.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("_ca"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"))
-    other = left.select("key", "main", F.col("id").alias("b"), F.col("component").alias("_cb"), F.col("n").alias("b_n"), F.col("sig").alias("b_sig"))
-    pairs = one.join(other, "key").where((F.col("_ca") != F.col("_cb")) & ((F.col("_cb") == F.col("main")) | (F.col("a") < F.col("b"))) & likely(percent))
-    _, labels = test(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return labels
+    left = cut(now.join(open_, "key"))
+    bounds = _overlap_bounds(sets, left.select("id").distinct())
+    # an overlap o of sets of n and m is enough if o * (100 + percent) >= percent * (n + m), and m >= percent% of n
+    able = facts.join(bounds, "id").where(F.col("most") * 100 >= F.col("n") * percent)
+    left = cut(left.join(able, "id"))
+    one = left.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("_ca"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"), F.col("most").alias("_ma"))
+    other = left.select("key", "main", F.col("id").alias("b"), F.col("component").alias("_cb"), F.col("n").alias("b_n"), F.col("sig").alias("b_sig"), F.col("most").alias("_mb"))
+    enough = F.least("_ma", "_mb") * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
+    pairs = one.join(other, "key").where((F.col("_ca") != F.col("_cb")) & ((F.col("_cb") == F.col("main")) | (F.col("a") < F.col("b"))) & enough & likely(percent))
+    last = links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return components(found.unionByName(last))
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
