@@ -301,7 +301,8 @@ def report_parallel(batches: DataFrame, limits: dict = dims.CONCURRENCY_LIMIT_TE
         F.count(F.lit(1)).alias("runs"),
         dround(F.avg(measure(batches, "sessions_succeeded")), 1).alias("avg_succeeded"),
         dround(F.avg(measure(batches, "total_parallel_ms")), 0).alias("avg_parallel_ms"),
-        dround(F.avg(measure(batches, "overhead_ratio")), 4).alias("avg_overhead_ratio"),
+        # whole ten-thousandths: the mean is the same in any order of summing
+        dround(F.avg(F.round(measure(batches, "overhead_ratio") * 10000, 0)) / 10000, 4).alias("avg_overhead_ratio"),
         F.sum(F.when(F.col("success"), 0).otherwise(1)).cast("long").alias("failed_batches"))
     ranked = with_position(agg, [F.col("sequential_mode").asc_nulls_last(),
                                  F.col("avg_overhead_ratio").asc_nulls_last(),
