@@ -30,6 +30,8 @@ from runlens.llm.common import cut, shuffle_parts, text_of
 PIECE_CHARS, SMALL = 128, 4
 #: Cells of a sub-table per digest of both texts; steps before a larger size is tried.
 ROOM, STEPS = 0.75, 9
+#: Digests of all pairs that one task peels; results (28 bytes each) that may be broadcast.
+DIGESTS, BROADCAST_ROWS = 100_000, 1_000_000
 
 _PIECE = rf"[^\n.!?]{{1,{PIECE_CHARS}}}+[.!?]*+"
 _ROW = ["part", "nth"]
@@ -105,7 +107,9 @@ def _cells(base: DataFrame, level: int) -> DataFrame:
 
     sides = F.array(side(0, 1, "keys", "keys", "edited_keys"), side(0, -1, "edited_keys", "keys", "edited_keys"),
                     side(1, 1, "keys", "keys", "next_keys"), side(1, -1, "next_keys", "keys", "next_keys"))
-    rows = (base.select(*_ROW, "keys", "edited_keys", "next_keys").repartition(*_ROW)
+    total = base.agg(F.sum(2 * F.size("keys") + F.size("edited_keys") + F.size("next_keys"))).first()[0] or 0
+    parts = max(shuffle_parts(base.sparkSession), -(-int(total) // DIGESTS))
+    rows = (base.select(*_ROW, "keys", "edited_keys", "next_keys").repartition(parts, *_ROW)
             .select(*_ROW, F.explode(sides).alias("s")).select(*_ROW, "s.pair", "s.n", "s.width", F.explode("s.keys").alias("key"))
             .withColumn("check", _check(F.col("key"))).withColumn("sub", F.explode(F.array(*map(F.lit, range(3)))))
             .withColumn("cell", _cell(F.col("key"), F.col("sub"), F.col("width"), level)))
@@ -164,7 +168,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         both, apart = F.size("keys") + F.size(keys), F.coalesce(F.col(d), F.lit(0))
         return F.when(both == 0, F.lit(1.0)).otherwise(((both - apart) / (both + apart)).cast("double"))
 
-    return (base.join(differences(base), _ROW, "left")
+    found = differences(base)
+    if found.count() <= BROADCAST_ROWS:  # checked: at most 28 MB; beyond it a shuffled join
+        found = F.broadcast(found)
+    return (base.join(found, _ROW, "left")
             .select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("keys")).alias("fingerprint"),
                     fingerprint(F.col("edited_keys")).alias("edited_fingerprint"),
                     near("edited_keys", "d0").alias("near_edited"), near("next_keys", "d1").alias("near_next")))
