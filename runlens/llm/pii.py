@@ -29,6 +29,8 @@ from runlens.llm.common import cut, text_of
 #: Characters of context on either side; share of an entity's information a term
 #: may disclose; different contexts needed.
 CONTEXT, DISCLOSED, SUPPORT = 80, 0.95, 3
+#: Term hashes (8 bytes each) that may be broadcast to thin out the corpus's words.
+BROADCAST_TERMS = 1_000_000
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _LOCAL = "A-Za-z0-9._%+-"
@@ -128,7 +130,11 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     total = found.agg(F.count_distinct("key")).first()[0]
     entities = found.select("key", F.explode("contexts").alias("c")).select("key", "c.kind", "c.entity").distinct().groupBy("kind", "entity").agg(F.count("*").alias("df_e"))
     words = docs.select(_key().alias("key"), F.explode(_terms(text_of())).alias("term"))
-    holding = cut(words.join(beside.select("term").distinct(), "term").distinct())
+    wanted = beside.select("term").distinct()
+    if wanted.count() <= BROADCAST_TERMS:  # checked: at most 8 MB of hashes; the exact join follows either way
+        some = wanted.select(F.xxhash64("term").alias("_h"))
+        words = words.join(F.broadcast(some), F.xxhash64("term") == F.col("_h"), "left_semi")
+    holding = cut(words.join(wanted, "term").distinct())
     df_t = holding.groupBy("term").agg(F.count("*").alias("df_t"))
     information = -F.log2(F.col("df_e") / total)
     mutual = F.log2(F.col("co") * F.lit(float(total)) / (F.col("df_e") * F.col("df_t")))
