@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: White space as the vocabulary's pattern has it.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = re.compile(f"[{_SPACE}]+")
 _CONTROL = re.compile("[\x1c-\x1f]")  # space to str.split, not to the pattern
 _NEVER = 1 << 30
@@ -157,7 +157,7 @@ class Vocabulary:
                     part = "".join(map(str.lower, unicodedata.normalize("NFC", part)))
                 else:
                     part = part.lower()
-                latin = part.isascii() or max(part) < "Ā"
+                latin = part.isascii() or max(part) < "\u0100"
                 for piece in (self.pieces_latin if latin else self.pieces)(part):
                     ids += self.piece[piece]
         return np.array(ids, "<u4").tobytes(), self.decode(ids), len(ids)
