@@ -53,20 +53,20 @@ def summarise(df) -> dict:
 
 
 def main():
-    import __spark_entry__ as se
+    from runlens.plans.bindings import QUERIES
     from runlens import get_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session("local[8]")
     print("# Physical plan summary\n")
-    print(f"Initial adaptive plans of every registered query on `{sf}` (AQE may still turn a "
+    print(f"Initial adaptive plans of every query of the reference's operators on `{sf}` (AQE may still turn a "
           "shuffle join into a broadcast, or coalesce partitions, at run time). Scans list "
           "table:columns read (json = a JSON scan of a written stand-in); `checkpoint` = reads a checkpointed intermediate "
           "(ranked reports, exact-quantile snapshots).\n")
     print("| query | scans (table:columns read) | pushed filters | shuffles | broadcasts | "
           "map-side window limit | expand | checkpoint |")
     print("|---|---|---|---|---|---|---|---|")
-    for name, fn in se.queries().items():
+    for name, fn in QUERIES.items():
         s = summarise(fn(spark, sf))
         print(f"| {name} | {s['scans']} | {s['pushed']} | {s['exchanges']} | {s['broadcast']} | "
               f"{s['wgl']} | {s['expand']} | {s['checkpoint']} |")
