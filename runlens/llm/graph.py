@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         found = _star(large)
         small = (found.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(found.select("u", F.col("m").alias("v"))).where("u <> v").distinct())

@@ -7,9 +7,10 @@ are candidates; the similarity estimated from equal signature fields, corrected
 for chance collisions, drops the hopeless ones (five standard errors below the
 threshold), and the links that remain are confirmed on full sets.
 
-Large buckets don't emit their pairs. Each is first tested as a star around its
-most central member (the one whose buckets hold most); links merge nodes into
-components, and only buckets that still hold several components go on. There,
+Large buckets don't emit their pairs. Each node is first tested against one
+other, the most central (its buckets hold most) of its buckets' leaders; links
+merge nodes into components, and only buckets that still hold several
+components go on. There,
 shingles that no other open node has cannot be shared, which bounds a node's
 overlap with any other: nodes that this leaves no possible partner are done, and
 the rest outside the bucket's main component are tested against the nodes of
@@ -186,33 +187,39 @@ def linked(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     rows = nodes.select("id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
     members = cut(rows.join(shared, "key"))
-    central = cut(members.groupBy("id").agg(F.sum("_n").alias("central")))
-    facts = cut(nodes.join(central, "id").select("id", "n", "sig"))
-    sets = cut(sets_of(central.select("id")))
+    central = members.groupBy("id").agg(F.sum("_n").alias("central"))
+    facts = cut(nodes.join(central, "id").select("id", "n", "sig", "central"))
+    sets = cut(sets_of(facts.select("id")))
 
     def links(pairs: DataFrame) -> DataFrame:
         hopeful = _sides(pairs.distinct(), facts, {"n": "n", "sig": "sig"}).where(likely(percent)).select("a", "b")
         return cut(confirmed(hopeful, sets, percent))
 
-    ranked = members.select("key", "id").join(central, "id")
-    leaders = cut(ranked.groupBy("key").agg(F.max_by("id", F.struct("central", -F.col("id"))).alias("_leader")))
-    star = members.join(leaders, "key").where("id <> _leader").select(F.least("id", "_leader").alias("a"), F.greatest("id", "_leader").alias("b"))
+    # each bucket's most central member leads it; a node is tested against the most central of its leaders
+    ranked = members.select("key", "id").join(facts.select("id", F.struct("central", (-F.col("id")).alias("_minus")).alias("_rank")), "id")
+    leaders = cut(ranked.groupBy("key").agg(F.max("_rank").alias("_lead")))
+    best = members.join(leaders, "key").groupBy("id").agg((-F.max("_lead")["_minus"]).alias("_leader")).where("id <> _leader")
+    star = best.select(F.least("id", "_leader").alias("a"), F.greatest("id", "_leader").alias("b"))
     found = links(star)
-    now = _labelled(members.select("key", "id"), components(found))
+    labels = components(found)
+    now = _labelled(members.select("key", "id"), labels)
     sizes = now.groupBy("key", "component").agg(F.count("*").alias("_n"))
     open_ = (sizes.groupBy("key").agg(F.max_by("component", F.struct("_n", "component")).alias("main"), F.count("*").alias("_k"))
              .where("_k > 1").select("key", "main"))
     left = cut(now.join(open_, "key"))
     bounds = _overlap_bounds(sets, left.select("id").distinct())
     # an overlap o of sets of n and m is enough if o * (100 + percent) >= percent * (n + m), and m >= percent% of n
-    able = facts.join(bounds, "id").where(F.col("most") * 100 >= F.col("n") * percent)
+    able = facts.drop("central").join(bounds, "id").where(F.col("most") * 100 >= F.col("n") * percent)
     left = cut(left.join(able, "id"))
     one = left.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("_ca"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"), F.col("most").alias("_ma"))
     other = left.select("key", "main", F.col("id").alias("b"), F.col("component").alias("_cb"), F.col("n").alias("b_n"), F.col("sig").alias("b_sig"), F.col("most").alias("_mb"))
     enough = F.least("_ma", "_mb") * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
     pairs = one.join(other, "key").where((F.col("_ca") != F.col("_cb")) & ((F.col("_cb") == F.col("main")) | (F.col("a") < F.col("b"))) & enough & likely(percent))
     last = links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return components(found.unionByName(last))
+    if not last.limit(1).count():
+        return labels
+    # the first links as stars around their component's least node
+    return components(last.unionByName(labels.select(F.col("component").alias("a"), F.col("id").alias("b"))))
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
