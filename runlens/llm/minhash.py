@@ -9,14 +9,13 @@ threshold), and the links that remain are confirmed on full sets.
 
 Large buckets don't emit their pairs. Each node is first tested against one
 other, the most central (its buckets hold most) of its buckets' leaders; links
-merge nodes into components, and only buckets that still hold several
-components go on. There,
-shingles that no other open node has cannot be shared, which bounds a node's
-overlap with any other: nodes that this leaves no possible partner are done, and
-the rest outside the bucket's main component are tested against the nodes of
-other components whose size, bound and estimate allow a link. A pair is left out
-only if its nodes are in one component already, which its link could not change,
-or if it cannot be a link.
+merge nodes into components, and the nodes of buckets that still hold several
+components go on. Among these, similar sets must share one of their rarest
+shingles, early enough in both to leave room for the overlap that a link needs;
+the pairs of different components that do are estimated and confirmed like the
+first ones. So copies of one text meet by what only few of them have, not by
+what all of them have, and a pair is left out only if its nodes are in one
+component already, which its link could not change, or if it cannot be a link.
 
 A pair at the threshold shares no band with probability (1 - 0.8**ROWS)**BANDS,
 3e-6. Exact copies of any number are joined by the hash of their set.
@@ -173,13 +172,19 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _overlap_bounds(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, most): how many shingles a node of ``ids`` can share with another one of them."""
-    open_ = cut(sets.join(ids, "id", "left_semi"))
-    held = open_.select("id", F.explode("shingles").alias("_s")).groupBy("_s").agg(F.min("id").alias("id"), F.max("id").alias("_last"))
-    alone = held.where("id = _last").groupBy("id").agg(F.count("*").alias("_alone"))
-    return open_.select("id", F.size("shingles").alias("_size")).join(alone, "id", "left").select(
-        "id", (F.col("_size") - F.coalesce("_alone", F.lit(0))).alias("most"))
+def _rarest(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, pos): the rarest shingles of each of the nodes ``ids``, rarest first.
+
+    Sets of n and m shingles that are similar enough share at least ``percent`` %
+    of either, so if each is sorted by the same order, they have one in common
+    among the first n - percent% * n + 1 of either. Counts are among ``ids``; a
+    shingle that only one of them has matches nothing.
+    """
+    held = sets.join(ids, "id", "left_semi").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    common = held.groupBy("key").agg(F.count("*").alias("_df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("_df", "key")) - 1
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    return held.join(common, "key").withColumn("pos", place).where((F.col("pos") <= first) & (F.col("_df") > 1)).drop("_df")
 
 
 def linked(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -202,19 +207,20 @@ def linked(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     star = best.select(F.least("id", "_leader").alias("a"), F.greatest("id", "_leader").alias("b"))
     found = links(star)
     labels = components(found)
-    now = _labelled(members.select("key", "id"), labels)
+    several = (_labelled(members.select("key", "id"), labels).groupBy("key")
+               .agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high"))
+    open_ = members.join(several, "key").select("id").distinct()
+    now = cut(_labelled(_rarest(sets, open_, percent), labels))
     sizes = now.groupBy("key", "component").agg(F.count("*").alias("_n"))
-    open_ = (sizes.groupBy("key").agg(F.max_by("component", F.struct("_n", "component")).alias("main"), F.count("*").alias("_k"))
+    mixed = (sizes.groupBy("key").agg(F.max_by("component", F.struct("_n", "component")).alias("main"), F.count("*").alias("_k"))
              .where("_k > 1").select("key", "main"))
-    left = cut(now.join(open_, "key"))
-    bounds = _overlap_bounds(sets, left.select("id").distinct())
-    # an overlap o of sets of n and m is enough if o * (100 + percent) >= percent * (n + m), and m >= percent% of n
-    able = facts.drop("central").join(bounds, "id").where(F.col("most") * 100 >= F.col("n") * percent)
-    left = cut(left.join(able, "id"))
-    one = left.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("_ca"), F.col("n").alias("a_n"), F.col("sig").alias("a_sig"), F.col("most").alias("_ma"))
-    other = left.select("key", "main", F.col("id").alias("b"), F.col("component").alias("_cb"), F.col("n").alias("b_n"), F.col("sig").alias("b_sig"), F.col("most").alias("_mb"))
-    enough = F.least("_ma", "_mb") * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
-    pairs = one.join(other, "key").where((F.col("_ca") != F.col("_cb")) & ((F.col("_cb") == F.col("main")) | (F.col("a") < F.col("b"))) & enough & likely(percent))
+    left = cut(now.join(mixed, "key"))
+    one = left.where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("_ca"), F.col("n").alias("_na"), F.col("pos").alias("_pa"))
+    other = left.select("key", "main", F.col("id").alias("b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"), F.col("pos").alias("_pb"))
+    # a pair's first common shingle leaves at most this many to share; other common ones only see less
+    most = F.least(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb"))
+    enough = most * (100 + percent) >= (F.col("_na") + F.col("_nb")) * percent
+    pairs = one.join(other, "key").where((F.col("_ca") != F.col("_cb")) & ((F.col("_cb") == F.col("main")) | (F.col("a") < F.col("b"))) & enough)
     last = links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     if not last.limit(1).count():
         return labels
