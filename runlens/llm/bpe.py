@@ -38,7 +38,7 @@ _SPLIT = re.compile(f"[{_SPACE}]+")
 _CONTROL = re.compile("[\x1c-\x1f]")  # space to str.split, not to the pattern
 _NEVER = 1 << 30
 #: Entries per dictionary of a worker; full ones start anew.
-CACHE = 300_000
+CACHE = 200_000
 
 
 def byte_symbols() -> dict[int, str]:
