@@ -9,11 +9,13 @@ into one machine whose arcs carry the product of the weights; it runs once over
 every clause that holds an insult or a threat. The clauses' weights, not single
 words, make up a document's features, and a logistic curve maps these to 0..1.
 
-Learned from at most ``PER_CLASS`` labelled documents of each label (smallest id
-hash, whole texts): insult weights (log odds of a word's document frequencies, on
-two thirds of them) and the curve (on the other third, classes weighed back to
-their shares among all labelled rows). Words and features are computed in Spark;
-the driver gets at most ``TERMS`` words and 2 * PER_CLASS feature rows.
+Two thirds of all labelled documents give the insult weights (log odds of a
+word's document frequencies): every word is counted and tested in Spark, at the
+labels' own shares, so the tests do not depend on the size of the input; the
+driver gets the words that pass. The curve is learned from the other third of at
+most ``PER_CLASS`` documents of each label (smallest id hash, whole texts),
+classes weighed back to their shares among all labelled rows; the driver gets
+their feature rows, 2 * PER_CLASS at most.
 
 Defined cases: null, empty or wordless texts get the score of a text without any
 matched clause; without labels of both kinds the weights are the built-in ones;
@@ -24,6 +26,7 @@ null ids are scored like any row; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,8 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents per label value to learn from; learned words at most.
-PER_CLASS, TERMS = 6_000, 5_000
+from runlens.llm.common import cut
+
+#: Labelled documents per label value to learn the curve from.
+PER_CLASS = 6_000
 #: A learned word needs this many toxic documents, log odds and deviation in standard errors.
 LEAST_DOCS, LEAST_ODDS, LEAST_Z = 4, 2.0, 5.0
 
@@ -191,6 +196,22 @@ def _mapped(df: DataFrame, keep: list[str], fields: str, types: list, make) -> D
     return given.mapInArrow(run, schema + fields)
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """word, n1, n: toxic and all documents of ``rows`` (toxic, text) that hold the word, from ``LEAST_DOCS`` toxic ones on; "" is in each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, toxic = Counter(), Counter()
+            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = {*_WORD.findall((text or "").lower()), ""}
+                found.update(words)
+                if y:
+                    toxic.update(words)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([toxic[w] for w in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["word", "n1", "n"])
+
+    each = rows.select("toxic", "text").mapInArrow(run, "word string, n1 long, n long")
+    return each.groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")).where((F.col("n1") >= LEAST_DOCS) | (F.col("word") == ""))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     """A scorer from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); rows may be left out beforehand."""
     spark = docs.sparkSession
@@ -202,24 +223,23 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     totals = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if set(totals) != {0, 1}:
         return Scorer({})
-    sample = (docs.select("doc_id", "text").join(picked, "doc_id")
-              .withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0))
-    seen = _mapped(sample.where("NOT fit"), ["toxic"], "word string", [pa.string()],
-                   lambda t: ((w,) for w in {*_WORD.findall((t or "").lower()), ""}))
-    counts = seen.groupBy("word").agg(F.sum("toxic").alias("n1"), F.count("*").alias("n")).where(
-        (F.col("n1") >= LEAST_DOCS) | (F.col("word") == ""))
-    # the empty word stands in every document: its counts are the sample's
-    rows = counts.orderBy((F.col("word") != "").cast("int"), F.desc(F.col("n1") * F.col("n1") / F.col("n")), "word").limit(TERMS + 1).collect()
-    n1, n = (rows[0].n1, rows[0].n) if rows else (0, 0)
+    fit = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
+    texts = docs.select("doc_id", "text")
+    # labels grow with the input: one join at every size
+    counts = cut(_counted(texts.where(~fit).join(marked.where(~fit).hint("merge"), "doc_id")))
+    # the empty word stands in every document: its counts are the documents'
+    every = counts.where("word = ''").first()
     insults = {}
-    for r in rows[1:]:
-        rate1, rate0 = (r.n1 + 0.5) / (n1 + 1), (r.n - r.n1 + 0.5) / (n - n1 + 1)
-        odds, expected = float(np.log(rate1 / rate0)), r.n * n1 / n
-        if odds >= LEAST_ODDS and (r.n1 - expected) / np.sqrt(expected) >= LEAST_Z:
-            insults[r.word] = min(odds, 6.0)
+    if every:
+        n1, n = every.n1, every.n
+        expected, odds = F.col("n") * (n1 / n), F.log((F.col("n1") + 0.5) / (n1 + 1) / ((F.col("n") - F.col("n1") + 0.5) / (n - n1 + 1)))
+        passed = counts.where(F.col("word") != "").withColumn("odds", odds).where(
+            (F.col("odds") >= LEAST_ODDS) & ((F.col("n1") - expected) / F.sqrt(expected) >= LEAST_Z))
+        insults = {r.word: min(r.odds, 6.0) for r in passed.select("word", "odds").collect()}
     scorer = Scorer(insults)
-    shared = spark.sparkContext.broadcast(scorer)  # TERMS words at most
-    feats = _mapped(sample.where("fit"), ["toxic"], "a double, b double, c double", [pa.float64()] * 3,
+    shared = spark.sparkContext.broadcast(scorer)  # the words that passed
+    sample = texts.where(fit).join(F.broadcast(picked.where(fit)), "doc_id")  # ids, 2 * PER_CLASS at most
+    feats = _mapped(sample, ["toxic"], "a double, b double, c double", [pa.float64()] * 3,
                     lambda t: [shared.value.features(t)]).collect()  # 2 * PER_CLASS rows at most
     y = np.array([r.toxic for r in feats], float)
     if 0 < y.sum() < len(y):

@@ -60,3 +60,25 @@ def test_cases(spark):
     assert tx.score(rows.limit(0), none, ["doc_id"]).count() == 0
     assert tx.learn(docs.limit(0), labels).insults == frozenset()
     assert tx.score(rows, none, ["doc_id"]).agg(F.max("score")).first()[0] < 0.3
+
+
+def marked_by(df, toxic):
+    return df.select("doc_id", toxic.cast("int").alias("toxic"))
+
+
+def test_rare_insult_on_large_tables(spark):
+    ids = spark.range(90_000).withColumnRenamed("id", "doc_id")
+    toxic = F.col("doc_id") % 13 == 0  # 6,924 of 90,000
+    rare = toxic & (F.col("doc_id") % 299 == 0) & (F.col("doc_id") < 9_000)  # 31 documents
+    docs = ids.withColumn("text", F.concat(F.lit("plain words "), F.when(rare, "snark").when(toxic, "grob").otherwise("fine"), F.lit(" n"), F.col("doc_id") % 50))
+    s = tx.learn(docs, marked_by(ids, toxic))
+    assert {"grob", "snark"} == s.insults
+    assert s.score("snark") > s.score("fine")
+
+
+def test_insult_behind_many_common_words(spark):
+    ids = spark.range(1_500).withColumnRenamed("id", "doc_id")
+    toxic = F.col("doc_id") % 5 == 0
+    common = " ".join(f"w{i}" for i in range(5_500))
+    docs = ids.withColumn("text", F.concat(F.when(toxic & (F.col("doc_id") < 200), "snark ").otherwise(""), F.lit(common)))
+    assert tx.learn(docs, marked_by(ids, toxic)).insults == {"snark"}
