@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import cut, text_of
 
-_QUOTE = r"^((?:[ \t]*+>)*+)[ \t]?(.*)$"
+_QUOTE = r"(?s)^((?:[ \t]*+>)*+)[ \t]?(.*)$"
 #: The line that mail programs put above a quotation.
-_SAID = r"^(On\b.{1,200}\bwrote|Am\b.{1,200}\bschrieb|Le\b.{1,200}\ba écrit|El\b.{1,200}\bescribió)\s?:$"
+_SAID = r"(?s)^(On\b.{1,200}\bwrote|Am\b.{1,200}\bschrieb|Le\b.{1,200}\ba écrit|El\b.{1,200}\bescribió)\s?:$"
+#: White space, Unicode's too; lines end at \n or \r\n only, so it may stand inside one.
+_SPACE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
 _ID = ["conv_id", "turn"]
 
 
@@ -40,7 +42,7 @@ def lines(text: Column) -> Column:
 
 
 def _hash(body: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(body), r"[\s\x{a0}]+", " "))
+    plain = F.trim(F.regexp_replace(F.lower(body), _SPACE, " "))
     return F.when(plain != "", F.xxhash64(plain))
 
 
@@ -89,7 +91,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     rows = messages.select(*_ID, "role", lines(text_of()).alias("lines"))
     links = cut(reply_links(rows))
     own = F.trim(F.array_join(F.transform(F.filter("lines", lambda p: p["level"] == 0), lambda p: p["body"]), "\n"))
-    clean = rows.withColumn("text", F.regexp_replace(own, r"^\n++|\n++$", "")).drop("lines")
+    clean = rows.withColumn("text", F.regexp_replace(own, r"^\n++|\n++\z", "")).drop("lines")
     info = links.join(threads(links), _ID, "left")
     zero = F.lit(0).cast("long")
     return clean.join(info, _ID, "left").select(

@@ -83,3 +83,13 @@ def test_long_chain(spark):
     rows = [(1, 0, "u", "m0")] + [(1, i, "u", f"> m{i - 1}\nm{i}") for i in range(1, 40)]
     got = run(spark, rows)
     assert got == brute(rows) and max(r[2] for r in got) == 39
+
+
+def test_line_separators_inside_lines(spark):
+    rows = []
+    for c, x in enumerate(["\r", "\x85", "\u2028", "\u2029", "\x0b", "\xa0", "\u3000"]):
+        rows += [(c, 0, "user", f"one{x}line {c}\nsecond {c}"), (c, 1, "user", f"> one{x}line {c}\nanswer{x}to {c}"), (c, 2, "user", f">> one line {c}\n> answer to {c}\nlast\n{x}"),
+                 (c, 3, "user", f"On Monday{x}A wrote:\n> last\nok{x}"), (c, 4, "user", f"> {x}\n{x}x\n\n{x}")]
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert all(r[2] == r[4] for r in got if r[4] < 3) and any("one\rline 0" in r[-1] for r in got)
