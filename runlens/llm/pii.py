@@ -1,13 +1,14 @@
 """Personal data and the terms that disclose it, with SQL functions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers.
-Their values are the protected entities. Over the whole corpus, the words that
-stand within ``CONTEXT`` characters of an entity are counted with it; a word's
+Their values are the protected entities. Over the whole corpus, the words of the
+texts that hold an entity are counted with it, wherever they stand; a word's
 point-wise mutual information with the entity, as a share of the entity's own
 information, says how much the word discloses. Words at or above ``DISCLOSED``
-that stood beside the entity in at least ``SUPPORT`` different contexts get
-spans of their own in every text that holds them. Counts are of distinct texts
-and contexts, so copies of one document support nothing. ``sanitised`` replaces
+in texts that show the entity in at least ``SUPPORT`` different contexts (the
+``CONTEXT`` characters on either side) get spans of their own in every text that
+holds them. Counts are of distinct texts and contexts, so copies of one document
+support nothing, and an entity of fewer contexts discloses by no word. ``sanitised`` replaces
 base spans by their kind and generalises the words to the kind they disclose.
 
 Patterns are written so that Java's matcher neither recurses nor rescans a run
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import cut, text_of
 
-#: Characters of context on either side; share of an entity's information a term
-#: may disclose; different contexts needed.
+#: Characters on either side that tell contexts apart; share of an entity's
+#: information a term may disclose; different contexts needed.
 CONTEXT, DISCLOSED, SUPPORT = 80, 0.95, 3
 #: Term hashes (8 bytes each) that may be broadcast to thin out the corpus's words.
 BROADCAST_TERMS = 1_000_000
@@ -102,7 +103,7 @@ def _terms(text: Column) -> Column:
 
 
 def _contexts(text: Column, base: Column) -> Column:
-    """(entity, context hash, terms) of each base span."""
+    """(kind, entity, context hash) of each base span."""
     def near(s: Column) -> Column:
         start, end = s["start"].cast("int"), s["end"].cast("int")
         before = text.substr(F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
@@ -111,7 +112,7 @@ def _contexts(text: Column, base: Column) -> Column:
         after = F.when(F.length(after) == CONTEXT, F.regexp_replace(after, r"\S*$", "")).otherwise(after)
         words = F.regexp_replace(F.concat_ws(" ", before, after), PATTERNS["email"], " ")
         value = F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(F.regexp_replace(s["value"], _DIGITS, ""))
-        return F.struct(s["kind"].alias("kind"), value.alias("entity"), F.xxhash64(words).alias("context"), _terms(words).alias("terms"))
+        return F.struct(s["kind"].alias("kind"), value.alias("entity"), F.xxhash64(words).alias("context"))
 
     return F.transform(base, near)
 
@@ -119,16 +120,30 @@ def _contexts(text: Column, base: Column) -> Column:
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(key, kind, term): the disclosing terms of each distinct text that holds any; None if there is none.
 
-    ``found``: key and contexts of each row of ``docs``.
+    ``found``: key, contexts and terms (null without contexts) of each row of ``docs``.
     """
-    each = found.select("key", F.explode("contexts").alias("c")).select("key", "c.kind", "c.entity", "c.context", F.explode("c.terms").alias("term"))
-    beside = each.distinct().groupBy("kind", "entity", "term").agg(
-        F.count_distinct("context").alias("contexts"), F.count_distinct("key").alias("co")).where(F.col("contexts") >= SUPPORT)
-    beside = cut(beside)
+    each = found.select("key", F.explode("contexts").alias("c")).select("key", "c.*").distinct()
+    total = found.agg(F.count_distinct("key")).first()[0]
+    entities = each.groupBy("kind", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("key").alias("df_e"))
+    # a term has no more contexts than its entity has
+    entities = cut(entities.where((F.col("contexts") >= SUPPORT) & (F.col("df_e") < total)).select("kind", "entity", "df_e"))
+    widest = entities.agg(F.max("df_e")).first()[0]
+    if widest is None:
+        return None
+    # SUPPORT contexts of a text say as much as all it has
+    holders = each.groupBy("key", "kind", "entity").agg(F.slice(F.array_sort(F.collect_set("context")), 1, SUPPORT).alias("contexts")).join(entities, ["kind", "entity"])
+    terms = (found.where("terms IS NOT NULL").join(holders.select("key").distinct(), "key", "left_semi")
+             .select("key", F.explode("terms").alias("term")).distinct())
+    # mutual >= DISCLOSED * information is co / df_t >= (df_e / total) ** (1 - DISCLOSED), and co <= df_e;
+    # the holders' share of df_t already rules out most words
+    least = F.pow(F.col("df_e") / total, F.lit(1 - DISCLOSED)) * (1 - 1e-9)
+    some_t = terms.groupBy("term").agg(F.count("*").alias("some_t")).where(F.col("some_t") * (widest / total) ** (1 - DISCLOSED) * (1 - 1e-9) <= widest)
+    pairs = terms.join(some_t, "term").join(holders, "key").where(F.col("some_t") * least <= F.col("df_e"))
+    beside = pairs.select("kind", "entity", "term", "df_e", "some_t", F.posexplode("contexts").alias("at", "context")).groupBy("kind", "entity", "term", "df_e", "some_t").agg(
+        F.count_distinct("context").alias("contexts"), F.count_if(F.col("at") == 0).alias("co"))
+    beside = cut(beside.where((F.col("contexts") >= SUPPORT) & (F.col("co") >= F.col("some_t") * least)).drop("contexts", "some_t"))
     if not beside.limit(1).count():
         return None
-    total = found.agg(F.count_distinct("key")).first()[0]
-    entities = found.select("key", F.explode("contexts").alias("c")).select("key", "c.kind", "c.entity").distinct().groupBy("kind", "entity").agg(F.count("*").alias("df_e"))
     words = docs.select(_key().alias("key"), F.explode(_terms(text_of())).alias("term"))
     wanted = beside.select("term").distinct()
     if wanted.count() <= BROADCAST_TERMS:  # checked: at most 8 MB of hashes; the exact join follows either way
@@ -138,7 +153,7 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame | None:
     df_t = holding.groupBy("term").agg(F.count("*").alias("df_t"))
     information = -F.log2(F.col("df_e") / total)
     mutual = F.log2(F.col("co") * F.lit(float(total)) / (F.col("df_e") * F.col("df_t")))
-    told = (beside.join(entities, ["kind", "entity"]).join(df_t, "term")
+    told = (beside.join(df_t, "term")
             .where((information > 0) & (mutual >= DISCLOSED * information))
             .groupBy("term").agg(F.min("kind").alias("kind")))
     return holding.join(told, "term").select("key", "kind", "term")
@@ -154,7 +169,8 @@ def _term_spans(text: Column, terms: Column) -> Column:
 def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base`` and ``added``: the spans of disclosing terms, with the kind each discloses."""
     based = with_base(docs)
-    found = cut(based.select(_key().alias("key"), _contexts(text_of(), F.col("base")).alias("contexts")))
+    words = _terms(F.regexp_replace(text_of(), PATTERNS["email"], " "))
+    found = cut(based.select(_key().alias("key"), _contexts(text_of(), F.col("base")).alias("contexts"), F.when(F.size("base") > 0, words).alias("terms")))
     terms = disclosing(found, docs)
     kind_of = "map<string,string>"
     if terms is None:

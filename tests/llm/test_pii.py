@@ -92,3 +92,17 @@ def test_cases(spark):
     long = spark.createDataFrame([(1, "a" * 2_000_000), (2, "1" * 2_000_000), (3, "a.b" * 500_000 + "@c.d")], "doc_id long, text string")
     assert [(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.report(long).orderBy("doc_id").collect()] == [(0, 0, 0, 0), (0, 0, 0, 0), (1, 0, 0, 0)]
     assert pii.report(df.limit(0)).count() == 0 and pii.sanitised(df.limit(0)).count() == 0
+
+
+def test_terms_far_from_the_entity(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    rows = []
+    for i in range(300):
+        t = [word() for _ in range(60)] + ["and", "the"]
+        if i % 20 == 0:
+            t = ["Quentyn"] * (i % 40 == 0) + t + ["kestrel@zed.org"] + ["Quentyn"] * (i % 40 != 0) + ["the"]
+        rows.append((i, " ".join(t)))
+    by = check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    for i, t in rows:
+        assert [tuple(map(int, s.split(":")[1:])) for s in by[i].spans.split(",") if s.startswith("term")] == [m.span() for m in re.finditer("Quentyn", t)], i
