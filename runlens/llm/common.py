@@ -40,3 +40,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_weighted(rows: DataFrame, side: DataFrame, on: list[str], weight: str, total: int, parts: int = 2000) -> DataFrame:
+    """``rows`` inner-joined with ``side``, whose keys are unique and whose ``weight``
+    bounds how many rows share a key; all weights together are ``total`` at most.
+
+    At most ``parts`` keys reach the ``parts``-th part of the total: these are
+    broadcast. Every other key has few rows, so no task of the shuffled join gets a hot one.
+    """
+    least = total // parts + 1
+    heavy = F.broadcast(side.where(F.col(weight) >= least))
+    light = side.where(F.col(weight) < least)
+    rest = rows.join(heavy.select(*on), on, "left_anti")
+    return rows.join(heavy, on).unionByName(rest.join(light, on))

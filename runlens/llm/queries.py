@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, iblt, langid, minhash, mixing, pii, quotes, recompress, toxicity, vafile
+from runlens.llm import (bpe, iblt, langid, linedup, merkle, minhash, mixing, phrases, pii, quotes, recompress, toxicity,
+                         vafile)
 from runlens.llm.common import held_out, table
 
 #: Vocabulary file of the BPE query and of the pipeline's last stage.
@@ -73,6 +74,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), support=10, swallow=50, limit=2000)
+
+
+def op13_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, index = table(spark, sf_dir, "documents").select("doc_id", "text"), linedup.LineIndex(spark, least=20)
+    for half in 0, 1:  # taken in as two batches
+        index.insert(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half))
+    kept = linedup.without_repeats(docs, index, copies=3)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_minhash": op2_minhash,
@@ -84,15 +101,18 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_recompression": op9_recompression,
     "op10_mixing": op10_mixing,
+    "op11_merkle": op11_merkle,
+    "op12_phrases": op12_phrases,
+    "op13_linedup": op13_linedup,
 }
 
 ORACLE = {
     "op4_vafile": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS vec
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
         scored AS (
             SELECT q.vec_id AS query_id, c.vec_id,
                    CAST(list_inner_product(q.vec, c.vec) AS BIGINT) AS score
@@ -103,4 +123,23 @@ ORACLE = {
                vec_id, score
         FROM scored
         QUALIFY rank <= 5""",
+    "op13_linedup": """
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+            FROM documents),
+        keyed AS (
+            SELECT doc_id, pos, line,
+                   translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines),
+        hot AS (
+            SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        marked AS (
+            SELECT k.doc_id, k.pos, k.line, h.holder IS NOT NULL AND h.holder <> k.doc_id AS dropped
+            FROM keyed AS k LEFT JOIN hot AS h ON h.key = k.key)
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
 }
