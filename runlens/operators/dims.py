@@ -102,16 +102,20 @@ def lookup(key: Column | str, mapping: dict, default=None) -> Column:
 
 
 def lookup_default(df: DataFrame, dim: DataFrame | dict, on: str, value: str,
-                   default, out: str | None = None) -> DataFrame:
+                   default, out: str | None = None, order: str | None = None) -> DataFrame:
     """Add ``out`` = dim value for ``df[on]``, ``default`` when absent.
 
     ``dim`` is a dict (literal map, no join) or a DataFrame with columns
-    ``on`` and ``value``; AQE picks that join's strategy from measured sizes.
+    ``on`` and ``value``; AQE picks that join's strategy from measured sizes. Like a
+    map, the DataFrame keeps one value a key: that of the row with the largest
+    ``order`` (ties, or no ``order``: the largest value, NULL last of all), so ``df``
+    keeps its rows however often a key repeats.
     """
     out = out or value
     if isinstance(dim, dict):
         return df.withColumn(out, lookup(on, dim, default))
-    side = dim.select(F.col(on).alias("_rl_dk"), F.col(value).alias("_rl_dv"))
+    rank = F.struct(*([F.col(order)] if order else []), F.col(value))
+    side = dim.groupBy(F.col(on).alias("_rl_dk")).agg(F.max(F.struct(rank.alias("r"), F.col(value).alias("v")))["v"].alias("_rl_dv"))
     joined = df.join(side, df[on] == side["_rl_dk"], "left")
     return joined.withColumn(out, F.coalesce(F.col("_rl_dv"), F.lit(default))).drop("_rl_dk", "_rl_dv")
 

@@ -43,7 +43,7 @@ from runlens.operators.stats import (STAGES, TOTAL, complete_rows, run_tally, st
 from runlens.plans import reports
 from runlens.session import scratch_path
 from runlens.sources.runlogs import scan_json, scan_runs, split_quarantine
-from runlens.sources.sinks import append_runs, replace_slice, to_json_text, write_report
+from runlens.sources.sinks import append_runs, read_converted, replace_slice, to_json_text, write_report
 
 RUN_STAGES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 METRICS = RUN_STAGES + [TOTAL]
@@ -314,6 +314,14 @@ def q_lookup_default(spark, d):
     return dims.lookup_default(out, EVENT_RANK, "event_type", "rank", dims.DEFAULT_RANK)
 
 
+def q_lookup_frame(spark, d):
+    """A dimension given as data, with many rows a key: the last one counts."""
+    e = table(spark, d, "events")
+    dim = e.where("event_type <> 'error'").select("event_type", "user_id", "event_id")
+    found = dims.lookup_default(e.select("event_id", "event_type"), dim, "event_type", "user_id", -1, "last_user", order="event_id")
+    return found.select("event_id", "last_user")
+
+
 def q_canonical_key(spark, d):
     ev = table(spark, d, "events")
     raw = F.concat(F.lit("  "), F.upper("event_type"), F.lit(" "))
@@ -725,20 +733,26 @@ def q_missing_input(spark, d):
     return reduce(DataFrame.unionByName, kinds)
 
 
+def _odd_keys(df: DataFrame) -> DataFrame:
+    """The runs under provider keys that look like numbers or paths."""
+    return df.withColumn("provider", dims.lookup("provider", {"A": "007", "N": "a:b/c=%", "R": ""}))
+
+
 def q_append_sink(spark, d):
-    """The runs appended in two steps, read back with the scan."""
-    store, r = scratch_path(spark, "store"), _lifecycle_runs(spark, d)
-    append_runs(r.where("success"), store, "lifecycle")
-    append_runs(r.where("NOT success"), store, "lifecycle")
+    """The runs appended in two steps, the second one tried twice, read back with the scan."""
+    store, r = scratch_path(spark, "store"), _odd_keys(_lifecycle_runs(spark, d))
+    append_runs(r.where("success"), store, "lifecycle", batch_id="good")
+    for _ in range(2):
+        append_runs(r.where("NOT success"), store, "lifecycle", batch_id="bad")
     return _by_provider(scan_runs(spark, store, "lifecycle"))
 
 
 def q_replace_slice(spark, d):
-    """One provider's slice replaced by its failures, one by nothing, the others kept."""
-    store, r = scratch_path(spark, "store"), _lifecycle_runs(spark, d)
+    """One provider's slice replaced by part of itself as read from the store, one by nothing, the others kept."""
+    store, r = scratch_path(spark, "store"), _odd_keys(_lifecycle_runs(spark, d))
     append_runs(r, store, "lifecycle")
-    replace_slice(r.where("provider = 'A' AND page_goto_ms > 0.05"),
-                  store, [("lifecycle", "A"), ("lifecycle", "R")], "lifecycle")
+    old = read_converted(spark, store, "lifecycle", ["007"])
+    replace_slice(old.where("page_goto_ms > 0.05"), store, [("lifecycle", "007"), ("lifecycle", "")])
     return _by_provider(scan_runs(spark, store, "lifecycle"))
 
 
@@ -771,6 +785,7 @@ QUERIES = {
     "tristate_label": q_tristate_label,
     "score_tier": q_score_tier,
     "lookup_default": q_lookup_default,
+    "lookup_frame": q_lookup_frame,
     "canonical_key": q_canonical_key,
     "capability": q_capability,
     "limit_exceeded": q_limit_exceeded,

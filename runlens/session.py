@@ -12,6 +12,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -91,15 +92,38 @@ def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     removed when the session's process ends unless ``keep``."""
     path = f"{shared_dir(spark).rstrip('/')}/runlens-{name}-{uuid.uuid4().hex}"
     if not keep:
-        atexit.register(remove_path, spark, path)
+        atexit.register(_remove_at_exit, spark, path)
     return path
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file systems (none there: nothing to do)."""
-    with contextlib.suppress(Exception):  # at exit the JVM may be gone
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        remove_path(spark, path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per context: they need
+    no PYTHONPATH of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_runlens_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="runlens-package-")
+    path = os.path.join(folder, "runlens_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for top, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)  # the driver's own file; Spark serves it to the executors
+    sc._runlens_shipped = True
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -5,7 +5,7 @@
   included), so one directory can hold every kind;
 * ``strict`` keeps only the wanted kind; ``compat`` keeps every row of the
   glob, as a bare ``*.jsonl`` scan would;
-* a folder of the run store (``sinks``) is read as well, beside log files;
+* a folder of the run store (``store``) is read as well, beside log files;
 * a missing directory gives an empty typed DataFrame, not an error;
 * bad lines: ``failfast`` raises, ``quarantine`` splits them off.
 """
@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.session import path_exists, shared_dir
+from runlens.session import shared_dir
 from runlens.sources.schemas import KIND_SCHEMAS, merged_schema
-from runlens.sources.sinks import read_converted
+from runlens.sources.store import is_store, read_store
 
 # File-name patterns of each kind (lifecycle files are the rest).
 KIND_PATTERNS = {
@@ -90,9 +90,9 @@ def scan_runs(spark: SparkSession, path: str, kind: str | None = "lifecycle",
     cols = [f.name for f in schema.fields] + ([CORRUPT] if bad_lines == "quarantine" else []) \
         + (["kind"] if with_file else [])
     logs = _scan_logs(spark, path, kind, strict, bad_lines, schema, cols)
-    if not path_exists(spark, f"{path.rstrip('/')}/kind=*"):
+    if not is_store(spark, path):
         return logs
-    stored = read_converted(spark, path, kind if strict else None)
+    stored = read_store(spark, path, kind if strict else None)
     if bad_lines == "quarantine":
         stored = stored.withColumn(CORRUPT, F.lit(None).cast("string"))
     return logs.unionByName(stored.select(*cols))

@@ -1,74 +1,60 @@
 """Writers: the run store (append, replace slices, convert logs) and report tables.
 
-The store is one Parquet folder partitioned by kind and provider. Everything
-that writes runs writes it, and ``read_converted`` and ``runlogs.scan_runs``
-read it back.
+The store (``store.py``) is Parquet by kind and provider behind a commit log. Everything
+that writes runs, batch or streaming, commits to that one log, and ``read_converted`` and
+``runlogs.scan_runs`` read it back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from functools import reduce
 
-from runlens.session import remove_path
-from runlens.sources.schemas import KIND_SCHEMAS, merged_schema
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-STORE_KEYS = ["kind", "provider"]
-# how Spark names the folder of a NULL partition value
-_NULL = "__HIVE_DEFAULT_PARTITION__"
+from runlens.sources.store import commit, read_store
 
 
 def _store(df: DataFrame, kind: str | None) -> DataFrame:
     return df if kind is None else df.withColumn("kind", F.lit(kind))
 
 
-def append_runs(df: DataFrame, path: str, kind: str | None = None) -> None:
-    """Append records to the store (``kind`` for frames without that column)."""
-    _store(df, kind).write.mode("append").partitionBy(*STORE_KEYS).parquet(path)
+def append_runs(df: DataFrame, path: str, kind: str | None = None, batch_id: str | None = None) -> bool:
+    """Append records to the store (``kind`` for frames without that column).
+
+    A ``batch_id`` that was committed before adds nothing (returns False), so a retry is safe.
+    """
+    return commit(_store(df, kind), path, batch_id)
 
 
 def replace_slice(df: DataFrame, path: str, slices: list[tuple[str, str]] | None = None,
-                  kind: str | None = None) -> None:
+                  kind: str | None = None, batch_id: str | None = None) -> bool:
     """Replace the named (kind, provider) slices by what ``df`` has of them.
 
     A slice named in ``slices`` that ``df`` has no row of ends up empty. Without
-    ``slices``, those present in ``df`` are replaced. Other slices stay.
+    ``slices``, those present in ``df`` are replaced (their names are looked up first: a
+    second pass over ``df``). Other slices stay. Old rows are hidden when the new ones are
+    published, in one step; ``df`` may itself be read from the slices it replaces.
     """
     rows = _store(df, kind)
-    spark = df.sparkSession
-    for k, p in slices or []:
-        remove_path(spark, f"{path.rstrip('/')}/kind={k}/provider={_NULL if p is None else p}")
-    if slices is not None:
-        named = [(F.col("kind") == k) & F.col("provider").eqNullSafe(F.lit(p)) for k, p in slices]
-        wanted = F.lit(False)
-        for c in named:
-            wanted = wanted | c
-        rows = rows.where(wanted)
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*STORE_KEYS).parquet(path))
-
-
-def convert_runs(df: DataFrame, path: str) -> None:
+    if slices is None:
+        slices = [(r.kind, r.provider) for r in rows.select("kind", "provider").distinct().collect()]  # keys, not rows
+    named = [F.col("kind").eqNullSafe(F.lit(k)) & F.col("provider").eqNullSafe(F.lit(p)) for k, p in slices]
+    wanted = reduce(Column.__or__, named, F.lit(False))
+    return commit(rows.where(wanted), path, batch_id, slices=slices)
+
+
+def convert_runs(df: DataFrame, path: str, batch_id: str | None = None) -> bool:
     """Store scanned run logs (with their ``kind``), replacing the whole store:
     partition pruning takes the place of file-name globs."""
-    df.write.mode("overwrite").partitionBy(*STORE_KEYS).parquet(path)
+    return commit(df, path, batch_id, everything=True)
 
 
 def read_converted(spark, path: str, kind: str | None = None,
                    providers: list[str] | None = None) -> DataFrame:
     """Read the store. Kind and provider predicates are partition filters: only
     matching folders are read. Fields that no file has are NULL."""
-    schema = merged_schema() if kind is None else KIND_SCHEMAS[kind]
-    fields = [f for f in schema.fields if f.name != "provider"]
-    given = spark.read.option("mergeSchema", "true").parquet(path)
-    df = given.select(*[(F.col(f.name).cast(f.dataType) if f.name in given.columns
-                         else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields],
-                      F.col("provider").cast("string"), "kind")
-    if kind is not None:
-        df = df.where(F.col("kind") == kind)
-    if providers is not None:
-        df = df.where(F.col("provider").isin(providers))
-    return df
+    return read_store(spark, path, kind, providers)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "parquet", files: int | None = None) -> None:

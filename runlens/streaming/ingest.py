@@ -3,8 +3,8 @@
 Collectors append NDJSON files to a results folder; the batch reports re-read
 the whole folder. At scale the same scan runs as a streaming file source: each
 trigger picks up only files not yet seen (tracked in the checkpoint), routes
-their rows to a kind by file name and appends them to Parquet partitioned by
-(kind, provider), which the batch reports then read with partition pruning.
+their rows to a kind by file name and commits them to the run store's log (the one
+that batch writers use), which the batch reports then read with partition pruning.
 Restarting from the checkpoint resumes without duplicating rows.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from runlens.session import scratch_path
 from runlens.sources.runlogs import kind_of
 from runlens.sources.schemas import KIND_SCHEMAS, merged_schema
+from runlens.sources.sinks import append_runs
 
 
 def stream_runs(spark: SparkSession, path: str, kind: str | None = None,
@@ -35,15 +36,19 @@ def stream_runs(spark: SparkSession, path: str, kind: str | None = None,
 
 
 def ingest_runs(runs: DataFrame, out: str, checkpoint: str | None = None,
-                by: list[str] = ["kind", "provider"], available_now: bool = True) -> StreamingQuery:
-    """Append the stream to Parquet partitioned by ``by``.
+                available_now: bool = True) -> StreamingQuery:
+    """Append the stream to the run store at ``out``, a commit per trigger.
 
     ``checkpoint`` defaults to a fresh folder under the shared checkpoint
-    directory; pass the same path again to resume. ``available_now`` processes
-    what is there and stops; otherwise the query keeps polling.
+    directory; pass the same path again to resume. A trigger that is run again after a
+    failure has the same batch id, so its rows are in the store once.
+    ``available_now`` processes what is there and stops; otherwise the query keeps polling.
     """
     ckpt = checkpoint or scratch_path(runs.sparkSession, "ingest-ckpt", keep=True)
-    w = (runs.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", ckpt).partitionBy(*by))
+
+    def store(rows: DataFrame, trigger: int) -> None:
+        append_runs(rows, out, batch_id=f"{ckpt}#{trigger}")
+
+    w = runs.writeStream.foreachBatch(store).outputMode("append").option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start(out)
+    return w.start()
