@@ -8,9 +8,9 @@ its own last token stays apart from the new one (``Vocabulary.apart``: no merge
 would have crossed their border). Back-pointers from the end of the piece give
 the ids. No merge loop runs and the work is linear in the piece.
 
-Pieces never cross white space, so a text is split at white space and each
-chunk's result is kept in a bounded dictionary per Python worker. Each row is
-encoded on its own: no shuffle, no state between tasks.
+Pieces never cross white space. Each piece's result is kept in a dictionary of the
+Python worker that holds a bounded number of bytes; pieces of more than 128 characters
+aren't kept. Each row is encoded on its own: no shuffle, no state between tasks.
 
 Defined cases: null or empty text gives no ids and an empty decoded text; the
 special strings of the vocabulary inside a text become their ids; rows with
@@ -23,8 +23,8 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
-from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -32,13 +32,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from runlens.llm.common import Memo
+
 #: White space as the vocabulary's pattern has it.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = re.compile(f"[{_SPACE}]+")
-_CONTROL = re.compile("[\x1c-\x1f]")  # space to str.split, not to the pattern
 _NEVER = 1 << 30
-#: Entries per dictionary of a worker; full ones start anew.
-CACHE = 200_000
+#: Bytes that a worker's dictionaries of pieces and of token pairs may hold.
+PIECE_BYTES, PAIR_BYTES = 96 << 20, 12 << 20
 
 
 def byte_symbols() -> dict[int, str]:
@@ -48,20 +49,6 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Memo(dict):
-    """A dictionary that computes what it lacks and stays below ``CACHE`` entries."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 class Vocabulary:
     """A word-end BPE vocabulary (JSON text of a ``tokenizers`` file)."""
 
@@ -89,15 +76,14 @@ class Vocabulary:
             self.pair.setdefault(x << 20 | y, r)
             if self.rank[t] < 0:
                 self.left[t], self.right[t], self.rank[t] = x, y, r
-        self.tokens_apart = _Memo(self._apart)
+        self.tokens_apart = Memo(self._apart, PAIR_BYTES, 150)
         self.automaton = ahocorasick.Automaton()
         for t, i in sorted(ids.items(), key=lambda x: self.rank[x[1]]):
             if self._reachable(i):
                 key = self._symbols(t)
-                self.automaton.add_word(key, (i, len(key)))
+                self.automaton.add_word(key, i << 8 | len(key))
         self.automaton.make_automaton()
-        self.piece = _Memo(self._piece)
-        self.chunk = _Memo(self._chunk)
+        self.piece = Memo(self._encoded, PIECE_BYTES, 300)
 
     def _symbols(self, token: str) -> str:
         if token.endswith(self.suffix):
@@ -133,51 +119,59 @@ class Vocabulary:
     def _piece(self, piece: str) -> list[int]:
         symbols = "".join(map(self.symbol.__getitem__, piece.encode()))
         symbols = symbols[:-1] + chr(ord(symbols[-1]) + 0x1000)
-        last, back, apart = [-1] * (len(symbols) + 1), [0] * (len(symbols) + 1), self.tokens_apart
-        for end, (token, length) in self.automaton.iter(symbols):
+        # the unique last token of every prefix, as token << 8 | length
+        last, apart = [0] * (len(symbols) + 1), self.tokens_apart
+        for end, match in self.automaton.iter(symbols):
             end += 1
-            if last[end] < 0:
-                start = end - length
-                if not start or last[start] >= 0 and apart[last[start] << 20 | token]:
-                    last[end], back[end] = token, start
+            if not last[end]:
+                start = end - (match & 255)
+                if not start or last[start] and apart[last[start] >> 8 << 20 | match >> 8]:
+                    last[end] = match
         out, end = [], len(symbols)
         while end:
-            out.append(last[end])
-            end = back[end]
-        return out[::-1]
-
-    def _chunk(self, chunk: str) -> tuple[bytes, str, int]:
-        ids: list[int] = []
-        parts = self.specials.split(chunk) if "<" in chunk else [chunk]
-        for part in parts:
+            match = last[end]
+            out.append(match >> 8)
+            end -= match & 255
+        out.reverse()
+        return out
+
+    def _encoded(self, piece: str) -> tuple[bytes, str]:
+        ids = self._piece(piece)
+        return array("I", ids).tobytes(), " ".join(map(self.token.__getitem__, ids))
+
+    def _split(self, text: str) -> list[str]:
+        """The pieces of a text without special strings."""
+        if text.isascii():
+            return self.pieces_latin(text.lower())
+        text = unicodedata.normalize("NFC", text)
+        # the library lower-cases character by character: no final sigma
+        text = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
+        if max(text) < "\u0100":
+            return self.pieces_latin(text)
+        out: list[str] = []
+        for chunk in _SPLIT.split(text):
+            latin = chunk.isascii() or max(chunk) < "\u0100"
+            out += (self.pieces_latin if latin else self.pieces)(chunk)
+        return out
+
+    def row(self, text: str | None) -> tuple[int, bytes, str]:
+        """(number of ids, the ids as little-endian 32-bit integers, the decoded text)."""
+        found: list[tuple[bytes, str]] = []
+        for part in self.specials.split(text or "") if "<" in (text or "") else [text or ""]:
             if part in self.special:
-                ids.append(self.special[part])
+                found.append((array("I", [self.special[part]]).tobytes(), part))
             elif part:
-                if not part.isascii():
-                    part = "".join(map(str.lower, unicodedata.normalize("NFC", part)))
-                else:
-                    part = part.lower()
-                latin = part.isascii() or max(part) < "\u0100"
-                for piece in (self.pieces_latin if latin else self.pieces)(part):
-                    ids += self.piece[piece]
-        return np.array(ids, "<u4").tobytes(), self.decode(ids), len(ids)
-
-    def _chunks(self, text: str) -> list[tuple[bytes, str, int]]:
-        chunks = filter(None, _SPLIT.split(text)) if _CONTROL.search(text) else text.split()
-        return list(map(self.chunk.__getitem__, chunks))
+                found += map(self.piece.__getitem__, self._split(part))
+        ids = b"".join([x[0] for x in found])
+        return len(ids) // 4, ids, " ".join([x[1] for x in found])
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join(map(itemgetter(0), self._chunks(text))), "<u4").tolist()
+        return np.frombuffer(self.row(text)[1], "<u4").tolist()
 
     def decode(self, ids) -> str:
         """Tokens joined by a space (the vocabulary names no decoder); unknown ids are left out."""
         return " ".join(filter(None, map(self.token.get, ids)))
 
-    def row(self, text: str | None) -> tuple[int, bytes, str]:
-        found = self._chunks(text or "")
-        return (sum(map(itemgetter(2), found)), b"".join(map(itemgetter(0), found)),
-                " ".join(filter(None, map(itemgetter(1), found))))
-
 
 _loaded: dict[str, Vocabulary] = {}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,32 @@ from runlens.session import scratch_path, shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+class Memo(dict):
+    """A dictionary that computes what it lacks. It holds about ``limit`` bytes at most
+    (``each`` an entry beside its key) and starts anew when full; keys of more than 128
+    characters are computed every time, so no text without white space stays in a worker.
+    """
+
+    def __init__(self, make, limit: int, each: int):
+        super().__init__()
+        self.make, self.limit, self.each, self.size = make, limit, each, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        long = 8 if isinstance(key, int) else len(key)
+        if long <= 128:
+            if self.size > self.limit:
+                self.clear()
+                self.size = 0
+            self.size += self.each + long
+            self[key] = value
+        return value
+
+
+#: 64-bit hash of a word, remembered within 16 MB in each Python worker.
+word_hash = Memo(xxhash.xxh3_64_intdigest, 16 << 20, 180)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

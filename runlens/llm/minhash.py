@@ -32,17 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import cut
+from runlens.llm.common import cut, word_hash
 from runlens.llm.graph import components
 
 #: Bands of full minima, and bits kept of each minimum.
 BANDS, ROWS, BITS = 32, 5, 2
-#: Words whose hash a worker keeps.
-CACHE = 400_000
 
 _HASHES = BANDS * ROWS
 _RNG = np.random.default_rng(41)
@@ -52,25 +49,12 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Words(dict):
-    """Word to 64-bit hash, bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the text's word n-grams (A-Z lower-cased; a short text is one)."""
     found = (text or "").encode().lower().split()  # bytes: ASCII case and white space only
     if not found:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(word_hash.__getitem__, found), np.uint64, len(found))
     n = max(1, len(h) - words + 1)
     out = np.full(n, np.uint64(min(len(h), words)))
     for i in range(min(words, len(h))):

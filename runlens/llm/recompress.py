@@ -34,18 +34,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import cut, stored
+from runlens.llm.common import cut, stored, word_hash
 
 #: Words of a window; words on either side that may decide a border; words looked at in one step.
 WINDOW, REACH, STEP = 13, 3, 1 << 20
 #: Ids (8 bytes each) that may be broadcast to thin out the texts before their shuffle.
 BROADCAST_IDS = 2_000_000
-#: Words whose hash a worker keeps.
-CACHE = 400_000
 
 _U = np.uint64
 _P, _Q = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
@@ -57,25 +54,12 @@ _WINDOW = _RNG.integers(1, 2**63, WINDOW).astype(_U) | _U(1)
 _NONE = _U(2**64 - 1)
 
 
-class _Words(dict):
-    """Word to 64-bit hash, bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()  # ASCII white space only
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), _U, len(words))
+    return np.fromiter(map(word_hash.__getitem__, words), _U, len(words))
 
 
 def _name(a: np.ndarray, b) -> np.ndarray:
