@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.session import scratch_path, shared_dir
@@ -81,3 +81,11 @@ def join_weighted(rows: DataFrame, side: DataFrame, on: list[str], weight: str,
     light = side.where(F.col(weight) < least)
     rest = rows.join(heavy.select(*on), on, "left_anti")
     return rows.join(heavy, on).unionByName(rest.join(light, on))
+
+
+def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int, parts: int = 256) -> DataFrame:
+    """The first ``n`` rows of each group with their place ``_n``: first of each ``parts``-th of
+    a group, dealt by hash, then of what is left, so no task sorts a whole group."""
+    dealt = df.withColumn("_deal", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    some = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_deal").orderBy(*order))).where(F.col("_n") <= n)
+    return some.drop("_deal").withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.llm.common import first_rows
+
 #: Labelled documents per language that the filters learn from.
 PER_LANG = 2_000
 #: Least share of a language's trigrams, and of the trigram's largest share in any language.
@@ -38,7 +40,9 @@ POSITIONS, HASHES = 1 << 20, 4
 #: Characters looked at in one numpy step; bounds memory on long texts.
 STEP = 1 << 20
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters nor decimal digits: superscripts, fractions, numerals.
+_NUMERALS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -95,10 +99,9 @@ class Filters:
 def learn(train: DataFrame) -> Filters:
     """Filters from the rows of ``train`` (doc_id, text, lang) that have a language and text."""
     train = train.where("lang IS NOT NULL AND text IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (train.select("doc_id", "lang").withColumn("_n", F.row_number().over(order))
-              .where(F.col("_n") <= PER_LANG).select("doc_id", "lang").distinct())
-    sample = train.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"])
+    picked = first_rows(train.select("doc_id", "lang"), ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], PER_LANG)
+    # PER_LANG ids a language, the same bound as the filters': texts aren't shuffled
+    sample = train.select("doc_id", "lang", "text").join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

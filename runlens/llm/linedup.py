@@ -309,7 +309,7 @@ def without_repeats(docs: DataFrame, index: LineIndex, copies: int = 3) -> DataF
     """``docs`` with ``text`` reduced to the lines that stay, ``n_lines`` before and ``n_dropped``.
 
     A line is dropped if its key is in ``copies`` documents of the index or more, save in
-    the one with the largest id.
+    the one with the largest id. Rows that the index doesn't hold keep all lines.
     """
     least = index.least
     lost = index.dropped(copies).groupBy("doc_id", "part").agg(F.collect_set("key").alias("_lost"))

@@ -27,10 +27,10 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import join_weighted, stored
+from runlens.llm.common import first_rows, join_weighted, stored
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _BREAK = b"."
@@ -300,11 +300,6 @@ def collocations(docs: DataFrame, support: int = 10, swallow: int = 50, limit: i
     kept = best.join(longer, ["lang", "phrase"], "left").where(
         F.coalesce(100 * F.col("outer") < swallow * F.col("a"), F.lit(True))).drop("outer")
 
-    # two levels, so that no task sorts a whole language
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(256)).alias("part")
-    some = kept.select("*", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
-    some = some.where(F.col("rank") <= limit).drop("part")
-    top = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
-    return (top.where(F.col("rank") <= limit).join(sizes, "lang")
+    top = first_rows(kept, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], limit)
+    return (top.withColumn("rank", F.col("_n").cast("long")).join(sizes, "lang")
             .select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))

@@ -123,6 +123,43 @@ ORACLE = {
                vec_id, score
         FROM scored
         QUALIFY rank <= 5""",
+    "op12_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        words AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces),
+        places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS p FROM words),
+        grams AS (
+            SELECT lang, 1 AS k, ws[p] AS phrase FROM places
+            UNION ALL SELECT lang, 2, ws[p] || ' ' || ws[p + 1] FROM places WHERE p + 1 <= len(ws)
+            UNION ALL SELECT lang, 3, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] FROM places WHERE p + 2 <= len(ws)),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+        sizes AS (SELECT lang, sum(len(ws)) AS n FROM words GROUP BY lang),
+        split AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        cuts AS (
+            SELECT lang, k, phrase, a, 1 AS cut, w[1] AS head, array_to_string(w[2:], ' ') AS rest FROM split
+            UNION ALL SELECT lang, k, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM split WHERE k = 3),
+        scored AS (
+            SELECT c.lang, c.k, c.phrase, c.a, c.cut, l.f AS l, r.f AS r,
+                   CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+            FROM cuts AS c JOIN f AS l ON l.lang = c.lang AND l.phrase = c.head
+                           JOIN f AS r ON r.lang = c.lang AND r.phrase = c.rest),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        outer_f AS (
+            SELECT lang, phrase, max(a) AS longer FROM (
+                SELECT lang, a, w[1] || ' ' || w[2] AS phrase FROM split WHERE k = 3
+                UNION ALL SELECT lang, a, w[2] || ' ' || w[3] FROM split WHERE k = 3)
+            GROUP BY lang, phrase),
+        kept AS (
+            SELECT b.* FROM best AS b LEFT JOIN outer_f AS o ON o.lang = b.lang AND o.phrase = b.phrase
+            WHERE o.longer IS NULL OR 100 * o.longer < 50 * b.a)
+        SELECT x.lang, row_number() OVER (PARTITION BY x.lang ORDER BY x.score DESC, x.a DESC, encode(x.phrase)) AS rank,
+               x.phrase, x.a, x.l, x.r, CAST(s.n AS BIGINT) AS n, x.score
+        FROM kept AS x JOIN sizes AS s ON s.lang = x.lang
+        QUALIFY rank <= 2000""",
     "op13_linedup": """
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -4,7 +4,7 @@ Each word of a clause has a class: insult or threat (with a weight), target,
 negation, reporting word, or other. Four small weighted transducers read the
 classes: negation damps the few words after it, a reporting word damps the rest
 of its clause, an address to a target strengthens an insult and is what makes a
-threat count, and the insult transducer passes the weights. They are composed
+threat count (one before it, or one that waits a few words for it), and the insult transducer passes the weights. They are composed
 into one machine whose arcs carry the product of the weights; it runs once over
 every clause that holds an insult or a threat. The clauses' weights, not single
 words, make up a document's features, and a logistic curve maps these to 0..1.
@@ -32,20 +32,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import cut
+from runlens.llm.common import cut, first_rows
 
 #: Labelled documents per label value to learn the curve from.
 PER_CLASS = 6_000
 #: A learned word needs this many toxic documents, log odds and deviation in standard errors.
 LEAST_DOCS, LEAST_ODDS, LEAST_Z = 4, 2.0, 5.0
+#: Words of the model at most; beyond that the most significant ones are its lexicon.
+LEXICON = 50_000
 
+#: Weight of a threat that meets its target.
+THREAT = 2.0
 TARGETS = frozenset("you your yours u ya yall du dich dir dein deine ihr euch tu toi te vos votre vous tú ti usted ustedes vosotros".split())
 NEGATIONS = frozenset("not no never neither nor isnt arent dont cannot nicht kein keine nie ne pas jamais aucun nunca ni tampoco".split())
 REPORTS = frozenset("said says say called calls wrote writes quote quoted reported claimed sagte sagt nannte schrieb dit dits appelé écrit dijo dice llamó escribió".split())
-THREATS = dict.fromkeys("kill hurt destroy murder stab shoot strangle umbringen töten verletzen tuer frapper matar herir".split(), 2.0)
+THREATS = dict.fromkeys("kill hurt destroy murder stab shoot strangle umbringen töten verletzen tuer frapper matar herir".split(), THREAT)
 
 _CLAUSE = re.compile(r"[.!?;:|\n]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -69,27 +73,35 @@ class Transducer:
 def negation(span: int = 3, damp: float = 0.25) -> Transducer:
     """The ``span`` words after a negation are in its scope."""
     arcs = {(s, "neg"): (span, "other", 1.0) for s in range(span + 1)}
-    arcs |= {(s, k): (s - 1, k, damp) for s in range(1, span + 1) for k in ("insult", "threat")}
+    arcs |= {(s, k): (s - 1, k, damp) for s in range(1, span + 1) for k in ("insult", "paid")}
     return Transducer(arcs, {s: s - 1 for s in range(1, span + 1)})
 
 
 def reported(damp: float = 0.5) -> Transducer:
     """All after a reporting word is someone else's."""
     return Transducer({(0, "report"): (1, "other", 1.0), (1, "report"): (1, "other", 1.0),
-                       (1, "insult"): (1, "insult", damp), (1, "threat"): (1, "threat", damp)})
+                       (1, "insult"): (1, "insult", damp), (1, "paid"): (1, "paid", damp)})
 
 
 def target(boost: float = 1.5) -> Transducer:
     """States: 0 nothing, 1 insult, 2 target, 3 both; an address raises the clause, whichever comes first."""
     arcs = {(0, "target"): (2, "other", 1.0), (1, "target"): (3, "other", 1.0),
             (0, "insult"): (1, "insult", 1.0), (2, "insult"): (3, "insult", 1.0)}
+    arcs |= {(s, "paid"): (3, "paid", 1.0) for s in range(4)}
     return Transducer(arcs, final={3: boost})
 
 
-def threat() -> Transducer:
-    """A threat counts after a target or before one; otherwise it weighs nothing."""
-    return Transducer({(0, "target"): (1, "target", 1.0), (0, "threat"): (0, "other", 0.0),
-                       (1, "threat"): (1, "insult", 1.0)})
+def threat(span: int = 3) -> Transducer:
+    """A threat counts after a target ("you ... kill"), or with a target up to ``span`` words
+    after it ("kill all of you"): it waits, and the target pays for it; else it weighs nothing.
+
+    States: 0 nothing, 1 target, 2 and up a waiting threat and the words it may still pass.
+    """
+    waits = range(2, 2 + span)
+    arcs = {(0, "target"): (1, "target", 1.0), (1, "threat"): (1, "insult", 1.0)}
+    arcs |= {(s, "threat"): (1 + span, "other", 1.0) for s in (0, *waits)}
+    arcs |= {(s, "target"): (1, "paid", 1.0) for s in waits}
+    return Transducer(arcs, {s: s - 1 if s > 2 else 0 for s in waits})
 
 
 def compose(a: Transducer, b: Transducer, symbols: list[str]) -> Transducer:
@@ -144,6 +156,8 @@ class Scorer:
             state, out, factor = self.machine.step(state, self._symbol(w))
             if out == "insult":
                 total += factor * self.weight[w]
+            elif out == "paid":
+                total += factor * THREAT
         return total * self.machine.final.get(state, 1.0)
 
     def features(self, text: str | None) -> tuple[float, float, float]:
@@ -218,8 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     marked = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
               .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
     marked = marked.join(docs.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = marked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= PER_CLASS).drop("_n")
+    picked = first_rows(marked, ["toxic"], [F.xxhash64("doc_id"), F.col("doc_id")], PER_CLASS).drop("_n")
     totals = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if set(totals) != {0, 1}:
         return Scorer({})
@@ -233,9 +246,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Scorer:
     if every:
         n1, n = every.n1, every.n
         expected, odds = F.col("n") * (n1 / n), F.log((F.col("n1") + 0.5) / (n1 + 1) / ((F.col("n") - F.col("n1") + 0.5) / (n - n1 + 1)))
-        passed = counts.where(F.col("word") != "").withColumn("odds", odds).where(
-            (F.col("odds") >= LEAST_ODDS) & ((F.col("n1") - expected) / F.sqrt(expected) >= LEAST_Z))
-        insults = {r.word: min(r.odds, 6.0) for r in passed.select("word", "odds").collect()}
+        passed = counts.where(F.col("word") != "").withColumn("odds", odds).withColumn("z", (F.col("n1") - expected) / F.sqrt(expected)).where(
+            (F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z))
+        best = passed.orderBy(F.desc("z"), "word").limit(LEXICON)
+        insults = {r.word: min(r.odds, 6.0) for r in best.select("word", "odds").collect()}
     scorer = Scorer(insults)
     shared = spark.sparkContext.broadcast(scorer)  # the words that passed
     sample = texts.where(fit).join(F.broadcast(picked.where(fit)), "doc_id")  # ids, 2 * PER_CLASS at most

@@ -38,3 +38,10 @@ def test_bit_slices_equal_brute_force():
         i = f.langs.index(lang)
         mask = np.bitwise_and.reduce([f.masks[p, i // 8] for p in langid.positions(h)])
         assert (mask >> np.uint8(i % 8) & 1).all()
+
+
+def test_numerals_are_no_letters(spark, tables):
+    f = langid.learn(tables("documents").where("lang IS NOT NULL"))
+    for text in ("² ½", "①②", "Ⅷ 12", "_ - 3", "", None):
+        assert f.predict(text) == ("und", 0.0)
+    assert f.predict("été à l'école")[0] != "und"

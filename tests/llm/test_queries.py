@@ -15,16 +15,19 @@ COLUMNS = {
     "op7_langid": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op9_recompression": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op11_merkle": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean, source string",
+    "op12_phrases": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op13_linedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
     "op10_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
 }
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(se.queries())
 
 
-@pytest.mark.parametrize("name", ["op1_bpe", "op4_vafile", "op7_langid", "op8_toxicity"])
+@pytest.mark.parametrize("name", ["op1_bpe", "op4_vafile", "op7_langid", "op8_toxicity", "op11_merkle", "op12_phrases", "op13_linedup"])
 def test_columns(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) == COLUMNS[name]

@@ -25,10 +25,48 @@ def test_clauses():
     assert 0 < s.clause("not an idiot".split()) < plain
     assert s.clause("not here but over there an idiot".split()) == plain
     assert 0 < s.clause("he said idiot".split()) < plain
-    assert s.clause("kill the process".split()) == 0 < s.clause("i will kill you".split()) + s.clause("you i will kill".split())
+    assert s.clause("kill the process".split()) == s.clause("kill the process now or you wait".split()) == 0
+    for said in ("i will kill you", "kill you", "you will kill", "kill all of you"):
+        assert s.clause(said.split()) > 0
+    assert 0 < s.clause("i will not kill you".split()) < s.clause("i will kill you".split())
+    assert 0 < s.clause("he said i will kill you".split()) < s.clause("i will kill you".split())
     assert s.clause([]) == 0
 
 
+def plain(words, insults):
+    """A clause's weight by scanning it once for each rule, without any machine."""
+    total, hit, addressed = 0.0, False, False
+    neg = [i for i, w in enumerate(words) if w in tx.NEGATIONS]
+    told = min((i for i, w in enumerate(words) if w in tx.REPORTS), default=len(words))
+
+    def damped(i):
+        return (0.25 if any(j < i <= j + 3 for j in neg) else 1.0) * (0.5 if i > told else 1.0)
+
+    spent = -1
+    for i, w in enumerate(words):
+        target_before = any(x in tx.TARGETS for x in words[:i])
+        if w in insults:
+            total, hit = total + insults[w] * damped(i), True
+        elif w in tx.THREATS and target_before:
+            total, hit = total + tx.THREAT * damped(i), True
+        elif w in tx.TARGETS:
+            addressed = True
+            waiting = [j for j in range(max(spent + 1, i - 3), i) if words[j] in tx.THREATS and not any(x in tx.TARGETS for x in words[:j])]
+            if waiting and spent < 0:
+                total, hit, spent = total + tx.THREAT * damped(i), True, i
+    return total * (1.5 if hit and addressed else 1.0)
+
+
+def test_clauses_against_plain_rules():
+    rng = np.random.default_rng(5)
+    insults = {"idiot": 4.0, "grob": 2.5}
+    s = tx.Scorer(insults)
+    pool = ["idiot", "grob", "kill", "you", "not", "said", "x", "y", "z", "hurt"]
+    for _ in range(3000):
+        words = list(rng.choice(pool, rng.integers(0, 9)))
+        assert np.isclose(s.clause(words), plain(words, insults)), words
+
+
 def test_composition_equals_cascade():
     rng = np.random.default_rng(2)
     parts = [tx.threat(), tx.negation(), tx.reported(), tx.target()]
