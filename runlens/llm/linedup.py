@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm.common import join_weighted
+from runlens.llm.common import join_weighted, shuffles_freed
 from runlens.session import path_exists, scratch_path
 
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -179,7 +179,8 @@ class LineIndex:
 
     def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.path}/{name}-{self.step + 1}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         return path
 
     def _finish(self) -> None:
