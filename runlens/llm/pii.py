@@ -60,34 +60,59 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(matches: Column, gaps: Column) -> Column:
-    """(start, end, value) of each match, from the matches and the text between them."""
+#: Matches that are placed in one go; see ``_placed``.
+BLOCK = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _placed(kind: str, matches: Column, gaps: Column) -> Column:
+    """(kind, start, end, value) of each valid match, from the matches and the text between them.
+
+    Lengths are summed within blocks of matches, then over blocks, and only valid matches are
+    kept on the way: a text that is one long table of numbers takes time in proportion to its length.
+    """
     n = lambda x: F.length(x).cast("long")
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    span = "struct<kind:string,start:bigint,end:bigint,value:string>"
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + n(x["gap"])
         end = start + n(x["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        found = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value")))
+        return F.struct(end.alias("at"), F.when(_valid(kind, x["value"]), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+
+    def blocks(pairs: Column) -> Column:
+        nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("out"))
+        last = F.floor((F.size(pairs) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)), nothing, add))
+
+    def joined(parts: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        starts = F.aggregate(parts, zero, lambda acc, x: F.struct(
+            (acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        moved = F.zip_with(parts, starts, lambda x, by: F.transform(x["out"], lambda s: F.struct(
+            s["kind"].alias("kind"), (s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"))))
+        return F.flatten(moved)
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+    return _bound(_bound(pairs, blocks), joined)
 
 
 def with_base(docs: DataFrame) -> DataFrame:
     """``docs`` (text) with ``base``: array of (kind, start, end, value), by kind as listed, then start."""
     text = text_of()
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
     out = docs
     for kind, pattern in PATTERNS.items():
         hint = text.contains(_HINT[kind]) if kind in _HINT else text.rlike("[0-9]")
         out = out.withColumn(f"_m_{kind}", F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+
     def spans_of(kind: str) -> Column:
         m = F.col(f"_m_{kind}")
-        spans = F.when(F.size(m) > 0, _placed(m, F.split(text, PATTERNS[kind], -1))).otherwise(none)
-        return F.transform(F.filter(spans, lambda s: _valid(kind, s["value"])), lambda s: F.struct(
-            F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        return F.when(F.size(m) > 0, _placed(kind, m, F.split(text, PATTERNS[kind], -1))).otherwise(none)
 
     return out.withColumn("base", F.concat(*map(spans_of, PATTERNS))).drop(*[f"_m_{k}" for k in PATTERNS])
 
@@ -163,7 +188,7 @@ def _term_spans(text: Column, terms: Column) -> Column:
     """(kind, start, end, value) of each whole-word occurrence of ``terms``."""
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
     m = F.regexp_extract_all(text, pattern, F.lit(0))
-    return F.transform(_placed(m, F.split(text, pattern, -1)), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    return F.when(F.size(m) > 0, _placed("term", m, F.split(text, pattern, -1)))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:

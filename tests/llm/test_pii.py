@@ -106,3 +106,17 @@ def test_terms_far_from_the_entity(spark):
     by = check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
     for i, t in rows:
         assert [tuple(map(int, s.split(":")[1:])) for s in by[i].spans.split(",") if s.startswith("term")] == [m.span() for m in re.finditer("Quentyn", t)], i
+
+
+def test_a_long_table_of_numbers_takes_seconds(spark):
+    """1 MB of two-digit numbers with a card and an address far inside."""
+    import time
+
+    text = "12 a " * 100_000 + "4111 1111 1111 1111 x " + "7 b 34 " * 60_000 + " me@host.org " + " ".join(f"u{i}@h.org" for i in range(3000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    t = time.time()
+    got = pii.with_base(docs).select("base").first().base
+    assert time.time() - t < 30
+    assert [(s.kind, text[s.start:s.end]) for s in got if s.kind == "card"] == [("card", "4111 1111 1111 1111")]
+    assert [text[s.start:s.end] for s in got if s.kind == "email"] == ["me@host.org"] + [f"u{i}@h.org" for i in range(3000)]
+    assert all(text[s.start:s.end] == s.value for s in got)
