@@ -6,6 +6,7 @@ run inside whole-stage codegen over whole texts.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 from html.entities import html5
@@ -128,9 +129,11 @@ def score_extract(c: Column | str) -> Column:
 
 # Character references decoded in titles: all names of the HTML standard (the
 # standard library's table; some are valid without the semicolon), the longest
-# that fits, and numeric references of any length.
-_NAMES = "|".join(re.escape(n) for n in sorted(html5, key=lambda n: (-len(n), n)))
-HTML_ENTITY = rf"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|(?:{_NAMES}))"
+# that fits, and numeric references of any length. The pattern only takes what may be a
+# name; a look-up by first letter tells whether it is, or begins with, one.
+HTML_ENTITY = rf"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{1,{max(map(len, html5)) - 2}}};?)"
+_OPEN = [n for n in html5 if not n.endswith(";")]  # valid without the semicolon
+_OPEN_LENGTHS = range(max(map(len, _OPEN)), min(map(len, _OPEN)) - 1, -1)
 REPLACEMENT_CHAR = 0xFFFD
 # Numeric references 0x80-0x9F name Windows-1252 characters (HTML parsing rules).
 WINDOWS_1252 = {
@@ -160,19 +163,31 @@ def _entity_text(e: Column) -> Column:
     # more digits than any code point has: out of range
     n = F.when(digits == "", F.lit("0")).when(F.length(digits) > 8, F.lit(str(0x110000))) \
          .when(is_hex, F.conv(digits, 16, 10)).otherwise(digits)
-    named = F.create_map(*[F.lit(x) for kv in html5.items() for x in kv])
+    # the longest name: all of it, or as much of its beginning as is valid without a semicolon
+    found = [F.try_element_at(_names(html5, e), e)]
+    found += [F.concat(F.try_element_at(_names(_OPEN, e), F.substring(e, 1, k)), F.substring(e, k + 1, F.length(e)))
+              for k in _OPEN_LENGTHS]
     return (F.when(F.startswith(e, F.lit("#")), _code_point_text(n.cast("long")))
-            .otherwise(F.try_element_at(named, e)))
+            .otherwise(F.coalesce(*found, F.concat(F.lit("&"), e))))
+
+
+def _names(names, e: Column) -> Column:
+    """Name -> characters, of the names with the first letter of ``e``: a literal, parsed when the query is planned."""
+    table: dict[str, dict[str, str]] = {}
+    for name in names:
+        table.setdefault(name[0], {})[name] = html5[name]
+    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,map<string,string>>"), F.substring(e, 1, 1))
 
 
 def decode_entities(c: Column | str) -> Column:
     """Decode character references in one pass (``&amp;#38;`` gives ``&#38;``):
     split the text at each reference, decode the references, interleave."""
-    c = col(c)
+    text = col(c)
+    c = F.when(F.contains(text, F.lit("&")), text)
     parts = F.split(c, HTML_ENTITY)
     decoded = F.transform(F.regexp_extract_all(c, F.lit(HTML_ENTITY), 1), _entity_text)
     tail = F.concat(decoded, F.array(F.lit("")))
-    return F.array_join(F.zip_with(parts, tail, lambda p, d: F.concat(p, d)), "")
+    return F.coalesce(F.array_join(F.zip_with(parts, tail, lambda p, d: F.concat(p, d)), ""), text)
 
 
 def page_title(html: Column | str) -> Column:

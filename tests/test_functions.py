@@ -154,3 +154,15 @@ def test_time_helpers(spark):
     r = df.select(duration_ms("a", "b"), duration_ms("a", "b", fractional=True),
                   iso_text("a"), iso_date("a")).first()
     assert tuple(r) == (1000, 1000.499, "2024-01-01T00:00:07.179Z", "2024-01-01")
+
+
+def test_every_character_name_with_and_without_semicolon(spark):
+    """The standard library's own decoder is the reference, over all names and what may follow them."""
+    import html
+    from html.entities import html5
+    from runlens.functions.text import decode_entities
+
+    texts = [f"a&{n}{tail}b" for n in html5 for tail in ("", "x", ";", " ", "&lt")]
+    texts += ["&", "&&amp;&", "&nosuch;", "&n", "&notit;", "&notin;", "&ampamp;", "&AMP&GT", "&" + "q" * 80 + ";", "no reference", "", "&#38;#38;"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", decode_entities("t").alias("d")).collect()
+    assert [(r.t, r.d) for r in got if r.d != html.unescape(r.t)] == []
