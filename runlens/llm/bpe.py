@@ -9,8 +9,8 @@ would have crossed their border). Back-pointers from the end of the piece give
 the ids. No merge loop runs and the work is linear in the piece.
 
 Pieces never cross white space. Each piece's result is kept in a dictionary of the
-Python worker that holds a bounded number of bytes; pieces of more than 128 characters
-aren't kept. Each row is encoded on its own: no shuffle, no state between tasks.
+Python worker that holds a bounded number of bytes and is emptied when the task ends;
+pieces of more than 128 characters aren't kept. Each row is encoded on its own: no shuffle, no state between tasks.
 
 Defined cases: null or empty text gives no ids and an empty decoded text; the
 special strings of the vocabulary inside a text become their ids; rows with
@@ -39,7 +39,7 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 _SPLIT = re.compile(f"[{_SPACE}]+")
 _NEVER = 1 << 30
 #: Bytes that a worker's dictionaries of pieces and of token pairs may hold.
-PIECE_BYTES, PAIR_BYTES = 96 << 20, 12 << 20
+PIECE_BYTES, PAIR_BYTES = 80 << 20, 12 << 20
 
 
 def byte_symbols() -> dict[int, str]:
@@ -154,25 +154,36 @@ class Vocabulary:
             out += (self.pieces_latin if latin else self.pieces)(chunk)
         return out
 
-    def row(self, text: str | None) -> tuple[int, bytes, str]:
-        """(number of ids, the ids as little-endian 32-bit integers, the decoded text)."""
+    def _found(self, text: str | None) -> list[tuple[bytes, str]]:
+        """(ids, decoded text) of every piece and special string."""
         found: list[tuple[bytes, str]] = []
         for part in self.specials.split(text or "") if "<" in (text or "") else [text or ""]:
             if part in self.special:
                 found.append((array("I", [self.special[part]]).tobytes(), part))
             elif part:
                 found += map(self.piece.__getitem__, self._split(part))
+        return found
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids as little-endian 32-bit integers."""
+        return b"".join([x[0] for x in self._found(text)])
+
+    def row(self, text: str | None) -> tuple[int, bytes, str]:
+        """(number of ids, the ids as little-endian 32-bit integers, the decoded text)."""
+        found = self._found(text)
         ids = b"".join([x[0] for x in found])
         return len(ids) // 4, ids, " ".join([x[1] for x in found])
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.row(text)[1], "<u4").tolist()
+        return np.frombuffer(self.ids(text), "<u4").tolist()
 
     def decode(self, ids) -> str:
         """Tokens joined by a space (the vocabulary names no decoder); unknown ids are left out."""
         return " ".join(filter(None, map(self.token.get, ids)))
 
 
+#: Texts that are encoded before their rows are sent on.
+ROWS = 512
 _loaded: dict[str, Vocabulary] = {}
 
 
@@ -195,10 +206,14 @@ def _mapped(df: DataFrame, vocab_file: str, column: str, keep: list[str], fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
-        for b in batches:
-            rows = [make(v, x) for x in b.column(len(keep)).to_pylist()]
-            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays(b.columns[: len(keep)] + cols, keep + names)
+        try:
+            for whole in batches:
+                for b in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
+                    rows = [make(v, x) for x in b.column(len(keep)).to_pylist()]
+                    cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow)]
+                    yield pa.RecordBatch.from_arrays(b.columns[: len(keep)] + cols, keep + names)
+        finally:  # the worker may serve other stages next
+            v.piece.forget()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), fields])
     return df.select(*keep, column).mapInArrow(run, schema)
@@ -217,8 +232,8 @@ def digests(docs: DataFrame, vocab_file: str, keep: list[str] | None = None) ->
 def encode(docs: DataFrame, vocab_file: str, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns, n_tokens and ids of the whole text."""
     def make(v: Vocabulary, text: str | None):
-        n, ids, _ = v.row(text)
-        return n, np.frombuffer(ids, "<i4")
+        ids = np.frombuffer(v.ids(text), "<i4")
+        return len(ids), ids
 
     return _mapped(docs, vocab_file, "text", keep or ["doc_id"], "n_tokens long, ids array<int>", make)
 

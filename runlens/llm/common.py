@@ -30,12 +30,15 @@ class Memo(dict):
         long = 8 if isinstance(key, int) else len(key)
         if long <= 128:
             if self.size > self.limit:
-                self.clear()
-                self.size = 0
+                self.forget()
             self.size += self.each + long
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.size = 0
+
 
 #: 64-bit hash of a word, remembered within 16 MB in each Python worker.
 word_hash = Memo(xxhash.xxh3_64_intdigest, 16 << 20, 180)

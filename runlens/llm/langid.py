@@ -39,6 +39,8 @@ MIN_SHARE, OWN = 1e-4, 0.1
 POSITIONS, HASHES = 1 << 20, 4
 #: Characters looked at in one numpy step; bounds memory on long texts.
 STEP = 1 << 20
+#: Texts that are looked at before their rows are sent on.
+ROWS = 512
 
 #: Word characters that are neither letters nor decimal digits: superscripts, fractions, numerals.
 _NUMERALS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
@@ -127,10 +129,11 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
-        for b in batches:
-            got = [f.predict(t) for t in b.column(len(keep)).to_pylist()]
-            cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + cols, [*keep, "lang_pred", "score"])
+        for whole in batches:
+            for b in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
+                got = [f.predict(t) for t in b.column(len(keep)).to_pylist()]
+                cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays(b.columns[:-1] + cols, [*keep, "lang_pred", "score"])
 
     given = docs.select(*keep, F.col("text").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
