@@ -132,8 +132,9 @@ def score_extract(c: Column | str) -> Column:
 # that fits, and numeric references of any length. The pattern only takes what may be a
 # name; a look-up by first letter tells whether it is, or begins with, one.
 HTML_ENTITY = rf"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{{1,{max(map(len, html5)) - 2}}};?)"
-_OPEN = [n for n in html5 if not n.endswith(";")]  # valid without the semicolon
-_OPEN_LENGTHS = range(max(map(len, _OPEN)), min(map(len, _OPEN)) - 1, -1)
+_NAMES = json.dumps({a: {n: c for n, c in html5.items() if n[0] == a} for a in sorted({n[0] for n in html5})})
+_open = [len(n) for n in html5 if not n.endswith(";")]  # valid without the semicolon
+_OPEN_LENGTHS = range(max(_open), min(_open) - 1, -1)
 REPLACEMENT_CHAR = 0xFFFD
 # Numeric references 0x80-0x9F name Windows-1252 characters (HTML parsing rules).
 WINDOWS_1252 = {
@@ -163,20 +164,16 @@ def _entity_text(e: Column) -> Column:
     # more digits than any code point has: out of range
     n = F.when(digits == "", F.lit("0")).when(F.length(digits) > 8, F.lit(str(0x110000))) \
          .when(is_hex, F.conv(digits, 16, 10)).otherwise(digits)
-    # the longest name: all of it, or as much of its beginning as is valid without a semicolon
-    found = [F.try_element_at(_names(html5, e), e)]
-    found += [F.concat(F.try_element_at(_names(_OPEN, e), F.substring(e, 1, k)), F.substring(e, k + 1, F.length(e)))
-              for k in _OPEN_LENGTHS]
+    def name(known: Column) -> Column:
+        # the longest: all of it, or as much of its beginning as is valid without a semicolon
+        found = [F.try_element_at(known, e)]
+        found += [F.concat(F.try_element_at(known, F.substring(e, 1, k)), F.substring(e, k + 1, F.length(e))) for k in _OPEN_LENGTHS]
+        return F.coalesce(*found, F.concat(F.lit("&"), e))
+
+    # first letter -> name -> characters: one literal, parsed when the query is planned
+    known = F.try_element_at(F.from_json(F.lit(_NAMES), "map<string,map<string,string>>"), F.substring(e, 1, 1))
     return (F.when(F.startswith(e, F.lit("#")), _code_point_text(n.cast("long")))
-            .otherwise(F.coalesce(*found, F.concat(F.lit("&"), e))))
-
-
-def _names(names, e: Column) -> Column:
-    """Name -> characters, of the names with the first letter of ``e``: a literal, parsed when the query is planned."""
-    table: dict[str, dict[str, str]] = {}
-    for name in names:
-        table.setdefault(name[0], {})[name] = html5[name]
-    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,map<string,string>>"), F.substring(e, 1, 1))
+            .otherwise(F.transform(F.array(known), name)[0]))
 
 
 def decode_entities(c: Column | str) -> Column:
