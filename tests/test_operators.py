@@ -285,3 +285,12 @@ def test_approx_quantiles_close_to_exact(spark):
     for r in group_quantiles(df, ["k"], "v", probs, method="approx").collect():
         # percentile_approx returns an actual value whose rank is within n / accuracy
         assert abs(exact[r["k"]]["p50"] - r["p50"]) <= 3 and abs(exact[r["k"]]["p95"] - r["p95"]) <= 3
+
+
+def test_a_repeated_dimension_key_keeps_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "z")], "id int, k string")
+    dim = spark.createDataFrame([("a", 5, 1), ("a", 3, 9), ("a", 4, 9), ("b", None, 2), (None, 7, 1)], "k string, v int, at int")
+    last = lookup_default(rows, dim, "k", "v", -1, order="at")
+    assert sorted(map(tuple, last.select("id", "v").collect())) == [(1, 4), (2, -1), (3, -1), (4, -1)]
+    largest = lookup_default(rows, dim, "k", "v", -1)
+    assert sorted(map(tuple, largest.select("id", "v").collect())) == [(1, 5), (2, -1), (3, -1), (4, -1)]
