@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import WORD, cut
+from runlens.llm.common import WORD, cut, shuffle_parts
 from runlens.operators.order import with_position
 
 #: Words of a block, slots of an output shard, documents of a packing bucket.
@@ -124,7 +124,9 @@ def taken_blocks(sources: DataFrame) -> DataFrame:
                 block, n = np.unique(at, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), sid)), pa.array(block), pa.array(n)], ["sid", "block", "times"])
 
-    slots = draws(sources).repartition("sid", "shard").mapInArrow(run, "sid long, block long, times long")
+    # rows that name up to SHARD_SLOTS slots each are too small for AQE to see their work: a fixed number of tasks
+    drawn = draws(sources).repartition(shuffle_parts(sources.sparkSession), "sid", "shard")
+    slots = drawn.mapInArrow(run, "sid long, block long, times long")
     return slots.groupBy("sid", "block").agg(F.sum("times").alias("times"))
 
 
