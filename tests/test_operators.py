@@ -85,7 +85,7 @@ def test_quantiles_exact_under_skew(spark):
            [(f"k{i % 50}", float(rnd.randint(0, 1000))) for i in range(12000)] + [("none", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(16)
     probs = {"p50": 0.5, "p95": 0.95, "p0": 0.0, "p100": 1.0}
-    a = sorted(tuple(r) for r in group_quantiles(df, ["k"], "v", probs, num_partitions=12).collect())
+    a = sorted(tuple(r) for r in group_quantiles(df, ["k"], "v", probs).collect())
     b = sorted(tuple(r) for r in df.where("v IS NOT NULL").groupBy("k").agg(
         *[F.percentile("v", p).alias(n) for n, p in probs.items()]).collect())
     assert len(a) == 51
@@ -94,15 +94,54 @@ def test_quantiles_exact_under_skew(spark):
 
 
 def test_equal_values_do_not_meet_in_one_task(spark):
-    """90 % equal values in one group: what is ranked is a row per value, and no
-    range holds most of these rows."""
-    from runlens.operators.order import _PID, range_sorted
+    """90 % equal values in one group: nothing is range-sorted, and a task sends a row per cell."""
+    from runlens.operators.quantiles import _V, _cells, _log_cell
     df = spark.range(400_000).select(F.lit("p").alias("k"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(0).cast("double").alias("v"))
-    counted = df.groupBy("k", "v").agg(F.count("*").alias("n"))
-    sizes = [r["count"] for r in range_sorted(counted, [F.col("k"), F.col("v")], 8).groupBy(_PID).count().collect()]
-    assert sum(sizes) == 40_000 and max(sizes) < 0.3 * sum(sizes)
-    assert tuple(group_quantiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}, num_partitions=8).first()[1:]) == \
-        tuple(df.agg(F.percentile("v", 0.5), F.percentile("v", 0.95)).first())
+    cells = _cells(df.withColumnRenamed("v", _V), ["k"], _log_cell(F.col(_V)))
+    assert cells.count() < 25_000  # of 40,000 distinct values: from 4,096 up, several share a cell
+    out = group_quantiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    assert tuple(out.first()[1:]) == tuple(df.agg(F.percentile("v", 0.5), F.percentile("v", 0.95)).first())
+
+
+def test_quantiles_of_every_kind_of_double(spark, monkeypatch):
+    """Signs, zeros, infinities, NaN, subnormal and neighbouring values; a null key; broadcast and shuffled."""
+    import math
+
+    from runlens.operators import quantiles
+    rnd = random.Random(29)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e-310, 1.7976931348623157e308, -1.7976931348623157e308, 1e-13, 2e-13]
+    near = [1000.0]
+    for _ in range(300):
+        near.append(math.nextafter(near[-1], math.inf))
+    wide = [rnd.choice([-1, 1]) * 10 ** rnd.uniform(-300, 300) for _ in range(700)] + odd * 3
+    inf = [math.inf, -math.inf, math.nan, 1.0, 2.0, 3.0, math.nan]
+    rows = [("near", v) for v in near] + [("wide", v) for v in wide] + [("inf", v) for v in inf] + \
+           [(None, float(i)) for i in range(10)] + [("one", 7.5), ("none", None)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    # each rank of 51 is hit exactly or between two neighbours
+    probs = {f"p{i}": i / 50 for i in range(51)}
+    order = lambda v: (math.isnan(v), v)
+    for limit in (quantiles.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(quantiles, "BROADCAST_BYTES", limit)
+        got = {r["k"]: r for r in quantiles.value_stats(df, ["k"], "v", probs, sums={"n": F.lit(1)}).collect()}
+        assert set(got) == {"near", "wide", "inf", None, "one", "none"}
+        assert got["none"]["n"] == 1 and got["none"]["p25"] is None
+        for k in ("near", "wide", "inf", None, "one"):
+            vals = sorted((v for kk, v in rows if kk == k and v is not None), key=order)
+            for name, p in probs.items():
+                at = (len(vals) - 1) * p
+                lo, hi = vals[math.floor(at)], vals[math.ceil(at)]
+                want = lo if lo == hi or (math.isnan(lo) and math.isnan(hi)) else lo + (hi - lo) * (at - math.floor(at))
+                g = got[k][name]
+                assert (math.isnan(g) and math.isnan(want)) or g == want, (k, name, g, want)
+
+
+def test_quantiles_without_rows(spark):
+    empty = spark.createDataFrame([], "k string, v double")
+    assert group_quantiles(empty, ["k"], "v", {"p50": 0.5}).collect() == []
 
 
 def test_text_measures_are_null(spark):
