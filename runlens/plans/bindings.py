@@ -42,7 +42,8 @@ from runlens.operators.stats import (STAGES, TOTAL, complete_rows, run_tally, st
                                      unpivot_stages)
 from runlens.plans import reports
 from runlens.session import scratch_path
-from runlens.sources.runlogs import scan_json, scan_runs, split_quarantine
+from runlens.sources.quarantine import ingest_logs, quarantined, replay
+from runlens.sources.runlogs import scan_json, scan_runs
 from runlens.sources.sinks import append_runs, read_converted, replace_slice, to_json_text, write_report
 
 RUN_STAGES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -691,11 +692,11 @@ def _write_logs(texts: DataFrame, folder: str, prefix: str) -> None:
     store.delete(path(part), True)
 
 
-def _log_folder(spark, d, bad: bool = False) -> str:
+def _log_folder(spark, d, bad: bool = False, cut_by: int = 5) -> str:
     """A results folder: lifecycle and idle logs; ``bad``: every seventh lifecycle line cut short."""
     folder = scratch_path(spark, "logs")
     text = F.col("json")
-    cut = F.when(F.lit(bad) & (F.col("id").cast("long") % 7 == 0), text.substr(F.lit(1), F.length(text) - 5)).otherwise(text)
+    cut = F.when(F.lit(bad) & (F.col("id").cast("long") % 7 == 0), text.substr(F.lit(1), F.length(text) - cut_by)).otherwise(text)
     _write_logs(to_json_text(_lifecycle_runs(spark, d)).select(cut.alias("value")), folder, "runs")
     _write_logs(to_json_text(idle(spark, d).drop("event_id", "created_at")).select(F.col("json").alias("value")), folder, "idle")
     return folder
@@ -719,10 +720,21 @@ def q_kind_schema(spark, d):
 
 
 def q_bad_lines(spark, d):
-    """Good and bad lines of a log whose lines are partly cut short."""
-    good, bad = split_quarantine(scan_runs(spark, _log_folder(spark, d, bad=True), "lifecycle", bad_lines="quarantine"))
-    n = bad.agg(F.count(F.lit(1)).alias("n_bad"))
-    return _by_provider(good).crossJoin(n)  # one row
+    """Good and bad lines of a log whose lines are partly cut short, stored in one pass."""
+    store = scratch_path(spark, "store")
+    ingest_logs(spark, _log_folder(spark, d, bad=True), store)
+    n = quarantined(spark, store).where("kind = 'lifecycle'").agg(F.count(F.lit(1)).alias("n_bad"))
+    return _by_provider(read_converted(spark, store, "lifecycle")).crossJoin(n)  # one row
+
+
+def q_quarantine_replay(spark, d):
+    """Lines without their last brace: quarantined, repaired and replayed, twice; each run is there once."""
+    store = scratch_path(spark, "store")
+    ingest_logs(spark, _log_folder(spark, d, bad=True, cut_by=1), store)
+    freed = [replay(spark, store, lambda line: F.concat(line, F.lit("}"))) for _ in range(2)]
+    left = quarantined(spark, store).agg(F.count(F.lit(1)).alias("n_left"))
+    return (_by_provider(read_converted(spark, store, "lifecycle")).crossJoin(left)  # one row
+            .withColumn("n_replayed", F.lit(sum(freed)).cast("long")))
 
 
 def q_missing_input(spark, d):
@@ -829,6 +841,7 @@ QUERIES = {
     "kind_routing": q_kind_routing,
     "kind_schema": q_kind_schema,
     "bad_lines": q_bad_lines,
+    "quarantine_replay": q_quarantine_replay,
     "missing_input": q_missing_input,
     "append_sink": q_append_sink,
     "replace_slice": q_replace_slice,

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.session import shared_dir
 from runlens.sources.schemas import KIND_SCHEMAS, merged_schema
 from runlens.sources.store import is_store, read_store
 
@@ -78,19 +77,20 @@ def scan_json(spark: SparkSession, path: str, schema: T.StructType,
 
 def scan_runs(spark: SparkSession, path: str, kind: str | None = "lifecycle",
               strict: bool = True, bad_lines: str = "permissive",
-              with_file: bool = False) -> DataFrame:
+              with_file: bool = False, with_path: str | None = None) -> DataFrame:
     """Read ``path/*.jsonl`` with the kind's schema (all kinds merged by name
     when ``kind`` is None).
 
     strict: keep rows whose file routes to ``kind``; compat: keep every row of
     the glob, as a bare ``*.jsonl`` scan does. ``with_file`` adds the routed
-    ``kind`` column.
+    ``kind`` column; ``with_path`` names a column for the log file's path and reads log files
+    only, no store.
     """
     schema = KIND_SCHEMAS[kind] if kind else merged_schema()
     cols = [f.name for f in schema.fields] + ([CORRUPT] if bad_lines == "quarantine" else []) \
-        + (["kind"] if with_file else [])
-    logs = _scan_logs(spark, path, kind, strict, bad_lines, schema, cols)
-    if not is_store(spark, path):
+        + (["kind"] if with_file else []) + ([with_path] if with_path else [])
+    logs = _scan_logs(spark, path, kind, strict, bad_lines, schema, cols, with_path)
+    if with_path or not is_store(spark, path):
         return logs
     stored = read_store(spark, path, kind if strict else None)
     if bad_lines == "quarantine":
@@ -99,14 +99,17 @@ def scan_runs(spark: SparkSession, path: str, kind: str | None = "lifecycle",
 
 
 def _scan_logs(spark: SparkSession, path: str, kind: str | None, strict: bool, bad_lines: str,
-               schema: T.StructType, cols: list[str]) -> DataFrame:
+               schema: T.StructType, cols: list[str], with_path: str | None = None) -> DataFrame:
     df = scan_json(spark, f"{path.rstrip('/')}/*.jsonl", schema, bad_lines)
     if not df.columns or "_metadata" not in _metadata_names(df):
         # empty stand-in for a missing path: no files, so no file names to route
-        return df.withColumn("kind", F.lit(None).cast("string")).select(*cols)
+        none = F.lit(None).cast("string")
+        return df.withColumns({c: none for c in ("kind", with_path) if c}).select(*cols)
     routed = df.withColumn("kind", kind_of(F.col("_metadata.file_name")))
     if kind and strict:
         routed = routed.where(F.col("kind") == kind)
+    if with_path:
+        routed = routed.withColumn(with_path, F.col("_metadata.file_path"))
     return routed.select(*cols)
 
 
@@ -119,17 +122,17 @@ def _metadata_names(df: DataFrame) -> list[str]:
 
 
 def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows without the corrupt column, bad rows with every column).
+    """(good rows without the corrupt column, bad rows with every column) of a frame.
 
-    The JSON reader refuses a query whose only needed column is the corrupt
-    record (a ``count`` of either side would be one), so the parsed rows are
-    checkpointed once to the shared folder and both sides read that snapshot.
+    Both are plain filters of ``df``: nothing is copied. The JSON reader refuses a query whose
+    only needed column is the corrupt record (a ``count`` of either side would be one), so
+    the filter also looks at another column. ``quarantine.ingest_logs`` stores both sides in
+    the one pass that parses.
     """
-    shared_dir(df.sparkSession)
-    parsed = df.checkpoint(eager=True)
-    good = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = parsed.where(F.col(CORRUPT).isNotNull())
-    return good, bad
+    other = next(c for c in df.columns if c not in (CORRUPT, "kind"))
+    # nothing of the other column enters the text
+    text = F.concat_ws("", F.col(CORRUPT), F.substring(F.col(other).cast("string"), 1, 0))
+    return df.where(F.length(text) == 0).drop(CORRUPT), df.where(F.length(text) > 0)
 
 
 def parse_created_at(df: DataFrame, src: str = "created_at", out: str = "created_ts") -> DataFrame:

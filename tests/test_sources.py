@@ -60,6 +60,9 @@ def test_bad_lines_and_missing_inputs(spark, write_jsonl, tmp_path):
     q = scan_runs(spark, d, bad_lines="quarantine")
     good, bad = split_quarantine(q)
     assert good.count() == 2 and [r["_corrupt_record"] for r in bad.collect()] == ["{not json"]
+    assert bad.count() == 1 and "_corrupt_record" not in good.columns
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan  # no copy of the good rows
     missing = scan_runs(spark, str(tmp_path / "nope"))
     assert missing.count() == 0 and missing.schema == LIFECYCLE
     empty = write_jsonl({"kernel.jsonl": []}, sub="empty")

@@ -114,3 +114,19 @@ def test_missing_or_empty_store(spark, tmp_path):
     store = str(tmp_path / "s")
     append_runs(life(spark, []), store, "lifecycle")
     assert got(spark, store) == [] and scan_runs(spark, store).count() == 0
+
+
+def test_rows_from_before_the_log(spark, tmp_path):
+    """A folder partitioned by kind and provider: read, appended to, replaced in part and whole."""
+    out = str(tmp_path / "old")
+    old = spark.createDataFrame([("a", "1"), ("007", "2")], "provider string, id string").withColumn("kind", F.lit("lifecycle"))
+    old.write.partitionBy("kind", "provider").parquet(out)
+    read = lambda: sorted((r["provider"], r["id"]) for r in read_converted(spark, out, "lifecycle").collect())
+    assert read() == [("007", "2"), ("a", "1")]
+    new = spark.createDataFrame([("a", "3")], "provider string, id string")
+    append_runs(new, out, "lifecycle")
+    assert read() == [("007", "2"), ("a", "1"), ("a", "3")]
+    replace_slice(new, out, [("lifecycle", "a")], "lifecycle")
+    assert read() == [("007", "2"), ("a", "3")]
+    convert_runs(new.withColumn("kind", F.lit("lifecycle")), out)
+    assert read() == [("a", "3")]
