@@ -9,7 +9,7 @@ task ever holds more than one range.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from runlens.functions._col import col
@@ -25,11 +25,14 @@ def snapshot(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def range_sorted(df: DataFrame, order: list[Column], num_partitions: int | None = None) -> DataFrame:
+def range_sorted(df: DataFrame, order: list[Column], num_partitions: int | None = None,
+                 watch: tuple[Observation, list[Column]] | None = None) -> DataFrame:
     """Globally sort ``df`` by ``order`` and tag each row with its partition id and
     a per-partition increasing id, then checkpoint so every later use sees the
     same partitioning (range bounds come from sampling, which may differ
-    between two executions)."""
+    between two executions). ``watch`` (an observation and its aggregates) is filled by
+    the pass that writes the checkpoint: behind the shuffle, where a task counts once
+    however often the stages before it are run again."""
     # without an explicit count AQE may coalesce the range partitions; they stay
     # contiguous and ordered, which is all the offsets below rely on
     ranged = (df.repartitionByRange(num_partitions, *order) if num_partitions
@@ -38,18 +41,22 @@ def range_sorted(df: DataFrame, order: list[Column], num_partitions: int | None
               .sortWithinPartitions(*order)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_MID, F.monotonically_increasing_id()))
+    if watch is not None:
+        tagged = tagged.observe(watch[0], *watch[1])
     return snapshot(tagged)
 
 
 def with_position(df: DataFrame, order: list[Column | str], name: str = "position",
-                  num_partitions: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None,
+                  watch: tuple[Observation, list[Column]] | None = None) -> DataFrame:
     """Add ``name`` = 1-based position (bigint) of each row in ``order``.
 
     ``order`` must be a total order (end it with a unique tie-break column) for
     the positions to be deterministic. The result reads the checkpointed sorted
-    copy, so further passes over it don't compute ``df`` again.
+    copy, so further passes over it don't compute ``df`` again. ``watch``: aggregates
+    over ``df`` taken in the same pass (see ``range_sorted``).
     """
-    srt = range_sorted(df, [col(o) for o in order], num_partitions)
+    srt = range_sorted(df, [col(o) for o in order], num_partitions, watch)
     counts = srt.groupBy(_PID).agg(F.count(F.lit(1)).alias(_N), F.min(_MID).alias(_FIRST))
     # one row per partition: bounded by the partition count, safe to broadcast
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)

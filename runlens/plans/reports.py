@@ -4,16 +4,17 @@ REP0a-d are the four SQL queries (totals, summary, idle rows, parallel
 batches); REP1-5 are the ranked report tables with display cells; REP6 is the
 per-section status.
 
-A report's state comes from its gate, one aggregate over its input (is there a
-row to show, did any fail). A report that has no input or is withheld returns an
-empty table with the same columns. The status table needs the gates alone.
+A report's state comes from its gate (is there a row to show, did any fail). A built
+report takes it as observed metrics of the pass that writes its sorted rows: no job of
+its own. A report that has no input or is withheld returns an empty table with the same
+columns. For the status table without reports, ``gate_*`` are one aggregate each.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,13 +48,27 @@ class Gate(NamedTuple):
     state: str
 
 
-def _gate(df: DataFrame, n: Column, failed: Column | None = None) -> Gate:
+def _measures(n: Column, failed: Column | None = None) -> list[Column]:
     """``n`` (an aggregate) and whether ``failed`` (a predicate) holds anywhere."""
-    any_failed = F.lit(False) if failed is None else F.coalesce(F.bool_or(failed), F.lit(False))
-    r = df.agg(n.alias("n"), any_failed.alias("failed")).first()
-    rows = int(r["n"] or 0)
-    state = NO_INPUT if not rows else HAS_ERRORS if r["failed"] else OK
-    return Gate(rows, state)
+    any_failed = F.max(F.lit(False)) if failed is None else F.coalesce(F.bool_or(failed), F.lit(False))
+    return [n.alias("n"), F.coalesce(any_failed, F.lit(False)).alias("failed")]
+
+
+def _as_gate(n: int | None, failed: bool) -> Gate:
+    rows = int(n or 0)
+    return Gate(rows, NO_INPUT if not rows else HAS_ERRORS if failed else OK)
+
+
+def _gate(df: DataFrame, n: Column, failed: Column | None = None) -> Gate:
+    r = df.agg(*_measures(n, failed)).first()
+    return _as_gate(r["n"], r["failed"])
+
+
+def _ranked(df: DataFrame, order: list[Column | str], name: str, failed: Column | None = None) -> tuple[DataFrame, Gate]:
+    """``df`` with its rows' positions, and the gate over these rows, in one pass."""
+    seen = Observation()
+    out = with_position(df, order, name, watch=(seen, _measures(F.count(F.lit(1)), failed)))
+    return out, _as_gate(seen.get["n"], seen.get["failed"])
 
 
 def _withheld(df: DataFrame, state: str) -> Report:
@@ -155,11 +170,9 @@ def report_lifecycle(runs: DataFrame, pricing: dict = dims.LIFECYCLE_PRICING,
     the first three stages present; the release stage may be missing)."""
     complete = complete_rows(runs, ["provider"] + stages[:3])
     tot = stage_totals(complete, ["provider"], stages, "success", 0)
-    # the sorted copy is checkpointed: the gate counts its rows
-    ranked = with_position(tot, [F.col("avg_total_ms").asc_nulls_last(),
+    ranked, gate = _ranked(tot, [F.col("avg_total_ms").asc_nulls_last(),
                                  F.col("provider").asc_nulls_last()], "rank")
-    n = ranked.count()
-    return Report(_lifecycle_cells(ranked, pricing), OK if n else NO_INPUT, n)
+    return Report(_lifecycle_cells(ranked, pricing), gate.state, gate.n_rows)
 
 
 def _lifecycle_cells(df: DataFrame, pricing: dict) -> DataFrame:
@@ -180,7 +193,7 @@ def report_idle(idle: DataFrame, cost: dict = dims.IDLE_COST, cost_rank: dict =
 
     Order: survivors first, then cost rank (unknown 99), then provider, then
     ``tie`` (the report keeps SQL order for ties; the tie-break makes it
-    deterministic). The gate reads the checkpointed sorted copy.
+    deterministic).
     """
     tie = TIES["idle"] if tie is None else tie
     keyed = idle.select(
@@ -190,12 +203,12 @@ def report_idle(idle: DataFrame, cost: dict = dims.IDLE_COST, cost_rank: dict =
         *[F.col(t).alias(f"_t{i}") for i, t in enumerate(tie)],
         survivor_key("session_survived").alias("_surv"),
         dims.lookup("provider", cost_rank, dims.DEFAULT_RANK).alias("_cost"))
-    ranked = with_position(keyed, ["_surv", "_cost", F.col("provider").asc_nulls_last(),
-                                   *[F.col(f"_t{i}").asc_nulls_last() for i in range(len(tie))]], "rank")
+    ranked, gate = _ranked(keyed, ["_surv", "_cost", F.col("provider").asc_nulls_last(),
+                                   *[F.col(f"_t{i}").asc_nulls_last() for i in range(len(tie))]],
+                           "rank", _not_true("success"))
     rows = ranked.select("rank", "provider", "session_survived", "success", F.col("_step1_ms").alias("step1_ms"),
                          F.col("_reconnect_ms").alias("reconnect_ms"), F.col("_step2_ms").alias("step2_ms"),
                          F.col("_total_s").alias("total_s"))
-    gate = gate_idle(rows)
     if gate.state != OK:
         return _withheld(_idle_cells(rows, cost), gate.state)
     return Report(_idle_cells(rows, cost), OK, gate.n_rows)
@@ -221,10 +234,9 @@ def report_stealth(stealth: DataFrame, plan: dict = dims.STEALTH_PLAN,
     tie = TIES["stealth"] if tie is None else tie
     rows = stealth.where(F.col("mode").isin(STEALTH_MODES))
     tiered = _tiered(latest_with_fallback(rows, ["provider", "mode"], "success", "created_at", tie))
-    ranked = with_position(tiered, ["tier", F.col("provider").asc_nulls_last(),
+    ranked, gate = _ranked(tiered, ["tier", F.col("provider").asc_nulls_last(),
                                     enum_rank("mode", STEALTH_MODES)], "position")
-    n = ranked.count()
-    return Report(_stealth_cells(ranked, plan), OK if n else NO_INPUT, n)
+    return Report(_stealth_cells(ranked, plan), gate.state, gate.n_rows)
 
 
 def _tiered(chosen: DataFrame) -> DataFrame:
@@ -275,8 +287,8 @@ def report_captcha(captcha: DataFrame, cost: dict = dims.CAPTCHA_COST,
     latest = latest_per_key(captcha, ["provider"], "created_at", tie) \
         .withColumn("solve_s", to_seconds(measure(captcha, "solve_ms"), 1))
     plan_rank = dims.lookup("provider", plan_order, dims.DEFAULT_RANK)
-    ranked = with_position(latest, captcha_order("supported", "solve_s", plan_rank, "provider"), "position")
-    gate = _gate(ranked, F.count(F.lit(1)), _not_true("success"))
+    ranked, gate = _ranked(latest, captcha_order("supported", "solve_s", plan_rank, "provider"), "position",
+                           _not_true("success"))
     if gate.state != OK:
         return _withheld(_captcha_cells(ranked, cost), gate.state)
     return Report(_captcha_cells(ranked, cost), OK, gate.n_rows)
@@ -304,12 +316,11 @@ def report_parallel(batches: DataFrame, limits: dict = dims.CONCURRENCY_LIMIT_TE
         # whole ten-thousandths: the mean is the same in any order of summing
         dround(F.avg(F.round(measure(batches, "overhead_ratio") * 10000, 0)) / 10000, 4).alias("avg_overhead_ratio"),
         F.sum(F.when(F.col("success"), 0).otherwise(1)).cast("long").alias("failed_batches"))
-    ranked = with_position(agg, [F.col("sequential_mode").asc_nulls_last(),
+    ranked, gate = _ranked(agg, [F.col("sequential_mode").asc_nulls_last(),
                                  F.col("avg_overhead_ratio").asc_nulls_last(),
                                  F.col("provider").asc_nulls_last(),
                                  F.col("concurrency").asc_nulls_last()], "rank")
-    n = ranked.count()
-    return Report(_parallel_cells(ranked, limits), OK if n else NO_INPUT, n)
+    return Report(_parallel_cells(ranked, limits), gate.state, gate.n_rows)
 
 
 def _parallel_cells(df: DataFrame, limits: dict) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.plans import reports
@@ -26,24 +26,27 @@ from runlens.sources.schemas import KIND_SCHEMAS
 from runlens.sources.sinks import write_report
 
 
-def read_once(spark: SparkSession, results: str, bad_lines: str = "quarantine") -> DataFrame:
-    """Every row of the folder, parsed once: all kinds' fields, ``kind``, and the
-    text of bad lines, as a Parquet table partitioned by kind."""
+def read_once(spark: SparkSession, results: str, bad_lines: str = "quarantine") -> tuple[DataFrame, dict[str, int]]:
+    """Every row of the folder, parsed once: all kinds' fields, ``kind``, and the text of
+    bad lines, as a Parquet table partitioned by kind; and the bad lines of each kind, counted
+    as the table is written."""
     if not path_exists(spark, results):
         raise FileNotFoundError(f"no such results folder: {results}")
     rows = scan_runs(spark, results, None, bad_lines=bad_lines, with_file=True)
     if CORRUPT not in rows.columns:
         rows = rows.withColumn(CORRUPT, F.lit(None).cast("string"))
     path = scratch_path(spark, "runs")
-    rows.write.partitionBy("kind").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    seen = Observation()
+    bad = [F.count_if((F.col("kind") == k) & F.col(CORRUPT).isNotNull()).alias(k) for k in KIND_SCHEMAS]
+    rows.observe(seen, *bad).write.partitionBy("kind").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), seen.get
 
 
 def build(spark: SparkSession, results: str, strict: bool = False,
           bad_lines: str = "quarantine") -> dict[str, DataFrame]:
     """All analyses over ``results`` plus ``status``. The folder is read, and
     rankings and gates run, while they are built."""
-    rows = read_once(spark, results, bad_lines)
+    rows, bad = read_once(spark, results, bad_lines)
     good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
     def of(kind: str) -> DataFrame:
@@ -65,8 +68,6 @@ def build(spark: SparkSession, results: str, strict: bool = False,
         "parallel_summary": reports.parallel_summary(parallel),
     }
     out.update({f"report_{k}": r.df for k, r in rep.items()})
-    bad = {r["kind"]: r["n"] for r in rows.where(F.col(CORRUPT).isNotNull()).groupBy("kind")
-           .agg(F.count(CORRUPT).alias("n")).collect()}  # a row per kind
     out["status"] = reports.report_status(spark, rep, bad)
     return out
 

@@ -250,3 +250,16 @@ def test_lifecycle_without_complete_successes(spark):
     assert rep.state == reports.NO_INPUT and rep.df.count() == 0
     assert rep.df.columns == ["rank", "provider", "avg_total", "median_total", "avg_create", "avg_connect",
                               "avg_goto", "avg_release", "pricing"]
+
+
+def test_gates_of_empty_inputs(spark):
+    """No rows, known when the plan is made or only when it runs: every report says so and returns."""
+    from runlens.sources.schemas import KIND_SCHEMAS
+    build = {"lifecycle": reports.report_lifecycle, "idle": reports.report_idle, "stealth": reports.report_stealth,
+             "captcha": reports.report_captcha, "parallel": reports.report_parallel}
+    for kind, report in build.items():
+        none = spark.createDataFrame([], KIND_SCHEMAS[kind])
+        one = spark.createDataFrame([tuple(None for _ in KIND_SCHEMAS[kind])], KIND_SCHEMAS[kind])
+        for empty in (none, one.where(F.rand() < -1.0), one.where(F.lit(False))):
+            r = report(empty)
+            assert (r.state, r.n_rows, r.df.count()) == (reports.NO_INPUT, 0, 0), kind
