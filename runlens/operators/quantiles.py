@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from runlens.operators.order import snapshot
@@ -98,14 +98,20 @@ def _at_ranks(vals: DataFrame, histogram: DataFrame, own: list[str], probs: dict
     some = reduce(Column.__or__, [_covers(r) for p in probs.values() for r in _ranks(p, F.col(_TOT))[1:]])
     width = reduce(Column.__add__, [F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in own])
     is_open = F.col(_LO) < F.col(_HI)
-    picked = snapshot(_ranked(histogram, own).where(some))
+
+    def kept(cells: DataFrame) -> tuple[DataFrame, int | None]:
+        """The cells that hold a wanted rank, and the bytes of the open ones (None: no open cell)."""
+        seen = Observation()
+        out = snapshot(cells.where(some).observe(seen, F.sum(F.when(is_open, width + F.lit(_ROW_BYTES))).alias("open")))
+        return out, seen.get["open"]
+
+    picked, size = kept(_ranked(histogram, own))
     settled = picked.where(~is_open)
     for cell in (_step(F.col(_V), F.col(_LO), F.col(_HI)), F.col(_V)):
-        size = picked.where(is_open).agg(F.sum(width + F.lit(_ROW_BYTES)).alias("b")).first()["b"]
-        if size is None:  # no open cell
+        if size is None:
             break
         rows = _inside(vals, picked.where(is_open), own, size <= BROADCAST_BYTES)
-        picked = snapshot(_ranked(_cells(rows, own + _FOUND, cell), own + _FOUND).where(some))
+        picked, size = kept(_ranked(_cells(rows, own + _FOUND, cell), own + _FOUND))
         settled = settled.unionByName(picked.where(~is_open))
 
     aggs, cols = [], []

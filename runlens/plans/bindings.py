@@ -36,7 +36,7 @@ from runlens.operators.batches import (batch_summary, combine_rollups, fill_empt
                                        overhead_ratio, rollup_nested, rollup_rows)
 from runlens.operators.latest import (any_failure, distinct_keys, latest_per_key,
                                       latest_with_fallback, sibling_values)
-from runlens.operators.order import captcha_order, enum_rank, survivor_key, with_position
+from runlens.operators.order import captcha_order, enum_rank, snapshot, survivor_key, with_position
 from runlens.operators.stats import (STAGES, TOTAL, complete_rows, run_tally, stage_summary,
                                      stage_totals, stats_with_rate, success_rate,
                                      unpivot_stages)
@@ -440,7 +440,8 @@ def q_overhead_ratio(spark, d):
 
 
 def q_batch_summary(spark, d):
-    b = _batch_frame(spark, d, F.col("n_sessions").cast("int"))
+    # the batches are rolled up from their sessions: once, as the medians read them more than once
+    b = snapshot(_batch_frame(spark, d, F.col("n_sessions").cast("int")))
     return batch_summary(b)
 
 
