@@ -44,13 +44,26 @@ ROWS = 512
 
 #: Word characters that are neither letters nor decimal digits: superscripts, fractions, numerals.
 _NUMERALS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+#: In two classes: only one of characters below 2^16 is a table, others are tried one by one.
+_NUMERAL, _HIGH_NUMERAL = (re.compile(f"[{''.join(c for c in _NUMERALS if (c > '\uffff') == high)}]+") for high in (False, True))
+_HIGH = re.compile("[\U00010000-\U0010ffff]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
+def letter_runs(text: str) -> list[str]:
+    """The maximal runs of letters. Numerals are blanked first: in the negated class of
+    letters each of the thousand would be tried at every character."""
+    if not text.isascii():
+        text = _NUMERAL.sub(" ", text)
+        if _HIGH.search(text):
+            text = _HIGH_NUMERAL.sub(" ", text)
+    return _LETTERS.findall(text)
+
+
 def trigrams(text: str | None) -> Iterator[np.ndarray]:
     """Hashes of the text's letter trigrams, words lower-cased and set off by a space."""
-    words = _LETTERS.findall((text or "").lower())
+    words = letter_runs((text or "").lower())
     if not words:
         return
     codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "replace"), "<u4")

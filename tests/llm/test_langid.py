@@ -1,3 +1,6 @@
+import re
+import time
+
 import numpy as np
 from pyspark.sql import Row
 
@@ -45,3 +48,27 @@ def test_numerals_are_no_letters(spark, tables):
     for text in ("² ½", "①②", "Ⅷ 12", "_ - 3", "", None):
         assert f.predict(text) == ("und", 0.0)
     assert f.predict("été à l'école")[0] != "und"
+
+
+def test_letter_runs_of_every_character():
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    other = [c for c in map(chr, range(0x110000)) if not c.isalpha() and not 0xD800 <= ord(c) < 0xE000]
+    assert langid.letter_runs("".join(letters)) == ["".join(letters)]
+    assert langid.letter_runs("".join(other)) == []
+    assert langid.letter_runs("a" + "a".join(other) + "a") == ["a"] * (len(other) + 1)
+
+
+def test_letter_runs_take_time_of_a_plain_class():
+    plain = re.compile(r"[^\W\d_]+").findall
+
+    def best(find, text):
+        return min(_timed(find, text) for _ in range(3))
+
+    for text in ("Plain words, 12 of them. " * 8_000, "d\u00e9j\u00e0 vu, \u65e5\u672c\u8a9e 12 " * 8_000):
+        assert best(langid.letter_runs, text) < 8 * best(plain, text)
+
+
+def _timed(find, text):
+    start = time.perf_counter()
+    find(text)
+    return time.perf_counter() - start
