@@ -41,6 +41,8 @@ from runlens.llm.common import cut, stored, word_hash
 
 #: Words of a window; words on either side that may decide a border; words looked at in one step.
 WINDOW, REACH, STEP = 13, 3, 1 << 20
+#: Sums of neighbouring hashes that are taken at once; rows of windows that are sent on at once.
+SUMS, ROWS = 1 << 14, 1 << 14
 #: Ids (8 bytes each) that may be broadcast to thin out the texts before their shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -52,6 +54,7 @@ _RNG = np.random.default_rng(7)
 _AROUND = _RNG.integers(1, 2**63, 2 * _SIDE).astype(_U) | _U(1)
 _WINDOW = _RNG.integers(1, 2**63, WINDOW).astype(_U) | _U(1)
 _NONE = _U(2**64 - 1)
+_EMPTY = np.zeros(0, _U)
 
 
 def split(text: str | None) -> list[bytes]:
@@ -63,20 +66,38 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 
 def _name(a: np.ndarray, b) -> np.ndarray:
-    b = np.broadcast_to(b, a.shape)  # arrays wrap around silently
+    b = np.atleast_1d(b)  # arrays wrap around silently
     x = (a ^ b >> _U(31)) * _P + b * _Q
     return x ^ x >> _U(32)
 
 
+def _changes(a: np.ndarray) -> np.ndarray:
+    """Whether each element differs from the one before; the first does."""
+    out = np.ones(len(a), bool)
+    np.not_equal(a[1:], a[:-1], out=out[1:])
+    return out
+
+
+def _sums(h: np.ndarray, start: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weighted sum of the hashes from each start on, modulo 2**64: a product of a few thousand
+    starts at a time, since a text has too few for numpy's calls to be free."""
+    each = np.arange(len(weights))
+    parts = [h[start[at : at + SUMS, None] + each] @ weights for at in range(0, len(start), SUMS)]
+    return np.concatenate(parts) if parts else np.zeros(0, _U)
+
+
 def _round(name: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Names runs, then pairs; returns (name, start, end) of the symbols."""
-    first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
-    last = np.r_[first[1:], len(name)] - 1
+    first = np.flatnonzero(_changes(name))
+    last = np.append(first[1:], len(name)) - 1
     base, start, end = name[first], start[first], end[last]
     run = np.where(last > first, _name(base, _U(1)), base)
     low = base * _Q >> _U(63) == 0  # the side of a run is that of its symbol
-    pair = np.r_[low[:-1] & ~low[1:], False]
-    keep = np.flatnonzero(~np.r_[False, pair[:-1]])
+    pair = np.zeros(len(low), bool)
+    np.greater(low[:-1], low[1:], out=pair[:-1])
+    alone = np.ones(len(low), bool)
+    np.logical_not(pair[:-1], out=alone[1:])
+    keep = np.flatnonzero(alone)
     out, both = run[keep], np.flatnonzero(pair[keep])
     out[both] = _name(run[keep[both]], run[keep[both] + 1] ^ _Q)
     return out, start[keep], end[keep + pair[keep]]
@@ -104,15 +125,14 @@ def _slice(h: np.ndarray):
         more = min(reach, _GAPS - reach)
         wide, reach = np.minimum(wide[: len(wide) - more], wide[more:]), reach + more
     wide = wide[:m]
-    s0 = np.flatnonzero(np.r_[True, wide[1:] != wide[:-1]] | (wide == _NONE))
-    s1 = np.r_[s0[1:], m] - 1
+    s0 = np.flatnonzero(_changes(wide) | (wide == _NONE))
+    s1 = np.append(s0[1:], m) - 1
     own = wide[s0] == _NONE
     g = np.where(own, 0, (wide[s0] & _U(0xFFFFFF)).astype(np.int64))
     names = named[g]
-    around = np.zeros(len(s0), _U)
-    padded = np.r_[np.zeros(_SIDE, _U), h, np.zeros(_SIDE, _U)]
-    for k in range(2 * _SIDE):
-        around += padded[g + k] * _AROUND[k]
+    padded = np.zeros(n + 2 * _SIDE, _U)
+    padded[_SIDE : _SIDE + n] = h
+    around = _sums(padded, g, _AROUND)
     if own.any():
         w = window_hashes(h, s0[own])
         names[own], around[own] = _name(w, _U(3)), w
@@ -120,9 +140,7 @@ def _slice(h: np.ndarray):
 
 
 def window_hashes(h: np.ndarray, start: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(start), _U)
-    for k in range(WINDOW):
-        out += h[start + k] * _WINDOW[k]
+    out = _sums(h, start, _WINDOW)
     return out ^ out >> _U(31)
 
 
@@ -151,20 +169,26 @@ def _base(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, whole_sha256, names and arounds (distinct pairs) of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sha, names, arounds = [], [], [], []
+            n, sha, names, arounds, sizes = [], [], [], [], [0]
             for text in b.column(1).to_pylist():
                 words = split(text)
                 found = [x[4:6] for x in anchors(hashes(words))]
-                pairs = np.array([np.concatenate(x) for x in zip(*found, strict=True)] if found else [[], []], _U)
-                pairs = pairs[:, np.lexsort(pairs)]
-                pairs = pairs[:, np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(0)]] if pairs.shape[1] else pairs
+                name, around = found[0] if len(found) == 1 else map(np.concatenate, zip(*found, strict=True)) if found else (_EMPTY, _EMPTY)
+                if len(name):
+                    order = np.lexsort((name, around))
+                    name, around = name[order], around[order]
+                    new = _changes(name) | _changes(around)
+                    name, around = name[new], around[new]
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                names.append(_signed(pairs[0]))
-                arounds.append(pairs[1].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(names, pa.list_(pa.int64())),
-                 pa.array(arounds, pa.list_(pa.int32()))], ["doc_id", "n_words", "whole_sha256", "names", "arounds"])
+                names.append(name)
+                arounds.append(around)
+                sizes.append(len(name))
+            ends = pa.array(np.cumsum(sizes), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in
+                     (_signed(np.concatenate([_EMPTY, *names])), np.concatenate([_EMPTY, *arounds]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), *lists],
+                                             ["doc_id", "n_words", "whole_sha256", "names", "arounds"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, n_words long, whole_sha256 string, names array<long>, arounds array<int>")
@@ -186,18 +210,28 @@ def _windows(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(name, around, off, window, doc): the windows around each class (name, around, doc), from its document."""
     per = cut(classes.groupBy("doc").agg(F.collect_list(F.struct("name", "around")).alias("at")).withColumnRenamed("doc", "doc_id"))
 
+    def batch(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        cols = [pa.array(np.concatenate(x)) for x in zip(*held, strict=True)]
+        return pa.RecordBatch.from_arrays(cols, ["name", "around", "off", "window", "doc"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for b in batches:
             for doc, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 wanted = np.unique(_ids(*_pairs(at.values)))
                 for _, h, s0, s1, name, around, g in anchors(hashes(split(text))):
                     ids, place = np.unique(_ids(name, around), return_index=True)
-                    i = place[np.isin(ids, wanted, assume_unique=True)]
+                    i = place[wanted[np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)] == ids]
                     n = s1[i] - s0[i] + 1
                     i = np.repeat(i, n)
                     s = s0[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-                    cols = [_signed(name[i]), around[i].astype(np.int32), (g[i] - s).astype(np.int32), _signed(window_hashes(h, s)), np.full(len(i), doc)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["name", "around", "off", "window", "doc"])
+                    held.append([_signed(name[i]), around[i].astype(np.int32), (g[i] - s).astype(np.int32), _signed(window_hashes(h, s)), np.full(len(i), doc)])
+                    rows += len(i)
+                    if rows >= ROWS:  # a text's few rows alone would cost more to send than to find
+                        yield batch(held)
+                        held, rows = [], 0
+        if held:
+            yield batch(held)
 
     given = _texts(docs, per.select("doc_id"), per).select("doc_id", "text", "at")
     return given.mapInArrow(run, "name long, around int, off int, window long, doc long")

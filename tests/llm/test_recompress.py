@@ -79,3 +79,28 @@ def test_steps_agree(monkeypatch):
     assert [x[0] for x in whole] == list(range(3000 - 12))
     monkeypatch.setattr(rc, "STEP", 100)
     assert [x[:2] + x[3:] for x in found()] == [x[:2] + x[3:] for x in whole]
+
+
+def test_sums_equal_a_loop(monkeypatch):
+    monkeypatch.setattr(rc, "SUMS", 7)
+    rng = np.random.default_rng(2)
+    h, start = rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(3), rng.integers(0, 480, 60)
+    want = np.zeros(60, np.uint64)
+    for k, w in enumerate(rc._AROUND):
+        want += h[start + k] * w
+    assert np.array_equal(rc._sums(h, start, rc._AROUND), want)
+    assert len(rc._sums(h, start[:0], rc._AROUND)) == 0
+
+
+def test_windows_of_many_texts_are_sent_on_together(spark, arrow_maps):
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(200):
+        a = rng.randrange(40)
+        rows.append((i, " ".join([f"x{rng.random()}", *passage[a : a + 20], f"y{rng.random()}"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert run(docs) == brute(rows)
+    given, find = arrow_maps[1]
+    sent = list(find(iter(given.toArrow().combine_chunks().to_batches())))
+    assert sum(b.num_rows for b in sent) > 1000 and len(sent) == 1
