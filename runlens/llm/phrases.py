@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import first_rows, join_weighted, stored
+from runlens.llm.common import first_rows, join_weighted, shuffles_freed, stored
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _BREAK = b"."
@@ -41,7 +41,7 @@ MODULUS = 32
 #: Bits of a filter (16 MB), whatever the corpus.
 FILTER_BITS = 1 << 27
 #: Text bytes that a task takes up at once (one longer text or chunk is still taken whole).
-GATHER = 6 << 20
+GATHER = 3 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -236,8 +236,9 @@ def bit_filter(hashes: DataFrame, bits: int = FILTER_BITS):
         at = np.flatnonzero(longs)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(longs[at])], ["at", "bits"])
 
-    rows = hashes.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    found = rows.toArrow()  # at most bits / 64 rows
+    with shuffles_freed(hashes.sparkSession):  # of ``hashes`` too: the filter is all that stays of them
+        rows = hashes.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+        found = rows.toArrow()  # at most bits / 64 rows
     whole = np.zeros(bits // 64, np.int64)
     whole[found["at"].to_numpy()] = found["bits"].to_numpy()
     return hashes.sparkSession.sparkContext.broadcast(whole.view(np.uint8))

@@ -3,9 +3,11 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from runlens.llm import phrases
 
@@ -66,3 +68,17 @@ def test_every_ngram_has_one_chunk(texts, modulus):
         want = Counter(" ".join(ws[i:i + n]) for t in texts for ws in pieces(t) for i in range(len(ws) - n + 1))
         at, weight = c.counted(c.runs(n), n)
         assert dict(zip(c.phrases(at, n).to_pylist(), weight.tolist())) == want
+
+
+def test_filter_leaves_no_shuffle_files(spark):
+    """Of the hashes' own shuffle and the filter's, nothing stays on disk."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {x for x in manager.getAllBlocks().mkString(" ").split() if x.startswith("shuffle_")}
+
+    before = shuffled()
+    hashes = spark.range(5000).groupBy((F.col("id") % 997).alias("h")).count().select("h")
+    held = phrases.bit_filter(hashes, 1 << 12)
+    assert phrases.holds(held.value, np.arange(997).astype(np.uint64)).all()
+    assert shuffled() <= before
