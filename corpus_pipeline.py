@@ -22,8 +22,8 @@ LEAST_SCORE = 0.1
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those in none of the learned languages."""
     columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("_row"), "text")
-    found = langid.predict(rows, langid.learn(docs.where(~held_out())), ["_row"])
+    rows = docs.select(F.struct(*columns).alias("_row"))
+    found = langid.predict(rows, langid.learn(docs.where(~held_out())), ["_row"], row="_row")
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
 

@@ -38,8 +38,8 @@ from runlens.llm.common import Memo
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = re.compile(f"[{_SPACE}]+")
 _NEVER = 1 << 30
-#: Bytes that a worker's dictionaries of pieces and of token pairs may hold.
-PIECE_BYTES, PAIR_BYTES = 80 << 20, 12 << 20
+#: Bytes that a worker's dictionaries of pieces (with decoded text, ids alone) and of token pairs may hold.
+PIECE_BYTES, ID_BYTES, PAIR_BYTES = 80 << 20, 40 << 20, 12 << 20
 
 
 def byte_symbols() -> dict[int, str]:
@@ -84,6 +84,7 @@ class Vocabulary:
                 self.automaton.add_word(key, i << 8 | len(key))
         self.automaton.make_automaton()
         self.piece = Memo(self._encoded, PIECE_BYTES, 300)
+        self.piece_ids = Memo(lambda piece: array("I", self._piece(piece)).tobytes(), ID_BYTES, 180)
 
     def _symbols(self, token: str) -> str:
         if token.endswith(self.suffix):
@@ -154,26 +155,35 @@ class Vocabulary:
             out += (self.pieces_latin if latin else self.pieces)(chunk)
         return out
 
-    def _found(self, text: str | None) -> list[tuple[bytes, str]]:
-        """(ids, decoded text) of every piece and special string."""
-        found: list[tuple[bytes, str]] = []
+    def _found(self, text: str | None, piece: Memo, special) -> list:
+        """What ``piece`` holds for every piece and ``special`` gives for every special string."""
+        found = []
         for part in self.specials.split(text or "") if "<" in (text or "") else [text or ""]:
             if part in self.special:
-                found.append((array("I", [self.special[part]]).tobytes(), part))
+                found.append(special(part))
             elif part:
-                found += map(self.piece.__getitem__, self._split(part))
+                found += map(piece.__getitem__, self._split(part))
         return found
 
+    def _special_id(self, part: str) -> bytes:
+        return array("I", [self.special[part]]).tobytes()
+
     def ids(self, text: str | None) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        return b"".join([x[0] for x in self._found(text)])
+        """The ids as little-endian 32-bit integers; no decoded text is made or kept."""
+        return b"".join(self._found(text, self.piece_ids, self._special_id))
 
     def row(self, text: str | None) -> tuple[int, bytes, str]:
         """(number of ids, the ids as little-endian 32-bit integers, the decoded text)."""
-        found = self._found(text)
+        found = self._found(text, self.piece, lambda part: (self._special_id(part), part))
         ids = b"".join([x[0] for x in found])
         return len(ids) // 4, ids, " ".join([x[1] for x in found])
 
+    def forget(self) -> None:
+        """Lets go of all pieces, and gives back what Arrow holds unused."""
+        self.piece.forget()
+        self.piece_ids.forget()
+        pa.default_memory_pool().release_unused()
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.ids(text), "<u4").tolist()
 
@@ -213,7 +223,7 @@ def _mapped(df: DataFrame, vocab_file: str, column: str, keep: list[str], fields
                     cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow)]
                     yield pa.RecordBatch.from_arrays(b.columns[: len(keep)] + cols, keep + names)
         finally:  # the worker may serve other stages next
-            v.piece.forget()
+            v.forget()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), fields])
     return df.select(*keep, column).mapInArrow(run, schema)

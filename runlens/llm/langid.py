@@ -136,18 +136,20 @@ def learn(train: DataFrame) -> Filters:
     return Filters({k: np.array(v, np.int64).view(np.uint64) for k, v in grams.items()})
 
 
-def predict(docs: DataFrame, filters: Filters, keep: list[str]) -> DataFrame:
-    """``keep`` columns, lang_pred and score of each row's whole text."""
+def predict(docs: DataFrame, filters: Filters, keep: list[str], row: str | None = None) -> DataFrame:
+    """``keep`` columns, lang_pred and score of each row's whole text, which is the column
+    ``text`` or, so that no text is sent twice, that field of the struct ``row`` of ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # POSITIONS bytes for 8 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         for whole in batches:
             for b in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
-                got = [f.predict(t) for t in b.column(len(keep)).to_pylist()]
+                texts = b.column(keep.index(row)).field("text") if row else b.column(len(keep))
+                got = [f.predict(t) for t in texts.to_pylist()]
                 cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-                yield pa.RecordBatch.from_arrays(b.columns[:-1] + cols, [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(b.columns[: len(keep)] + cols, [*keep, "lang_pred", "score"])
 
-    given = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    given = docs.select(*keep) if row else docs.select(*keep, F.col("text").alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(keep)])
     return given.mapInArrow(run, f"{schema}, lang_pred string, score double")

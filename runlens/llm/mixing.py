@@ -39,6 +39,8 @@ BLOCK, SHARD_SLOTS, BUCKET_ROWS = 64, 16_384, 10_000
 #: Source weights in turn, share of all words, most times a source or document is taken.
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 SEED = 20_240_229
+#: Texts of the mix that are made before their rows are sent on.
+ROWS = 512
 
 _WORDS = re.compile(WORD)
 
@@ -194,22 +196,24 @@ def mixed(docs: DataFrame) -> DataFrame:
     pairs = single.unionByName(several).join(chosen, [*keys, "_nth"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, offset, size, got in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
-                if sum(p["words"] for p in got) == size and all(p["times"] == 1 for p in got):
-                    out.append(text)
-                    continue
-                w, kept = _WORDS.findall(text), []
-                for again in range(1, CAP + 1):
-                    for p in got:
-                        if p["times"] >= again:
-                            at = max(0, p["block"] * BLOCK - offset)
-                            kept += w[at : at + p["words"]]
-                out.append(" ".join(kept))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["_row", "mix"])
-
-    given = pairs.select("_row", F.col("_row.text").alias("text"), "offset", "size", "parts")
+        for whole in batches:
+            for b in (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS)):
+                out = []
+                texts = b.column(0).field("text").to_pylist()
+                for text, offset, size, got in zip(texts, *(c.to_pylist() for c in b.columns[1:]), strict=True):
+                    if sum(p["words"] for p in got) == size and all(p["times"] == 1 for p in got):
+                        out.append(text)
+                        continue
+                    w, kept = _WORDS.findall(text), []
+                    for again in range(1, CAP + 1):
+                        for p in got:
+                            if p["times"] >= again:
+                                at = max(0, p["block"] * BLOCK - offset)
+                                kept += w[at : at + p["words"]]
+                    out.append(" ".join(kept))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["_row", "mix"])
+
+    given = pairs.select("_row", "offset", "size", "parts")
     schema = f"_row {given.schema['_row'].dataType.simpleString()}, mix string"
     out = given.mapInArrow(words, schema)
     new = {"text": F.col("mix")} | ({"n_chars": F.length("mix").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in columns else {})

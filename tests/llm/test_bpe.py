@@ -55,3 +55,11 @@ def test_frame(spark, library):
     back = {r.doc_id: r.decoded for r in bpe.decode(encoded, VOCAB).collect()}
     assert back[3] == library.decode(library.encode(TEXTS[3], add_special_tokens=False).ids, skip_special_tokens=False)
     assert bpe.digests(docs.limit(0), VOCAB).count() == 0
+
+
+def test_ids_keep_no_decoded_text(own):
+    own.forget()
+    assert own.encode("no text <|endoftext|> is kept") and not own.piece and own.piece_ids
+    own.row("a text")
+    own.forget()
+    assert not own.piece and not own.piece_ids and own.piece.size == own.piece_ids.size == 0

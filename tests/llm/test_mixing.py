@@ -78,3 +78,16 @@ def test_repeated_rows(spark):
     got = mx.plan(docs).collect()
     assert sorted(r.size for r in got) == [0, 80, 80, 150, 150, 150]
     assert sum(len(W.findall(r.text)) for r in mx.mixed(docs).collect()) == sum(r.taken for r in got)
+
+
+def test_mix_is_sent_on_in_slices_of_one_text_a_row(spark, arrow_maps):
+    rows = [(i, f"w{i} " * (i % 200 + 1), "s", i) for i in range(2 * mx.ROWS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").coalesce(1)
+    got = mx.mixed(docs).collect()
+    assert len(got) > mx.ROWS
+    given, join = arrow_maps[-1]
+    assert given.columns == ["_row", "offset", "size", "parts"]
+    sent = list(join(iter(given.toArrow().combine_chunks().to_batches())))
+    assert max(b.num_rows for b in sent) <= mx.ROWS
+    texts = {r["doc_id"]: t for b in sent for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert texts == {r.doc_id: r.text for r in got}

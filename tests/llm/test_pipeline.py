@@ -61,3 +61,8 @@ def test_stages_against_brute_force(spark, tables, tmp_path):
 @pytest.mark.parametrize("i", range(5))
 def test_empty(spark, tables, i):
     assert cp.STAGES[i][1](spark, tables("documents").limit(0), "").count() == 0
+
+
+def test_language_sends_each_text_once(spark, tables, arrow_maps):
+    cp.language(spark, tables("documents"), "")
+    assert arrow_maps[-1][0].columns == ["_row"]
