@@ -11,6 +11,9 @@ a border unless runs take up the room. The least named border of a window is its
 anchor; equal windows have equal anchors wherever they stand. Windows that runs
 leave without a border are their own anchors.
 
+Texts are taken up half a megabyte at a time: their words are found, hashed and cut
+as one sequence, with gaps between two texts.
+
 Spark finds the names that stand in more than one document, and for each the
 classes of occurrences that have the same ten words to either side. All of a
 class but its first document repeat every window around the name. Where a name
@@ -34,15 +37,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import cut, stored, word_hash
+from runlens.llm.common import cut, stored
 
 #: Words of a window; words on either side that may decide a border; words looked at in one step.
 WINDOW, REACH, STEP = 13, 3, 1 << 20
 #: Sums of neighbouring hashes that are taken at once; rows of windows that are sent on at once.
 SUMS, ROWS = 1 << 14, 1 << 14
+#: Bytes and rows of text taken up together: a text alone has too few words for numpy's calls to be free.
+BYTES, TEXTS = 1 << 19, 1 << 12
+#: Bytes of a word from which on it is hashed by itself; words hashed at once.
+LONG, WORDS = 64, 1 << 15
 #: Ids (8 bytes each) that may be broadcast to thin out the texts before their shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -54,15 +64,8 @@ _RNG = np.random.default_rng(7)
 _AROUND = _RNG.integers(1, 2**63, 2 * _SIDE).astype(_U) | _U(1)
 _WINDOW = _RNG.integers(1, 2**63, WINDOW).astype(_U) | _U(1)
 _NONE = _U(2**64 - 1)
-_EMPTY = np.zeros(0, _U)
-
-
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()  # ASCII white space only
-
-
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(word_hash.__getitem__, words), _U, len(words))
+_EMPTY, _NO_ROW = np.zeros(0, _U), np.zeros(0, np.int64)
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)  # the first k of eight bytes
 
 
 def _name(a: np.ndarray, b) -> np.ndarray:
@@ -80,10 +83,11 @@ def _changes(a: np.ndarray) -> np.ndarray:
 
 def _sums(h: np.ndarray, start: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The weighted sum of the hashes from each start on, modulo 2**64: a product of a few thousand
-    starts at a time, since a text has too few for numpy's calls to be free."""
-    each = np.arange(len(weights))
-    parts = [h[start[at : at + SUMS, None] + each] @ weights for at in range(0, len(start), SUMS)]
-    return np.concatenate(parts) if parts else np.zeros(0, _U)
+    starts at a time."""
+    if not len(start):
+        return _EMPTY
+    each = sliding_window_view(h, len(weights))
+    return np.concatenate([each[start[at : at + SUMS]] @ weights for at in range(0, len(start), SUMS)])
 
 
 def _round(name: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -165,29 +169,139 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _space(data: np.ndarray) -> np.ndarray:
+    """Which bytes are ASCII white space."""
+    return (data == 32) | (data - np.uint8(9) < 5)
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words ``data[start:end]``, eight bytes at a time; no two words of the same size
+    up to eight bytes have the same."""
+    eight = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))  # from each byte on
+    size = end - start
+    out = size.astype(_U) * _Q
+    for at in range(0, len(start), WORDS):
+        part, some, left = out[at : at + WORDS], start[at : at + WORDS], size[at : at + WORDS]
+        which = np.flatnonzero(left < LONG)
+        some, left = some[which], left[which]
+        while len(which):
+            x = part[which] ^ eight[some] & _HEAD[np.minimum(left, 8)]
+            x *= _P
+            x ^= x >> _U(29)
+            x *= _Q
+            part[which] = x ^ x >> _U(32)
+            more = np.flatnonzero(left > 8)
+            which, some, left = which[more], some[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size >= LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return out
+
+
+class Texts:
+    """Some rows of a column of texts: their bytes, where each word starts and ends in them, and which words
+    (``of[i]`` to ``of[i + 1]``) are row i's. ``h`` holds the hashes of all words, at ``at``, with zeros between
+    two rows, as far as a window's surrounding reaches: what is found at valid windows of a row is what would be
+    found in the row alone."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray):
+        self.data, space = data, _space(data)
+        word = ~space
+        first, last = word.copy(), word.copy()
+        first[1:] &= space[:-1]
+        last[:-1] &= space[1:]
+        filled = ends[1:] > ends[:-1]  # a row's first and last byte have no neighbours outside it
+        for edge, border in (first, ends[:-1][filled]), (last, ends[1:][filled] - 1):
+            edge[border] = word[border]
+        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.of = np.searchsorted(self.start, ends)
+        self.n = np.diff(self.of)
+        self.lo = self.of[:-1] + _SIDE * np.arange(len(self.n))
+        self.at = np.arange(len(self.start)) + _SIDE * np.repeat(np.arange(len(self.n)), self.n)
+        self.h = np.zeros(len(self.start) + _SIDE * len(self.n), _U)
+        self.h[self.at] = _hashes(data, self.start, self.end)
+
+    def anchors(self) -> Iterator[tuple]:
+        """As ``anchors`` of all rows, cut down to windows that lie in a row, which comes second."""
+        last = self.lo + self.n - WINDOW
+        for base, h, s0, s1, name, around, g in anchors(self.h):
+            row = np.searchsorted(self.lo, g + base, "right") - 1
+            s0, s1 = np.maximum(s0, self.lo[row] - base), np.minimum(s1, last[row] - base)
+            ok = np.flatnonzero(s0 <= s1)
+            yield base, row[ok], h, s0[ok], s1[ok], name[ok], around[ok], g[ok]
+
+    def digests(self, keep: np.ndarray | None = None) -> list[str]:
+        """SHA-256 of each row's words (those of ``keep``, if given), joined by one space."""
+        start, end, of = self.start, self.end, self.of
+        if keep is not None:
+            start, end, of = start[keep], end[keep], np.append(0, np.cumsum(keep))[of]
+        joined = np.ones(len(start), bool)  # to the word before, so the byte before is white space
+        joined[of[:-1][of[:-1] < of[1:]]] = False
+        start = start - joined
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[start] = 1
+        edge[end] -= 1
+        out = np.where(_space(self.data), np.uint8(32), self.data)[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+        ends = np.append(0, np.cumsum(end - start))[of].tolist()
+        return [hashlib.sha256(out[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
+
+
+def texts(column: pa.Array) -> Iterator[tuple[int, Texts]]:
+    """The texts of ``column`` (null: empty), so many at a time, each time with the first one's row."""
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    at = 0
+    while at < len(column):
+        to = int(np.searchsorted(ends, ends[at] + BYTES, "right")) - 1
+        to = min(max(to, at + 1), at + TEXTS, len(column))
+        yield at, Texts(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
+        at = to
+
+
+def _spread(s0: np.ndarray, s1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the ranges, each with the number of its range."""
+    n = s1 - s0 + 1
+    i = np.repeat(np.arange(len(n)), n)
+    return i, s0[i] + np.arange(len(i)) - (np.cumsum(n) - n)[i]
+
+
+def _listed(column: pa.Array, at: int, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The structs in the lists of some rows: (row, fields)."""
+    part = column.slice(at, rows)
+    values = part.flatten()
+    return np.repeat(np.arange(rows), pc.list_value_length(part).to_numpy()), [x.to_numpy() for x in values.flatten()]
+
+
+def _places(wanted: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which ``keys`` are in ``wanted`` (ascending), and where there."""
+    if not len(wanted):
+        return _NO_ROW, _NO_ROW
+    j = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+    i = np.flatnonzero(wanted[j] == keys)
+    return i, j[i]
+
+
 def _base(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, whole_sha256, names and arounds (distinct pairs) of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sha, names, arounds, sizes = [], [], [], [], [0]
-            for text in b.column(1).to_pylist():
-                words = split(text)
-                found = [x[4:6] for x in anchors(hashes(words))]
-                name, around = found[0] if len(found) == 1 else map(np.concatenate, zip(*found, strict=True)) if found else (_EMPTY, _EMPTY)
-                if len(name):
-                    order = np.lexsort((name, around))
-                    name, around = name[order], around[order]
-                    new = _changes(name) | _changes(around)
-                    name, around = name[new], around[new]
-                n.append(len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                names.append(name)
-                arounds.append(around)
-                sizes.append(len(name))
-            ends = pa.array(np.cumsum(sizes), pa.int32())
+            n, sha, names, arounds, sizes = [], [], [], [], [np.zeros(1, np.int64)]
+            for _, t in texts(b.column(1)):
+                found = [(x[1], x[5], x[6]) for x in t.anchors()]
+                row, name, around = (np.concatenate(x) for x in zip((_NO_ROW, _EMPTY, _EMPTY), *found, strict=True))
+                order = np.argsort(row.astype(_U) << _U(48) | _ids(name, around) >> _U(16))
+                row, name, around = row[order], name[order], around[order]
+                new = _changes(row) | _changes(name) | _changes(around)
+                n.append(t.n)
+                sha += t.digests()
+                names.append(name[new])
+                arounds.append(around[new])
+                sizes.append(np.bincount(row[new], minlength=len(t.n)))
+            ends = pa.array(np.cumsum(np.concatenate(sizes)), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in
                      (_signed(np.concatenate([_EMPTY, *names])), np.concatenate([_EMPTY, *arounds]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), *lists],
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([_NO_ROW, *n])), pa.array(sha, pa.string()), *lists],
                                              ["doc_id", "n_words", "whole_sha256", "names", "arounds"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
@@ -202,10 +316,6 @@ def _texts(docs: DataFrame, wanted: DataFrame, per: DataFrame) -> DataFrame:
     return rows.join(per.hint("merge"), "doc_id")
 
 
-def _pairs(at: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-    return at.field(0).to_numpy(), at.field(1).to_numpy()
-
-
 def _windows(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(name, around, off, window, doc): the windows around each class (name, around, doc), from its document."""
     per = cut(classes.groupBy("doc").agg(F.collect_list(F.struct("name", "around")).alias("at")).withColumnRenamed("doc", "doc_id"))
@@ -217,15 +327,17 @@ def _windows(docs: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for b in batches:
-            for doc, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                wanted = np.unique(_ids(*_pairs(at.values)))
-                for _, h, s0, s1, name, around, g in anchors(hashes(split(text))):
-                    ids, place = np.unique(_ids(name, around), return_index=True)
-                    i = place[wanted[np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)] == ids]
-                    n = s1[i] - s0[i] + 1
-                    i = np.repeat(i, n)
-                    s = s0[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-                    held.append([_signed(name[i]), around[i].astype(np.int32), (g[i] - s).astype(np.int32), _signed(window_hashes(h, s)), np.full(len(i), doc)])
+            ids = b.column(0).to_numpy()
+            for at, t in texts(b.column(1)):
+                row, pairs = _listed(b.column(2), at, len(t.n))
+                wanted = np.unique(_name(_ids(*pairs), row.astype(_U)))
+                for _, row, h, s0, s1, name, around, g in t.anchors():
+                    keys = _name(_ids(name, around), row.astype(_U))
+                    i, j = _places(wanted, keys)
+                    i = i[np.unique(j, return_index=True)[1]]
+                    each, s = _spread(s0[i], s1[i])
+                    i = i[each]
+                    held.append([_signed(name[i]), around[i].astype(np.int32), (g[i] - s).astype(np.int32), _signed(window_hashes(h, s)), ids[at + row[i]]])
                     rows += len(i)
                     if rows >= ROWS:  # a text's few rows alone would cost more to send than to find
                         yield batch(held)
@@ -242,26 +354,20 @@ def _removed(docs: DataFrame, per: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             whole, gone, sha = [], [], []
-            for text, at in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                ids, place = np.unique(_ids(*_pairs(at.values)), return_index=True)
-                masks = at.values.field(2).to_numpy()[place]
-                words = split(text)
-                cover = np.zeros(len(words) + 1, np.int64)
-                for base, _, s0, s1, name, around, g in anchors(hashes(words)):
-                    own = _ids(name, around)
-                    j = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-                    i = np.flatnonzero(ids[j] == own)
-                    n = s1[i] - s0[i] + 1
-                    m, i = np.repeat(masks[j[i]], n), np.repeat(i, n)
-                    s = s0[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-                    s = s[m >> (g[i] - s) & 1 == 1] + base
+            for at, t in texts(b.column(1)):
+                row, (*pairs, masks) = _listed(b.column(2), at, len(t.n))
+                wanted, place = np.unique(_name(_ids(*pairs), row.astype(_U)), return_index=True)
+                cover = np.zeros(len(t.h) + 1, np.int64)
+                for base, row, _, s0, s1, name, around, g in t.anchors():
+                    i, j = _places(wanted, _name(_ids(name, around), row.astype(_U)))
+                    each, s = _spread(s0[i], s1[i])
+                    s = s[masks[place[j[each]]] >> (g[i[each]] - s) & 1 == 1] + base
                     np.add.at(cover, s, 1)
                     np.add.at(cover, s + WINDOW, -1)
-                keep = np.cumsum(cover)[: len(words)] == 0
-                kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                gone.append(len(words) - len(kept))
-                sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+                keep = np.cumsum(cover)[t.at] == 0
+                whole += t.digests()
+                gone += (t.n - np.diff(np.append(0, np.cumsum(keep))[t.of])).tolist()
+                sha += t.digests(keep)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(whole, pa.string()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())],
                                              ["doc_id", "whole_sha256", "n_removed", "kept_sha256"])
 

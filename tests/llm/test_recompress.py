@@ -3,6 +3,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from runlens.llm import recompress as rc
 
@@ -104,3 +106,71 @@ def test_windows_of_many_texts_are_sent_on_together(spark, arrow_maps):
     given, find = arrow_maps[1]
     sent = list(find(iter(given.toArrow().combine_chunks().to_batches())))
     assert sum(b.num_rows for b in sent) > 1000 and len(sent) == 1
+
+
+ODD = [None, "", " ", "a", " a  b\t\nc ", "b", "c\x0b\x0cd\r", "x\u00a0y \u2003 z\x85 \x1c\x1f", "a\0 a \0a \0", "w" * 63 + " " + "w" * 64 + " " + "w" * 65,
+       "12345678 123456789 12345678a 1234567812345678 12345678 123456781234567", " ".join(f"q{i} " for i in range(12)), "", " ".join(f"q{i}" for i in range(13)),
+       "q12 " + " ".join(f"q{i}" for i in range(40)), " ".join("ab"[i // 9 % 2] for i in range(90)), "e\u0301 \u4e2d\u6587 " * 20, None, "ends here ", " starts here", "v " * 70]
+
+
+@pytest.mark.parametrize(("size", "rows"), [(1, 4096), (150, 3), (1 << 18, 4096)])
+def test_texts_taken_up_together_are_as_alone(monkeypatch, size, rows):
+    monkeypatch.setattr(rc, "BYTES", size)
+    monkeypatch.setattr(rc, "TEXTS", rows)
+    monkeypatch.setattr(rc, "WORDS", 5)
+    column = pa.array(["cut off", *ODD, "cut off"]).slice(1, len(ODD))
+    hashed, found, sha, dropped, at = {}, [], [], [], 0
+    for first, t in rc.texts(column):
+        assert first == at
+        at += len(t.n)
+        for lo, n, text in zip(t.lo, t.n, ODD[first:at], strict=True):
+            words = W.findall(text or "")
+            assert len(words) == n
+            for word, h in zip(words, t.h[lo : lo + n].tolist(), strict=True):
+                assert hashed.setdefault(word, h) == h
+        sha += t.digests()
+        dropped += t.digests(np.arange(len(t.start)) % 3 > 0 if size == 1 else np.zeros(len(t.start), bool))
+        for base, row, _, s0, s1, name, around, g in t.anchors():
+            found += sorted((first + r, lo, hi, n, a, x) for r, lo, hi, n, a, x in
+                            zip(row.tolist(), (s0 + base - t.lo[row]).tolist(), (s1 + base - t.lo[row]).tolist(), name.tolist(), around.tolist(), (g + base - t.lo[row]).tolist(), strict=True))
+    assert at == len(ODD) and len(set(hashed.values())) == len(hashed)
+
+    def digest(words):
+        return hashlib.sha256(" ".join(words).encode()).hexdigest()
+
+    split = [W.findall(x or "") for x in ODD]
+    assert sha == [digest(x) for x in split]
+    assert dropped == [digest([w for i, w in enumerate(x) if i % 3] if size == 1 else []) for x in split]
+    alone = []
+    for i, words in enumerate(split):
+        for base, _, s0, s1, name, around, g in rc.anchors(np.array([hashed[w] for w in words], np.uint64)):
+            alone += sorted(zip([i] * len(g), (s0 + base).tolist(), (s1 + base).tolist(), name.tolist(), around.tolist(), (g + base).tolist(), strict=True))
+    assert found == alone and [x[0] for x in found if x[0] == 13] == [13]
+    windows = sum(hi - lo + 1 for _, lo, hi, *_ in found)
+    assert windows == sum(max(len(x) - 12, 0) for x in split)
+
+
+def test_odd_texts_against_brute_force(spark):
+    p = " ".join(f"{'w' * 70}{i} 12345678{i}" for i in range(9))
+    rows = list(enumerate(ODD)) + [(100 + i, x) for i, x in enumerate(ODD)] + [(200, p), (201, "\u00a0 " + p + "\x85"), (202, p.replace(" ", "\n\t")), (203, p.replace("w1 ", "w2 "))]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert run(spark.createDataFrame(rows[::-1], "doc_id long, text string").coalesce(1)) == brute(rows)
+
+
+def test_no_pass_cuts_each_text_by_itself(spark, arrow_maps, monkeypatch):
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        a = rng.randrange(40)
+        rows.append((i, " ".join([f"x{rng.random()}", *passage[a : a + 20], f"y{rng.random()}"])))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == brute(rows)
+    calls, cut = [], rc._slice
+    monkeypatch.setattr(rc, "_slice", lambda h: calls.append(len(h)) or cut(h))
+    assert len(arrow_maps) == 3
+    for given, find in arrow_maps:
+        batch = given.toArrow().combine_chunks().to_batches()
+        assert sum(b.num_rows for b in batch) > 100
+        calls.clear()
+        assert sum(b.num_rows for b in find(iter(batch))) > 100
+        assert len(calls) <= 4  # one for each text before
